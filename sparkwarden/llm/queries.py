@@ -7,14 +7,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, exact_dedup, token_files, url_filter
+from sparkwarden.llm import bpe, decontaminate, exact_dedup, token_files, url_filter
 from sparkwarden.llm.common import table
 
 #: Where each executor has the vocabularies; a parameter, since a cluster may keep them elsewhere.
 VOCABULARIES = os.environ.get("SPARKWARDEN_VOCABULARIES", os.path.dirname(public_tokenizers.path("README.md")))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_multi_50k.tiktoken", with_ids=False)
 
@@ -50,17 +56,35 @@ WITH parts AS (
   FROM parts p JOIN rules r ON (p.host = r.host_end OR ends_with(p.host, '.' || r.host_end)) AND starts_with(p.path, r.prefix)
   WINDOW w AS (PARTITION BY p.host, p.path)
 ), words AS (
-  SELECT page_id, '~' || (list_sort(list_filter(['spam', 'casino', 'porn', 'xxx', 'viagra', 'torrent', 'warez', 'escort'],
-    x -> list_contains(regexp_extract_all(host || path, '[A-Za-z0-9\x{80}-\x{10ffff}]+'), x))))[1] AS first_word,
-    list_filter(['spam', 'casino', 'porn', 'xxx', 'viagra', 'torrent', 'warez', 'escort'],
-    x -> list_contains(regexp_extract_all(host || path, '[A-Za-z0-9\x{80}-\x{10ffff}]+'), x)) AS found
+  SELECT page_id, list_filter(['spam', 'casino', 'porn', 'xxx', 'viagra', 'torrent', 'warez', 'escort'],
+    lambda x: list_contains(regexp_extract_all(host || path, '[A-Za-z0-9\x{80}-\x{10ffff}]+'), x)) AS found
   FROM parts
+), longest AS (
+  SELECT page_id, (SELECT min(w) FROM unnest(found) AS u(w) WHERE length(w) = (SELECT max(length(v)) FROM unnest(found) AS t(v))) AS word FROM words
 )
 SELECT p.page_id, p.host, p.path, f.rule,
-       coalesce(f.verdict, CASE WHEN len(w.found) > 0 THEN 'block' ELSE 'allow' END) AS verdict,
-       coalesce(f.rule, '~' || list_sort(list_filter(w.found, x -> length(x) = list_max(list_transform(w.found, y -> length(y)))))[1]) AS matched
+       coalesce(f.verdict, CASE WHEN w.word IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, coalesce(f.rule, '~' || w.word) AS matched
 FROM parts p LEFT JOIN fitting f ON p.host = f.host AND p.path = f.path
-JOIN words w ON w.page_id IS NOT DISTINCT FROM p.page_id
+JOIN longest w ON w.page_id IS NOT DISTINCT FROM p.page_id
+"""
+
+OP4_SQL = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS s
+  FROM item_words, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT m FROM windows), places AS (
+  SELECT doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') AS s
+  FROM doc_words, sizes, unnest(range(1, greatest(1, len(w) - m + 2))) AS t(i)
+), found AS (SELECT p.doc_id, p.i, p.m, v.item_id FROM places p JOIN windows v ON p.m = v.m AND p.s = v.s),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM found, unnest(range(i, i + m)) AS t(j) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN hit h ON h.doc_id IS NOT DISTINCT FROM d.doc_id LEFT JOIN items i ON i.doc_id IS NOT DISTINCT FROM d.doc_id
 """
 
 OP9_SQL = r"""
@@ -76,4 +100,4 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op7_url_filter": OP7_SQL, "op9_exact_dedup": OP9_SQL}
