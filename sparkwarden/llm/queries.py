@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, decontaminate, exact_dedup, token_files, url_filter
+from sparkwarden.llm import bpe, decontaminate, exact_dedup, near_dedup, token_files, url_filter
 from sparkwarden.llm.common import table
 
 #: Where each executor has the vocabularies; a parameter, since a cluster may keep them elsewhere.
@@ -21,6 +21,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_multi_50k.tiktoken", with_ids=False)
 
