@@ -9,13 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, decontaminate, exact_dedup, near_dedup, token_files, url_filter
-from sparkwarden.llm.common import table
+from sparkwarden.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, token_files, url_filter
+from sparkwarden.llm.common import held_out, table
 
 #: Where each executor has the vocabularies; a parameter, since a cluster may keep them elsewhere.
 VOCABULARIES = os.environ.get("SPARKWARDEN_VOCABULARIES", os.path.dirname(public_tokenizers.path("README.md")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, ~held_out(F.col("doc_id")))
+    return language_id.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
