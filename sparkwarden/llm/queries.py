@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, token_files, url_filter
+from sparkwarden.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, substring_dedup, token_files, url_filter
 from sparkwarden.llm.common import held_out, table
 
 #: Where each executor has the vocabularies; a parameter, since a cluster may keep them elsewhere.
@@ -23,6 +23,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "focus")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, ~held_out(F.col("doc_id")))
