@@ -162,15 +162,16 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     keep: further columns of docs that pass through unchanged (then their names must not be those of the results).
     """
     keep = keep or []
-    kept = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *keep)
+    text = text_col if text_col in keep else "_text"  # a text that is kept travels once
+    kept = docs.select(F.col(id_col).alias("_id"), *([] if text in keep else [F.col(text_col).cast("string").alias("_text")]), *keep)
     result = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<a:bigint,b:bigint>>"
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text" or False] + [result])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"] + [result])
     blocks = list(_blocks_broadcast(docs, benchmark, item_col, item_text_col, block_words, window))
 
     def scan(shared):
         def run(batches):
             automaton = _built(shared, window)
-            for rows, data, offsets in slices(batches):
+            for rows, data, offsets in slices(batches, text):
                 raw, out = data.tobytes(), []
                 for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
                     words = words_of(raw[a:b])
@@ -197,7 +198,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
             " concat(slice(s, 1, size(s) - 1), array(named_struct('a', element_at(s, -1).a, 'b', greatest(element_at(s, -1).b, x.b)))), concat(s, array(x))))"
         )
         found = grouped.withColumn("spans", joined).withColumn("n_hit", F.expr("aggregate(spans, 0L, (s, x) -> s + x.b - x.a)"))
-    columns = [F.col("_id").alias(id_col), *keep, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "spans"]
+    columns = [*([] if id_col in keep else [F.col("_id").alias(id_col)]), *keep, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "spans"]
     return found.select(*columns)
 
 
@@ -226,11 +227,18 @@ def contaminated(coverage: float = 0.0) -> Column:
     return (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(coverage) * F.col("n_words"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.0, **options) -> DataFrame:
+    """The rows of docs, with their columns, whose share of hit words is not above the coverage limit."""
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
+    at = lambda c: f"_c{names.index(c)}"  # noqa: E731  private names, since results are added
+    found = find(plain, benchmark, id_col=at(options.pop("id_col", "doc_id")), text_col=at(options.pop("text_col", "text")), keep=plain.columns, **options)
+    return found.where(~contaminated(coverage)).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def cut_spans(df: DataFrame, spans_col: str = "spans", text_col: str = "text") -> DataFrame:
     """Remove the hit words with what stands between them from the text of each row of find(keep=[text_col])."""
-    at = df.schema[text_col]
     names = df.columns
-    schema = df.schema
 
     def run(batches):
         for batch in batches:
@@ -241,7 +249,7 @@ def cut_spans(df: DataFrame, spans_col: str = "spans", text_col: str = "text") -
             columns[names.index(text_col)] = pa.array(out, batch.schema.field(names.index(text_col)).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.mapInArrow(run, schema) if at else df
+    return df.mapInArrow(run, df.schema)
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -77,3 +77,12 @@ def deduplicate(df: DataFrame, index: DigestIndex | None = None, id_col: str = "
     known = index.rows().select(F.col("digest").alias("_digest"), "keep_id", "group_size", "batch")
     kept = (F.col("batch") == batch) & F.col("_id").eqNullSafe(F.col("keep_id"))
     return hashed.join(known, "_digest").select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
+
+
+def keep_first(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that stay, with their columns; of repeated rows (one id, one text) one."""
+    names = df.columns
+    stay = deduplicate(df, index, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct()
+    hashed = df.withColumns({"_own_id": F.col(id_col), "_own": F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
+    met = hashed.join(stay, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
+    return met.dropDuplicates(["_own_id", "_own"]).select(*names)

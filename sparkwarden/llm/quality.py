@@ -188,15 +188,23 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     return AttentionModel(share).fit(np.concatenate(x), np.concatenate([[0], np.cumsum([len(a) for a in x])]), y, weight)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, usable: Column | None = None, least: float = 0.5, **columns: str) -> DataFrame:
+    """The rows of docs, with their columns, that a model learned from labels scores at least so high."""
+    names = docs.columns
+    model = train(docs, labels, F.lit(True) if usable is None else usable, **columns)
+    return score(docs, model, keep=names).where(F.col("score") >= least).select(*names)
+
+
 def score(df: DataFrame, model: AttentionModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep of df (default: all), with score (0 to 1), n_passages and focus (the number of the passage with most attention)."""
     keep = df.columns if keep is None else keep
-    kept = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    text = text_col if text_col in keep else "_text"  # a text that is kept travels once
+    kept = df.select(*keep) if text == text_col else df.select(*keep, F.col(text_col).cast("string").alias("_text"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"] + ["score double", "n_passages bigint", "focus bigint"])
 
     def run(batches):
-        for rows, data, offsets in slices(batches):
+        for rows, data, offsets in slices(batches, text):
             x, bounds = passages(data, offsets)
             s, attention = shared.value.score(x, bounds)
             focus = [int(attention[a:b].argmax()) for a, b in zip(bounds, bounds[1:], strict=False)]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, quality, substring_dedup, token_files, url_filter
+from sparkwarden.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, near_dedup, quality, substring_dedup, token_files, url_filter
 from sparkwarden.llm.common import held_out, table
 
 #: Where each executor has the vocabularies; a parameter, since a cluster may keep them elsewhere.
@@ -50,6 +50,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = chat_format.swapped_replies(table(spark, sf_dir, "conversations"))
+    pairs = chat_format.preference_pairs(chosen, rejected)
+    text = {c: F.array_join(F.transform(c, lambda m: F.concat_ws("-", m["start"], m["end"])), ",") for c in ("chosen_mask", "rejected_mask")}
+    return pairs.withColumns(text)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -108,6 +115,41 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM doc_words d LEFT JOIN hit h ON h.doc_id IS NOT DISTINCT FROM d.doc_id LEFT JOIN items i ON i.doc_id IS NOT DISTINCT FROM d.doc_id
 """
 
+OP8_SQL = r"""
+WITH c AS (SELECT DISTINCT conv_id AS pair_id, turn, role, text FROM conversations),
+last AS (SELECT pair_id, max(turn) AS at, max_by(text, turn) AS reply FROM c WHERE role = 'assistant' GROUP BY pair_id),
+r AS (
+  SELECT c.pair_id, c.turn, c.role, c.text FROM c LEFT JOIN last l ON c.pair_id = l.pair_id WHERE l.at IS NULL OR c.turn < l.at
+  UNION ALL SELECT l.pair_id, l.at, 'assistant', o.reply FROM last l JOIN last o ON o.pair_id = xor(l.pair_id, 1)
+),
+a AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) - 1 AS place, role, text FROM c),
+b AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) - 1 AS place, role, text FROM r),
+j AS (
+  SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.place, b.place) AS place, a.role AS role_a, a.text AS text_a, b.role AS role_b, b.text AS text_b
+  FROM a FULL JOIN b ON a.pair_id = b.pair_id AND a.place = b.place
+),
+p AS (
+  SELECT pair_id, coalesce(min(place) FILTER (WHERE role_a IS DISTINCT FROM role_b OR text_a IS DISTINCT FROM text_b), max(place) + 1) AS n_prompt_turns FROM j GROUP BY pair_id
+),
+k AS (
+  SELECT j.*, p.n_prompt_turns, place < n_prompt_turns AS shared,
+         '<|' || role_a || '|>' || chr(10) AS head_a, '<|' || role_b || '|>' || chr(10) AS head_b,
+         '<|' || role_a || '|>' || chr(10) || text_a || '<|end|>' || chr(10) AS turn_a, '<|' || role_b || '|>' || chr(10) || text_b || '<|end|>' || chr(10) AS turn_b
+  FROM j JOIN p ON j.pair_id = p.pair_id
+),
+s AS (
+  SELECT *, coalesce(sum(CASE WHEN shared THEN 0 ELSE length(turn_a) END) OVER w, 0) AS at_a, coalesce(sum(CASE WHEN shared THEN 0 ELSE length(turn_b) END) OVER w, 0) AS at_b
+  FROM k WINDOW w AS (PARTITION BY pair_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT pair_id, 0 AS block, n_prompt_turns,
+       coalesce(string_agg(turn_a, '' ORDER BY place) FILTER (WHERE shared), '') AS prompt,
+       coalesce(string_agg(turn_a, '' ORDER BY place) FILTER (WHERE NOT shared), '') AS chosen,
+       coalesce(string_agg(CAST(CAST(at_a + length(head_a) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at_a + length(turn_a) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY place) FILTER (WHERE NOT shared AND role_a = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(turn_b, '' ORDER BY place) FILTER (WHERE NOT shared), '') AS rejected,
+       coalesce(string_agg(CAST(CAST(at_b + length(head_b) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at_b + length(turn_b) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY place) FILTER (WHERE NOT shared AND role_b = 'assistant'), '') AS rejected_mask
+FROM s GROUP BY pair_id, n_prompt_turns
+"""
+
 OP9_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -121,4 +163,4 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op7_url_filter": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_exact_dedup": OP9_SQL}
