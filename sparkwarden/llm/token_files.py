@@ -1,8 +1,8 @@
 """Operator 10: token ids as Arrow files of equal-length sequences.
 
 Documents are range-partitioned and sorted by id; each task encodes its documents and writes one shard, an Arrow IPC
-file whose record batches hold two fixed-size lists: `ids` (int32) and `mask` (uint8, 0 only in the padding of the
-shard's last sequence).  A companion file holds where each document begins.  Because every sequence has the same
+file whose record batches hold two fixed-size lists: `ids` (uint16 where the vocabulary fits, else int32) and `mask`
+(bits, 0 only in the padding of the shard's last sequence).  A companion file holds where each document begins.  Because every sequence has the same
 length, sequence k of a shard is reached by arithmetic and read as a view of the mapped file, with no copy.
 
 A task writes under its attempt's own name and reports that name in the manifest, so a task that is lost or run twice
@@ -35,27 +35,40 @@ CACHE_WORDS = 400_000
 MANIFEST = "shard int, path string, docs_path string, first_id bigint, n_docs bigint, n_ids bigint, n_sequences bigint"
 
 
+class _Words(dict):
+    """Pre-token -> its ids, from the library's model, which is asked once for each pre-token that is not kept."""
+
+    def __init__(self, library, code: str):
+        self.model, self.code = library.model, code
+        # The library's BPE model reads bytes as printable characters: itself where printable, else from U+0100 on.
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in set(printable)]
+        self.characters = {b: b for b in printable} | {b: 0x100 + i for i, b in enumerate(rest)}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        ids = array(self.code, [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.characters))]).tobytes()
+        if len(piece) <= 256:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Whole texts to ids by the tokenizers library, which is asked once for each distinct pre-token it has not met yet."""
+    """Whole texts to ids with a byte-level BPE model of the tokenizers library; special tokens' strings are ordinary text."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(vocabulary)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[bytes, bytes] = {}
+        library = Tokenizer.from_file(vocabulary)
+        self.code = "H" if library.get_vocab_size() <= 1 << 16 else "i"
+        self.words = _Words(library, self.code)
 
     def encode_slice(self, data: bytes, offsets: np.ndarray):
         begin, end, first = pieces_of(data, offsets)
-        pieces = list(map(data.__getitem__, map(slice, begin, end)))
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if new := list({p for p in pieces if p not in self.words}):
-            got = self.library.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-            self.words.update((p, array("i", e.ids).tobytes()) for p, e in zip(new, got, strict=True))
-        get = self.words.__getitem__
+        ids, cut = self.words.__getitem__, data.__getitem__
         for a, b in zip(first, first[1:], strict=False):
-            yield b"".join(map(get, pieces[a:b]))
+            yield b"".join(map(ids, map(cut, map(slice, begin[a:b], end[a:b]))))
 
 
 @lru_cache(2)
@@ -66,11 +79,12 @@ def encoder(vocabulary: str) -> Encoder:
 class _Shard:
     """Writes one shard; holds one batch of sequences at most."""
 
-    def __init__(self, folder: str, name: str, sequence: int, batch: int):
+    def __init__(self, folder: str, name: str, sequence: int, batch: int, code: str):
         self.fs, base = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
         self.fs.create_dir(base, recursive=True)
         self.sequence, self.block = sequence, sequence * batch
-        self.schema = pa.schema([("ids", pa.list_(pa.int32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+        self.kind = np.dtype(code)
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
         self.docs_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.outs = [self.fs.open_output_stream(f"{base}/{name}{x}.arrow") for x in ("", ".docs")]
         self.paths = [f"{folder}/{name}{x}.arrow" for x in ("", ".docs")]
@@ -78,14 +92,14 @@ class _Shard:
         self.held, self.n_held, self.docs, self.n_docs, self.n_ids, self.n_sequences, self.first_id = [], 0, [], 0, 0, 0, None
 
     def add(self, doc_id: int | None, raw: bytes) -> None:
-        n = len(raw) // 4
+        n = len(raw) // self.kind.itemsize
         if not self.n_docs:
             self.first_id = doc_id
         self.docs.append((doc_id, self.n_ids, n))
         self.n_docs, self.n_ids, self.n_held = self.n_docs + 1, self.n_ids + n, self.n_held + n
         self.held.append(raw)
         if self.n_held >= self.block:
-            flat = np.frombuffer(b"".join(self.held), np.int32)
+            flat = np.frombuffer(b"".join(self.held), self.kind)
             whole = len(flat) - len(flat) % self.block
             for at in range(0, whole, self.block):
                 self._write(flat[at : at + self.block])
@@ -95,7 +109,7 @@ class _Shard:
 
     def _write(self, flat: np.ndarray) -> None:
         n = -(-len(flat) // self.sequence)
-        ids, mask = np.zeros(n * self.sequence, np.int32), np.zeros(n * self.sequence, np.uint8)
+        ids, mask = np.zeros(n * self.sequence, self.kind), np.zeros(n * self.sequence, bool)
         ids[: len(flat)], mask[: len(flat)] = flat, 1
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
@@ -108,7 +122,7 @@ class _Shard:
 
     def close(self) -> None:
         if self.n_held:
-            self._write(np.frombuffer(b"".join(self.held), np.int32))
+            self._write(np.frombuffer(b"".join(self.held), self.kind))
         if self.docs:
             self._write_docs()
         for x in (self.file, self.docs_file, *self.outs):
@@ -128,11 +142,12 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str | None = None,
 
     def run(batches):
         task, shard = TaskContext.get(), None
-        end = array("i", [end_id]).tobytes()
+        encode = encoder(vocabulary)
+        end = array(encode.code, [end_id]).tobytes()
         for rows, data, offsets in slices(batches):
             if shard is None:
-                shard = _Shard(out, f"shard-{task.partitionId():05d}-{task.taskAttemptId()}", sequence, batch)
-            for doc_id, raw in zip(rows.column(0).to_pylist(), encoder(vocabulary).encode_slice(data.tobytes(), offsets), strict=True):
+                shard = _Shard(out, f"shard-{task.partitionId():05d}-{task.taskAttemptId()}", sequence, batch, encode.code)
+            for doc_id, raw in zip(rows.column(0).to_pylist(), encode.encode_slice(data.tobytes(), offsets), strict=True):
                 shard.add(doc_id, raw + end)
         if shard is not None:
             shard.close()
@@ -161,7 +176,8 @@ def open_file(path: str) -> pa.ipc.RecordBatchFileReader:
 
 
 class SequenceFile:
-    """Random access to the sequences of one shard: file[k] gives views (ids, mask) of the mapped file."""
+    """Random access to the sequences of one shard: file[k] gives (ids, mask), views of the mapped file (ids as NumPy array,
+    mask as Arrow bits)."""
 
     def __init__(self, path: str):
         self.reader = open_file(path)
@@ -172,11 +188,11 @@ class SequenceFile:
     def __len__(self) -> int:
         return self.length
 
-    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if not 0 <= k < self.length:
             raise IndexError(k)
         rows = self.reader.get_batch(k // self.per_batch).slice(k % self.per_batch, 1)
-        return tuple(rows.column(i).flatten().to_numpy(zero_copy_only=True) for i in range(2))
+        return rows.column(0).flatten().to_numpy(zero_copy_only=True), rows.column(1).flatten()
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
@@ -186,7 +202,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
     def run(batches):
         for shard in (r for b in batches for r in b.to_pylist()):
-            reader, k, flat, at = open_file(shard["path"]), 0, np.zeros(0, np.int32), 0
+            reader, k, flat, at = open_file(shard["path"]), 0, np.zeros(0), 0
             docs_file = open_file(shard["docs_path"])
             for i in range(docs_file.num_record_batches):
                 docs = docs_file.get_batch(i)
@@ -197,7 +213,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                         if at == len(flat):
                             flat, at, k = reader.get_batch(k).column(0).flatten().to_numpy(zero_copy_only=True), 0, k + 1
                         take = min(left, len(flat) - at)
-                        crc = zlib.crc32(flat[at : at + take], crc)
+                        crc = zlib.crc32(flat[at : at + take].astype("<u4"), crc)
                         at, left = at + take, left - take
                     crcs.append(crc)
                 start = pa.array(docs.column(1).to_numpy() + shard["global_start"], pa.int64())
