@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def trigrams(c: Column) -> Column:
@@ -48,7 +49,7 @@ def _jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - half) / m) / 3
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro similarity; null where a side is null."""
     return pd.Series([None if x is None or y is None else _jaro(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
