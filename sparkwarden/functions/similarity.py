@@ -45,7 +45,7 @@ def _jaro(a: str, b: str) -> float:
     m = len(common)
     if not m:
         return 0.0
-    half = sum(x != y for x, y in zip(common, (y for y, t in zip(b, taken, strict=True) if t), strict=True)) / 2
+    half = sum(x != y for x, y in zip(common, (y for y, t in zip(b, taken, strict=True) if t), strict=True)) // 2
     return (m / len(a) + m / len(b) + (m - half) / m) / 3
 
 

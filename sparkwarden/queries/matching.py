@@ -1 +1,181 @@
+"""Entity resolution and similarity."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkwarden.functions import similarity, values
+from sparkwarden.operators import entities as E
+from sparkwarden.plans import tables as T
+from sparkwarden.plans import unified as U
+from sparkwarden.queries import query
+from sparkwarden.queries.filtering import TRGM
+
+
+@query(""" SELECT case_id, sequence, count(*) AS n, string_agg(CAST(legislation_id AS VARCHAR), ',' ORDER BY legislation_id) AS members FROM offences GROUP BY 1, 2 HAVING count(*) > 1""")
+def d01_duplicate_cases(s, d):
+    # a27, groups with more than one row, is this operator.
+    g = E.duplicate_groups(T.offences(s, d), {"case_id": F.col("case_id"), "sequence": F.col("sequence")}, F.col("legislation_id"))
+    return g.select("case_id", "sequence", "n", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+D02 = """, g AS (SELECT 'a' || offender_id AS grp, list(id ORDER BY id) AS m FROM notices GROUP BY offender_id, action_date HAVING count(*) > 1 AND offender_id IS NOT NULL"""
+
+
+@query(""", a AS (SELECT 'a-' || offender_id || '-' || strftime(action_date, '%Y-%m-%d') AS grp, id FROM notices), b AS (SELECT 'b-' || offender_id || '-' || action_type AS grp, id FROM notices),
+x AS (SELECT grp, id, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b)), y AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, grp) AS r FROM x WHERE n > 1)
+SELECT DISTINCT grp, n FROM y WHERE r = 1""")
+def d02_overlapping_groups(s, d):
+    # u09, the resolution of overlaps, is its second half.
+    n = T.notices(s, d)
+    a = E.duplicate_groups(n, {"k": F.concat(F.lit("a-"), "offender_id", F.lit("-"), T.day("action_date"))}, F.col("id"))
+    b = E.duplicate_groups(n, {"k": F.concat(F.lit("b-"), "offender_id", F.lit("-"), "action_type")}, F.col("id"))
+    return E.largest_groups(a.unionByName(b), "k", "members").select(F.col("k").alias("grp"), "n")
+
+
+@query(""" SELECT lower(trim(title)) AS name, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM legislation GROUP BY 1 HAVING count(*) > 1""")
+def d03_duplicate_names(s, d):
+    g = E.duplicate_groups(T.legislation(s, d), {"name": F.lower(F.trim("title"))}, F.col("id"))
+    return g.select("name", "n", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+D05 = """, old AS (SELECT id, result, action_type FROM cases WHERE id % 3 <> 0), new AS (SELECT id, CASE WHEN id % 5 = 0 THEN result || '*' ELSE ' ' || result END AS result, action_type FROM cases),
+st AS (SELECT n.id, CASE WHEN o.id IS NULL THEN 'created' WHEN trim(o.result) IS DISTINCT FROM trim(n.result) OR trim(o.action_type) IS DISTINCT FROM trim(n.action_type) THEN 'updated' ELSE 'existing' END AS status FROM new n LEFT JOIN old o ON n.id = o.id)"""
+
+
+def _snapshots(s, d):
+    c = T.cases(s, d).select("id", "result", "action_type")
+    return c.where("id % 3 <> 0"), c.withColumn("result", F.when(F.col("id") % 5 == 0, F.concat("result", F.lit("*"))).otherwise(F.concat(F.lit(" "), "result")))
+
+
+@query(D05 + " SELECT id, status FROM st")
+def d05_upsert_status(s, d):
+    # j09, the three-way reconcile, is this operator.
+    old, new = _snapshots(s, d)
+    return E.reconcile(old, new, "id", ["result", "action_type"]).select("id", "status")
+
+
+@query(D05 + " SELECT status, count(*) AS n FROM st GROUP BY 1")
+def a42_batch_counters(s, d):
+    old, new = _snapshots(s, d)
+    return E.reconcile(old, new, "id", ["result", "action_type"]).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(D05 + " SELECT (SELECT count(*) FROM new WHERE id IN (SELECT id FROM old)) AS existing, (SELECT count(*) FROM new WHERE id NOT IN (SELECT id FROM old)) AS new_, (SELECT count(*) FROM new) AS total")
+def d14_existence_counts(s, d):
+    # sc22, the pre-read of existing keys, feeds it.
+    old, new = _snapshots(s, d)
+    marked = new.select("id").join(old.select("id", F.lit(1).alias("known")), "id", "left")
+    return marked.agg(F.count("known").alias("existing"), (F.count("*") - F.count("known")).alias("new_"), F.count("*").alias("total"))
+
+
+D09 = """, refs AS (SELECT id AS ref_id,
+CASE id % 6 WHEN 0 THEN 'no such title' WHEN 4 THEN title || 's' ELSE title END AS title, CASE WHEN id % 6 = 5 THEN NULL ELSE year END AS year,
+CASE id % 6 WHEN 1 THEN 'other' WHEN 3 THEN 'other' WHEN 4 THEN 'other' ELSE type END AS type, CASE id % 6 WHEN 2 THEN 'none' WHEN 3 THEN 'none' WHEN 4 THEN 'none' ELSE number END AS number FROM legislation),
+t1 AS (SELECT year, type, number, min(id) AS i FROM legislation GROUP BY ALL), t2 AS (SELECT title, year, number, min(id) AS i FROM legislation GROUP BY ALL), t3 AS (SELECT title, year, type, min(id) AS i FROM legislation GROUP BY ALL), t4 AS (SELECT title, year, min(id) AS i FROM legislation GROUP BY ALL),
+m AS (SELECT r.*, t1.i AS i1, t2.i AS i2, t3.i AS i3, t4.i AS i4 FROM refs r LEFT JOIN t1 ON r.year = t1.year AND r.type = t1.type AND r.number = t1.number LEFT JOIN t2 ON r.title = t2.title AND r.year = t2.year AND r.number = t2.number LEFT JOIN t3 ON r.title = t3.title AND r.year = t3.year AND r.type = t3.type LEFT JOIN t4 ON r.title = t4.title AND r.year = t4.year),
+f AS (SELECT DISTINCT m.title, m.year, t4.i, jaro_similarity(m.title, t4.title) AS s FROM m JOIN t4 ON m.year = t4.year WHERE coalesce(i1, i2, i3, i4) IS NULL),
+b AS (SELECT title, year, arg_max(i, (s, -i)) AS i5 FROM f WHERE s >= 0.85 GROUP BY 1, 2)
+SELECT m.ref_id, coalesce(i1, i2, i3, i4, i5, -1) AS legislation_id, CASE WHEN i1 IS NOT NULL THEN 1 WHEN i2 IS NOT NULL THEN 2 WHEN i3 IS NOT NULL THEN 3 WHEN i4 IS NOT NULL THEN 4 WHEN i5 IS NOT NULL THEN 5 ELSE 6 END AS tier FROM m LEFT JOIN b ON m.title = b.title AND m.year = b.year"""
+
+
+@query(D09)
+def d09_legislation_tiers(s, d):
+    l = T.legislation(s, d)
+    k = F.col("id") % 6
+    refs = l.select(
+        F.col("id").alias("ref_id"),
+        F.when(k == 0, "no such title").when(k == 4, F.concat("title", F.lit("s"))).otherwise(F.col("title")).alias("title"),
+        F.when(k != 5, F.col("year")).alias("year"),
+        F.when(k.isin(1, 3, 4), "other").otherwise(F.col("type")).alias("type"),
+        F.when(k.isin(2, 3, 4), "none").otherwise(F.col("number")).alias("number"),
+    )
+    return E.match_legislation(refs, l).select("ref_id", F.coalesce("legislation_id", F.lit(-1)).alias("legislation_id"), "tier")
+
+
+@query(""", k AS (SELECT id, title || ' limited' AS name, type AS postcode FROM legislation), i AS (SELECT id AS ref, CASE id % 4 WHEN 0 THEN upper(title) || '  LTD.' WHEN 1 THEN title || ' ltd' WHEN 2 THEN title || 'x limited' ELSE 'nobody' END AS name, CASE WHEN id % 4 = 1 THEN 'elsewhere' ELSE type END AS postcode FROM legislation),
+kn AS (SELECT id, name AS n, upper(postcode) AS p FROM k), inn AS (SELECT ref, trim(regexp_replace(regexp_replace(replace(lower(trim(name)), '.', ''), '\\bltd\\b', 'limited', 'g'), '\\s+', ' ', 'g')) AS n, upper(postcode) AS p FROM i),
+a AS (SELECT n, p, min(id) AS t1 FROM kn GROUP BY 1, 2), b AS (SELECT n, min(id) AS t2 FROM kn GROUP BY 1),
+m AS (SELECT inn.*, t1, t2 FROM inn LEFT JOIN a ON inn.n = a.n AND inn.p IS NOT DISTINCT FROM a.p LEFT JOIN b ON inn.n = b.n),
+f AS (SELECT DISTINCT m.n, m.p, a.t1 AS i, jaro_similarity(m.n, a.n) AS s FROM m JOIN a ON m.p = a.p WHERE m.t1 IS NULL AND m.t2 IS NULL), c AS (SELECT n, p, arg_max(i, (s, -i)) AS t3 FROM f WHERE s >= 0.85 GROUP BY 1, 2)
+SELECT ref, coalesce(t1, t2, t3, -1) AS offender_id, CASE WHEN t1 IS NOT NULL THEN 1 WHEN t2 IS NOT NULL THEN 2 WHEN t3 IS NOT NULL THEN 3 ELSE 4 END AS tier FROM m LEFT JOIN c ON m.n = c.n AND m.p = c.p""".replace("\\\\", "\\"))
+def d07_offender_tiers(s, d):
+    # d06 and d08 are the same tiers with other keys.
+    l = T.legislation(s, d)
+    k = F.col("id") % 4
+    known = l.select("id", F.concat("title", F.lit(" limited")).alias("name"), F.col("type").alias("postcode"))
+    name = F.when(k == 0, F.concat(F.upper("title"), F.lit("  LTD."))).when(k == 1, F.concat("title", F.lit(" ltd"))).when(k == 2, F.concat("title", F.lit("x limited"))).otherwise("nobody")
+    incoming = l.select(F.col("id").alias("ref"), name.alias("name"), F.when(k == 1, "elsewhere").otherwise(F.col("type")).alias("postcode"))
+    return E.match_offenders(incoming, known).select("ref", F.coalesce("offender_id", F.lit(-1)).alias("offender_id"), "tier")
+
+
+@query(""", c AS (SELECT a.id AS ref, a.title || 's' AS name, b.id AS candidate_id, b.title AS candidate, a.type = b.type AS ok FROM legislation a LEFT JOIN legislation b ON a.year = b.year AND a.number = b.number AND a.type = b.type),
+g AS (SELECT ref, count(candidate_id) AS n, max(jaro_similarity(name, candidate)) AS score, bool_or(ok) AS ok FROM c GROUP BY 1)
+SELECT ref, n, round(score, 6) AS score, CASE WHEN n = 0 THEN 'none' WHEN n = 1 AND score >= 0.9 AND ok THEN 'auto' WHEN n <= 3 THEN 'review' ELSE 'skip' END AS decision FROM g""")
+def d10_register_decision(s, d):
+    l = T.legislation(s, d)
+    a = l.select(F.col("id").alias("ref"), F.concat("title", F.lit("s")).alias("name"), "year", "number", "type")
+    b = l.select(F.col("id").alias("candidate_id"), F.col("title").alias("candidate"), "year", "number", "type")
+    return E.register_decision(a.join(b, ["year", "number", "type"], "left"), "ref", F.col("name"), F.col("candidate"), F.col("candidate_id").isNotNull())
+
+
+D13 = """, sc AS (SELECT *, CASE WHEN number LIKE '%3' THEN 50 ELSE 100 END + length(title) AS score FROM legislation), c AS (SELECT id, first_value(id) OVER (PARTITION BY title ORDER BY score DESC, id) AS canonical_id FROM sc)"""
+
+
+def _canonical(s, d):
+    l = T.legislation(s, d).withColumn("number", F.when(~F.col("number").endswith("3"), F.col("number")))
+    return E.canonical(l, ["title"], values.canonical_score(F.col("title"), F.col("year"), F.col("number")))
+
+
+@query(D13 + " SELECT id, canonical_id FROM c")
+def d13_canonical(s, d):
+    # y19, the score, decides.
+    return _canonical(s, d)
+
+
+@query(D13 + " SELECT c.canonical_id AS legislation_id, count(*) AS offences, CAST(sum(fine) AS DOUBLE) AS fines FROM offences o JOIN c ON o.legislation_id = c.id GROUP BY 1")
+def d11_merge_and_recompute(s, d):
+    # a32, the totals that a merge would give, is this result.
+    moved = E.repoint(T.offences(s, d), _canonical(s, d), "legislation_id")
+    return moved.groupBy("legislation_id").agg(F.count("*").alias("offences"), F.sum("fine").cast("double").alias("fines"))
+
+
+@query(""", c AS (SELECT offender_id, action_date, action_type FROM notices GROUP BY ALL) SELECT n.id FROM notices n WHERE NOT (n.id % 2 = 1 AND EXISTS (SELECT 1 FROM notices m WHERE m.offender_id = n.offender_id AND m.action_date = n.action_date AND m.id % 2 = 0))""")
+def d12_drop_incomplete(s, d):
+    n = T.notices(s, d)
+    complete = n.where("id % 2 = 0").select("offender_id", "action_date")
+    bad = n.where("id % 2 = 1").join(complete, ["offender_id", "action_date"], "left_semi").select("id")
+    return n.join(bad, "id", "left_anti").select("id")
+
+
+@query(""", t AS (SELECT DISTINCT title FROM legislation), x AS (SELECT title, jaro_similarity('small ring', title) AS s FROM t) SELECT title, round(s, 6) AS score FROM x WHERE s >= 0.7""")
+def d15_fuzzy_search(s, d):
+    t = T.legislation(s, d).select("title").distinct().withColumn("score", similarity.jaro(F.lit("small ring"), F.col("title")))
+    return t.where("score >= 0.7").select("title", F.round("score", 6).alias("score"))
+
+
+@query(f""", t AS (SELECT DISTINCT title FROM legislation), g AS (SELECT title, {TRGM.format('title')} AS g FROM t), p AS (SELECT a.title AS a, b.title AS b, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS s FROM g a JOIN g b ON a.title < b.title AND substring(a.title, 1, 2) = substring(b.title, 1, 2))
+SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.5""")
+def x31_trigram_pairs(s, d):
+    # Blocked by the first two letters; a pair meets once.
+    t = T.legislation(s, d).select("title").distinct().withColumn("_k", F.substring("title", 1, 2)).withColumn("_g", similarity.trigrams(F.col("title")))
+    p = t.select(F.col("title").alias("a"), "_k", F.col("_g").alias("_ga")).join(t.select(F.col("title").alias("b"), "_k", F.col("_g").alias("_gb")), "_k").where("a < b")
+    scored = p.withColumn("s", similarity.jaccard(F.col("_ga"), F.col("_gb"))).where("s >= 0.5")
+    return scored.select("a", "b", F.round("s", 6).alias("similarity"))
+
+
+@query(""", t AS (SELECT DISTINCT title FROM legislation) SELECT title, round(jaro_similarity(title, 'large pipe'), 6) AS jaro FROM t""")
+def x32_jaro(s, d):
+    return T.legislation(s, d).select("title").distinct().select("title", F.round(similarity.jaro(F.col("title"), F.lit("large pipe")), 6).alias("jaro"))
+
+
+@query(""", t AS (SELECT DISTINCT title, string_split(title, ' ') AS w FROM legislation), j AS (SELECT title, len(list_intersect(list_distinct(w), ['small', 'ring'])) / len(list_distinct(list_concat(w, ['small', 'ring']))) AS k, jaro_similarity(title, 'small ring') AS s FROM t)
+SELECT title, round(CASE WHEN s > 0.85 THEN greatest(k, 0.9) ELSE k END, 6) AS similarity FROM j""")
+def x33_name_similarity(s, d):
+    return T.legislation(s, d).select("title").distinct().select("title", F.round(similarity.name_similarity(F.col("title"), F.lit("small ring")), 6).alias("similarity"))
+
+
+@query(""" SELECT record_type, count(*) AS n FROM facts f WHERE EXISTS (SELECT 1 FROM offenders o WHERE o.id = f.offender_id AND o.balance < 0) GROUP BY 1""")
+def j05_semi_join(s, d):
+    o = T.offenders(s, d).where("balance < 0").select(F.col("id").alias("offender_id"))
+    return U.unified(T.cases(s, d), T.notices(s, d)).join(o, "offender_id", "left_semi").groupBy("record_type").agg(F.count("*").alias("n"))
