@@ -120,7 +120,7 @@ def breach(c: Column) -> Column:
 
 def breaches(c: Column) -> Column:
     """The non-empty parts of a semicolon list, trimmed, in order."""
-    return F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def breach_type(c: Column) -> Column:
