@@ -82,7 +82,7 @@ def split_records(df: DataFrame, text: str, label: str, keep: list[str]) -> Data
 def labelled_fields(c: Column, labels: list[str]) -> dict[str, Column]:
     """Value after each label up to the next label or the end; null where the label is missing."""
     stop = "|".join(labels)
-    return {x: F.nullif(F.trim(F.regexp_extract(c, rf"(?s){x}\s*(.*?)(?=(?:{stop})|\z)", 1)), F.lit("")) for x in labels}
+    return {x: F.nullif(F.trim(F.regexp_extract(c, rf"(?s){x}\s*(.*?)\s*(?=(?:{stop})|\z)", 1)), F.lit("")) for x in labels}
 
 
 def any_of(c: Column, patterns: list[str]) -> Column:
