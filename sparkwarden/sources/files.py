@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def json_records(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
-    """Files of {"records": [...]}: one row for each record, by a given schema (nothing is inferred)."""
+def json_records(spark: SparkSession, path: str, record: T.StructType, multi_line: bool = True) -> DataFrame:
+    """Files of {"records": [...]}: one row for each record, by a given schema (nothing is inferred).
+
+    multi_line: each file is one object; otherwise each line is."""
     whole = T.StructType([T.StructField("records", T.ArrayType(record))])
-    return spark.read.schema(whole).json(path, multiLine=True).select(F.explode("records").alias("_r")).select("_r.*")
+    return spark.read.schema(whole).json(path, multiLine=multi_line).select(F.explode("records").alias("_r")).select("_r.*")
 
 
-def positional_json(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+def positional_json(spark: SparkSession, path: str, names: list[str], multi_line: bool = True) -> DataFrame:
     """Paged table exports, {"data": [[...], ...]}: array positions become columns; shorter rows are filled with null."""
     whole = T.StructType([T.StructField("data", T.ArrayType(T.ArrayType(T.StringType())))])
-    rows = spark.read.schema(whole).json(path, multiLine=True).select(F.explode("data").alias("_r"))
+    rows = spark.read.schema(whole).json(path, multiLine=multi_line).select(F.explode("data").alias("_r"))
     return rows.select(*[F.get("_r", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
