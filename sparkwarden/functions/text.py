@@ -278,3 +278,58 @@ def redact(m: Column) -> Column:
 
 def drop_empty(m: Column) -> Column:
     return F.map_filter(m, lambda _, v: v.isNotNull() & (v != ""))
+
+
+def split_name(c: Column) -> Column:
+    """type/year/number of a path-like name, as a struct; null parts where they are missing."""
+    p = F.split(F.regexp_replace(c, r"^/+|/+$", ""), "[/_]")
+    at = lambda i: F.nullif(F.get(p, F.lit(i)), F.lit(""))
+    return F.struct(at(0).alias("type"), at(1).try_cast("int").alias("year"), at(2).alias("number"))
+
+
+def resource_path(url: Column) -> Column:
+    """What follows the host, without the leading slash."""
+    return F.regexp_extract(url, r"^[A-Za-z]+://[^/]+/(.*)$", 1)
+
+
+def upper_first(c: Column) -> Column:
+    return F.concat(F.upper(F.substr(c, F.lit(1), F.lit(1))), F.substr(c, F.lit(2)))
+
+
+#: Titles of persons (fixed values).
+PERSON_TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr"]
+
+
+def offender_kind(c: Column) -> Column:
+    """person or company: company words decide first, then titles of persons; a name of two or three capitalised words is a person."""
+    company = c.rlike(r"(?i)\b(?:ltd|limited|plc|llp|inc|company|council|trust|group|services)\b")
+    person = c.rlike(r"^(?:" + "|".join(PERSON_TITLES) + r")\b") | c.rlike(r"^[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}$")
+    return F.when(company, "company").when(person, "person").otherwise("company")
+
+
+#: Words that point to an industry group, in the order they are looked for (fixed values).
+INDUSTRY_WORDS = [("farm", "agriculture"), ("build", "construction"), ("construct", "construction"), ("chem", "manufacturing"), ("machin", "manufacturing"), ("waste", "services"), ("water", "utilities")]
+
+
+def industry_by_word(c: Column, other: str = "other") -> Column:
+    out = F.lit(other)
+    for word, name in reversed(INDUSTRY_WORDS):
+        out = F.when(F.lower(c).contains(word), name).otherwise(out)
+    return out
+
+
+def distinct_name(name: Column, generic: list[str], key: Column) -> Column:
+    """Generic names get their record's key as suffix, so that they do not merge."""
+    return F.when(F.lower(F.trim(name)).isin([g.lower() for g in generic]), F.concat(name, F.lit(" ("), key, F.lit(")"))).otherwise(name)
+
+
+def act_year(title: Column, guesses: dict[str, int]) -> Column:
+    """The year in a title, else that of the first keyword it holds."""
+    guess = F.lit(None).cast("int")
+    for word, year in reversed(guesses.items()):
+        guess = F.when(F.lower(title).contains(word), year).otherwise(guess)
+    return F.coalesce(title_year(title), guess)
+
+
+def notice_description(act: Column, section: Column, context: Column) -> Column:
+    return F.concat(F.lit("Breach of "), act, F.when(F.trim(section) != "", F.concat(F.lit(", section "), section)).otherwise(""), F.when(F.trim(context) != "", F.concat(F.lit(" ("), context, F.lit(")"))).otherwise(""))

@@ -116,3 +116,15 @@ def changed(pairs: list[tuple[Column, Column]]) -> Column:
 def json_payload(c: Column) -> Column:
     """JSON text without a code fence around it."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"^\s*```(?:json)?\s*", ""), r"\s*```\s*$", ""))
+
+
+def swap_date(c: Column) -> Column:
+    """d/m/y text to y-m-d text and back, parts as written."""
+    p = F.split(c, "[/-]")
+    return F.when(F.size(p) == 3, F.concat_ws("-", p[2], p[1], p[0]))
+
+
+def pending(since: Column, as_of: Column) -> Column:
+    """(months, days, total_days) from one date to another: whole months first, then the days that are left."""
+    months = F.floor(F.months_between(as_of, since)).cast("int")
+    return F.struct(months.alias("months"), F.datediff(as_of, F.add_months(since, months)).alias("days"), F.datediff(as_of, since).alias("total_days"))
