@@ -84,5 +84,14 @@ def keep_first(df: DataFrame, index: DigestIndex | None = None, id_col: str = "d
     names = df.columns
     stay = deduplicate(df, index, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct()
     hashed = df.withColumns({"_own_id": F.col(id_col), "_own": F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
-    met = hashed.join(stay, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
-    return met.dropDuplicates(["_own_id", "_own"]).select(*names)
+    return rows_that_stay(hashed, stay, ["_own_id", "_own"], ["_id", "_digest"]).select(*names)
+
+
+def rows_that_stay(df: DataFrame, stay: DataFrame, keys: list[str], stay_keys: list[str]) -> DataFrame:
+    """Rows of df whose keys are in stay (nulls equal), each combination once.
+
+    One digest of the keys serves both steps, so whole rows are shuffled once.
+    """
+    digest = lambda names: F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)])), 256)
+    met = df.withColumn("_where", digest(keys)).join(stay.select(digest(stay_keys).alias("_where")), "_where", "left_semi")
+    return met.dropDuplicates(["_where"])
