@@ -21,8 +21,23 @@ def test_windows_against_recursion(values, width):
         node(c + 1, r)
 
     node(0, len(values) - 1)
-    l, c, r = compact_windows(np.array(values, np.uint64) << np.uint64(40), width)
+    l, c, r, of = compact_windows(np.array(values, np.uint64) << np.uint64(40), width)
     assert sorted(zip(l.tolist(), c.tolist(), r.tolist())) == sorted(want)
+    assert [int(c[j]) for j in of] == [min(range(i, i + width), key=lambda x: (values[x], x)) for i in range(len(values) - width + 1)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 9), max_size=12), min_size=1, max_size=5), st.integers(1, 4))
+def test_joined_texts_have_the_cells_of_each(texts, width):
+    flat = np.array([x for t in texts for x in [*t, 0]], np.uint64)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    key, l, r, start = cells(flat, range(2), width, ends - 1)
+    want = []
+    for t, end in zip(texts, ends.tolist()):
+        at = end - 1 - len(t)
+        k, a, b, s = cells(np.array(t, np.uint64), range(2), width)
+        want += zip(k.tolist(), (a + at).tolist(), (b + at).tolist(), (s + at).tolist())
+    assert list(zip(key.tolist(), l.tolist(), r.tolist(), start.tolist())) == want
 
 
 def test_equal_passages_share_signatures():
