@@ -142,3 +142,13 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     for j in range(k):
         out += words[j : j + len(out)] * _SHINGLE_KEYS[j]
     return mix(out + np.uint64(k))
+
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of each width consecutive words, for any width (a polynomial from prefix sums)."""
+    n = len(words)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * _power(_BASE, n)[:n], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * _power(_INVERSE, n)[: n - width + 1])

@@ -31,13 +31,13 @@ def test_windows_against_recursion(values, width):
 def test_joined_texts_have_the_cells_of_each(texts, width):
     flat = np.array([x for t in texts for x in [*t, 0]], np.uint64)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    key, l, r, start = cells(flat, range(2), width, ends - 1)
+    key, l, r, start, till = cells(flat, range(2), width, ends - 1)
     want = []
     for t, end in zip(texts, ends.tolist()):
         at = end - 1 - len(t)
-        k, a, b, s = cells(np.array(t, np.uint64), range(2), width)
-        want += zip(k.tolist(), (a + at).tolist(), (b + at).tolist(), (s + at).tolist())
-    assert list(zip(key.tolist(), l.tolist(), r.tolist(), start.tolist())) == want
+        k, a, b, s, e = cells(np.array(t, np.uint64), range(2), width)
+        want += zip(k.tolist(), (a + at).tolist(), (b + at).tolist(), (s + at).tolist(), (e + at).tolist())
+    assert list(zip(key.tolist(), l.tolist(), r.tolist(), start.tolist(), till.tolist())) == want
 
 
 def test_equal_passages_share_signatures():
