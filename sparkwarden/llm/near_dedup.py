@@ -7,8 +7,9 @@ candidates grow with the members.  A candidate pair is verified by aligning the
 similarity = aligned / (length + length - aligned), an order-sensitive Jaccard similarity, and 0.8 or more links them.
 
 A bucket whose members do not all link to its leader is looser than one class, so its texts go to the next level, with
-longer bands and another leader for every bucket, where such texts part and true pairs meet again.  Links make classes
-by connected components.
+longer bands and another leader for every bucket, where such texts part and true pairs meet again.  What still met where
+a pair failed after the last level is compared exactly: a pair of 0.8 or more shares one of the rarest fifth of its
+labelled k-mers, so texts of different classes that share one are verified.  Links make classes by connected components.
 
 Texts with equal words are one text from the start (counted map-side), so large groups of copies cost one signature.
 
@@ -35,6 +36,8 @@ K, MINIMA, SIMILARITY = 5, 2, 0.8
 #: pair with about 0.0002 and 0.0002.
 LEVELS = ((2, 16), (4, 48))
 _CHUNK = 4096
+#: Bits of a labelled k-mer by which its occurrences are counted (the counts only order the k-mers), and parts of the counts.
+_COUNT_BITS, _COUNT_PARTS = 20, 64
 _MOST = max(r * b for r, b in LEVELS)
 _RNG = np.random.default_rng(20240505)  # its own: draws must not depend on what else a worker has imported
 _XOR = _RNG.integers(0, 1 << 63, _MOST, dtype=np.uint64)
@@ -51,7 +54,7 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     first = np.maximum.accumulate(np.where(np.append(False, same), 0, np.arange(len(kmers))))
     seen = np.zeros(len(kmers), np.uint64)
     seen[order] = (np.arange(len(kmers)) - first).astype(np.uint64)
-    return mix(kmers + seen * _R)
+    return np.where(seen > 0, mix(kmers + seen * _R), kmers)  # a first occurrence has the same label in every text
 
 
 def sketches(kmers: np.ndarray, n: int) -> np.ndarray:
@@ -174,6 +177,73 @@ def candidates(keyed: DataFrame, own_leaders: bool) -> DataFrame:
     return e.join(leaders, "_key").where("_words != _leader").select(F.greatest("_words", "_leader").alias("a"), F.least("_words", "_leader").alias("b")).distinct()
 
 
+def _loose(met: DataFrame) -> DataFrame:
+    """met: (a, b, similarity) of members and leaders.  All that met where a pair failed: whoever stands in such a pair,
+    and all that were compared with the same text."""
+    failed = met.where("similarity = 0").select(F.explode(F.array("a", "b")).alias("_end")).distinct()
+    near = met.select(F.col("a").alias("_end"), F.col("b").alias("_words")).unionByName(met.select(F.col("b").alias("_end"), F.col("a").alias("_words")))
+    return near.join(failed, "_end", "left_semi").select("_words").unionByName(failed.select(F.col("_end").alias("_words"))).distinct()
+
+
+def _kmer_lists(batches):
+    for rows, data, offsets in slices(batches):
+        hashes, _, _, first = word_hashes(data, offsets)
+        yield rows, [labelled(shingles(hashes[a:b], K)) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+
+
+def _kmer_counts(texts: DataFrame) -> np.ndarray:
+    """How often labelled k-mers with the same first bits occur: a fixed number of counts, whatever the number of texts."""
+    schema = "_part int, _counts binary"
+    shift, n = np.uint64(64 - _COUNT_BITS), 1 << _COUNT_BITS
+
+    def run(batches):
+        total = np.zeros(n, np.int64)
+        for _, lists in _kmer_lists(batches):
+            total += np.bincount((np.concatenate(lists) >> shift).astype(np.int64), minlength=n)
+        parts = total.reshape(_COUNT_PARTS, -1)
+        for i in range(_COUNT_PARTS if total.any() else 0):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], names=["_part", "_counts"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in part.column(1).to_pylist())
+        return pa.table({"_part": part.column(0)[:1], "_counts": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((_COUNT_PARTS, n // _COUNT_PARTS), np.int64)
+    for r in texts.mapInArrow(run, schema).groupBy("_part").applyInArrow(add, schema).collect():
+        out[r["_part"]] = np.frombuffer(r["_counts"], np.int64)
+    return np.minimum(out.ravel(), 0xFFFFFFFF).astype(np.uint32)
+
+
+def exact_candidates(texts: DataFrame, least: float) -> DataFrame:
+    """texts: (_words, _text, _label).  Distinct (a, b) of different labels, with every such pair of similarity least or more.
+
+    Labelled k-mers are ordered alike in all texts, rarest first.  With a Jaccard similarity of least or more (an aligned
+    one never exceeds it) two texts share one of their first n - ceil(least * n) + 1, and at the first that they share
+    enough must be left in both.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_kmer_counts(texts))
+    label = texts.schema["_label"].dataType.simpleString()
+
+    def run(batches):
+        counts, shift = shared.value, np.uint64(64 - _COUNT_BITS)
+        for rows, lists in _kmer_lists(batches):
+            heads = [x[np.lexsort((x, counts[(x >> shift).astype(np.int64)]))][: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] for x in lists]
+            sizes = np.array([len(h) for h in heads], np.int64)
+            owner = pa.array(np.repeat(np.arange(len(heads)), sizes))
+            place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n = np.repeat(np.array([len(x) for x in lists], np.int64), sizes)
+            columns = [rows.column(rows.schema.get_field_index(c)).take(owner) for c in ("_words", "_label")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(heads).view(np.int64)), pa.array(n, pa.int32()), pa.array(n - place, pa.int32())], names=["_words", "_label", "_kmer", "_n", "_left"])
+
+    heads = save(texts.select("_words", "_text", "_label").mapInArrow(run, f"_words binary, _label {label}, _kmer bigint, _n int, _left int"), "rare-kmers")
+    apart = heads.groupBy("_kmer").agg(F.min("_label").alias("_x"), F.max("_label").alias("_y")).where("_x != _y").select("_kmer")
+    here = heads.join(apart, "_kmer", "left_semi")
+    there = here.select("_kmer", *[F.col(c).alias(f"{c}2") for c in ("_words", "_label", "_n", "_left")])
+    enough = F.least("_left", "_left2") * (1 + least) >= least * (F.col("_n") + F.col("_n2")) - 1e-6
+    met = here.join(there, "_kmer").where((F.col("_words") > F.col("_words2")) & (F.col("_label") != F.col("_label2")) & enough)
+    return met.select(F.col("_words").alias("a"), F.col("_words2").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
     """One row for each row of df: the id, class_id (the least id of its class), n_links (verified links of its text), kept
     (whether it is its class's row that stays: the least id, of equal ids the least text hash)."""
@@ -200,19 +270,28 @@ def _classes(df: DataFrame, id_col: str, text_col: str, least: float, levels: tu
     held = docs.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
     texts = save(held.select("_words", "_text").dropDuplicates(["_words"]), "candidate-texts")
     checked = save(verify(pairs, texts, least), "verified")
-    found = [checked]
+    found, met = [checked], checked
     for rows, bands in levels[1:]:
-        # All that met where a pair failed: whoever stands in such a pair, and all that were compared with the same text.
-        failed = checked.where("similarity = 0").select(F.explode(F.array("a", "b")).alias("_end")).distinct()
-        near = checked.select(F.col("a").alias("_end"), F.col("b").alias("_words")).unionByName(checked.select(F.col("b").alias("_end"), F.col("a").alias("_words")))
-        loose = near.join(failed, "_end", "left_semi").select("_words").unionByName(failed.select(F.col("_end").alias("_words"))).distinct()
-        keyed = save(signatures(texts.join(loose, "_words", "left_semi").withColumnRenamed("_words", "_own"), rows, bands), "signatures")
-        known = reduce(DataFrame.unionByName, found).select("a", "b")
-        more = candidates(keyed, True).join(known, ["a", "b"], "left_anti")
-        checked = save(verify(more, texts, least), "verified")
-        found.append(checked)
-    links = save(reduce(DataFrame.unionByName, found).where("similarity > 0").select("a", "b"), "near-links")
-    label = components(links)
+        keyed = save(signatures(texts.join(_loose(met), "_words", "left_semi").withColumnRenamed("_words", "_own"), rows, bands), "signatures")
+        again = save(candidates(keyed, True), "candidates")
+        known = reduce(DataFrame.unionByName, found)
+        found.append(save(verify(again.join(known, ["a", "b"], "left_anti"), texts, least), "verified"))
+        met = reduce(DataFrame.unionByName, found).join(again, ["a", "b"], "left_semi")
+    linked = save(reduce(DataFrame.unionByName, found).where("similarity > 0").select("a", "b"), "near-links")
+    label = components(linked)
+    # Exactly: what met where a pair failed at the last level, but for pairs that links have brought together already.
+    rest = texts.join(_loose(met), "_words", "left_semi").join(label.withColumnRenamed("node", "_words"), "_words", "left")
+    rest = save(rest.select("_words", "_text", F.coalesce("label", "_words").alias("_label")), "loose-texts")
+    more = exact_candidates(rest, least).join(reduce(DataFrame.unionByName, found), ["a", "b"], "left_anti")
+    late = save(verify(save(more, "candidates"), rest, least), "verified").where("similarity > 0").select("a", "b")
+    links = linked.unionByName(late)
+    # The classes so far are the nodes that the late links connect.
+    own = rest.select(F.col("_words").alias("_node"), "_label")
+    ends = [late.join(own.withColumnsRenamed({"_node": x, "_label": f"_{x}"}), x) for x in ("a", "b")]
+    joined = ends[0].join(ends[1], ["a", "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    merged = components(joined)
+    label = label.unionByName(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("label")))
+    label = label.join(merged.select(F.col("node").alias("label"), F.col("label").alias("_next")), "label", "left").select("node", F.coalesce("_next", "label").alias("label"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of = label.join(degree, "node").join(unique.select(F.col("_words").alias("node"), "_rep"), "node")
     first = of.groupBy("label").agg(F.min("_rep").alias("_class"))

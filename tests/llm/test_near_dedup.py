@@ -75,3 +75,29 @@ def test_classes_against_brute_force(spark):
     assert [mine[i] for i in (1000, 1001, 1002)] == [1000, 1001, 1002]
     assert mine[None] == mine[0]
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_repeat_keeps_the_labels_of_first_occurrences():
+    x = np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert set(labelled(x).tolist()) <= set(labelled(np.append(x, x[:2])).tolist())
+
+
+def test_close_texts_inside_a_large_looser_family(spark):
+    rng = random.Random(12)
+    n, template = 200, [f"t{i}" for i in range(200)]
+
+    def changed(places):
+        words = list(template)
+        for i in places:
+            words[i] = f"x{rng.getrandbits(60)}"
+        return words
+
+    # A change spoils five k-mers: 5 leave two texts at about 0.63, 2 at about 0.82.
+    every = range(5, n - 5, 5)
+    loose = [changed(rng.sample(every, 5)) for _ in range(1500)]
+    close = [changed(rng.sample(every, 2)) for _ in range(12)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(loose + close)]
+    sequences = [kmers(t) for _, t in rows[1500:]]
+    assert all(aligned(a, b, 0.8) for i, a in enumerate(sequences) for b in sequences[:i])
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert len({got[i] for i in range(1500, 1512)}) == 1
