@@ -62,7 +62,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json")
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json", added=True)
     return token_files.read_documents(manifest)
 
 

@@ -55,25 +55,34 @@ class _Words(dict):
 
 
 class Encoder:
-    """Whole texts to ids with a byte-level BPE model of the tokenizers library; special tokens' strings are ordinary text."""
+    """Whole texts to ids with a byte-level BPE model of the tokenizers library.
 
-    def __init__(self, vocabulary: str):
+    added: the strings of the file's added tokens get those tokens' ids, as by the library's encode; else they are
+    ordinary text.  Only texts that hold such a string go through the library as a whole.
+    """
+
+    def __init__(self, vocabulary: str, added: bool = False):
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(vocabulary)
         self.code = "H" if library.get_vocab_size() <= 1 << 16 else "i"
         self.words = _Words(library, self.code)
+        self.library, self.added = library, [t.content.encode() for t in library.get_added_tokens_decoder().values()] if added else []
 
     def encode_slice(self, data: bytes, offsets: np.ndarray):
         begin, end, first = pieces_of(data, offsets)
         ids, cut = self.words.__getitem__, data.__getitem__
-        for a, b in zip(first, first[1:], strict=False):
-            yield b"".join(map(ids, map(cut, map(slice, begin[a:b], end[a:b]))))
+        special = [any(data.find(x, p, q) >= 0 for x in self.added) for p, q in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+        for i, (a, b) in enumerate(zip(first, first[1:], strict=False)):
+            if special[i]:
+                yield array(self.code, self.library.encode(data[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False).ids).tobytes()
+            else:
+                yield b"".join(map(ids, map(cut, map(slice, begin[a:b], end[a:b]))))
 
 
 @lru_cache(2)
-def encoder(vocabulary: str) -> Encoder:
-    return Encoder(vocabulary)
+def encoder(vocabulary: str, added: bool = False) -> Encoder:
+    return Encoder(vocabulary, added)
 
 
 class _Shard:
@@ -129,9 +138,10 @@ class _Shard:
             x.close()
 
 
-def write_token_files(df: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, batch: int = BATCH) -> DataFrame:
+def write_token_files(df: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, batch: int = BATCH, added: bool = False) -> DataFrame:
     """Encode every row of df, append end_id to each document and write the shards to folder (default: the shared work
     folder).  Returns the manifest, one row for each shard in document order, with global_start: ids in all shards before it.
+    added: strings of the vocabulary's added tokens get those tokens' ids (the library's default).
     """
     spark = df.sparkSession
     out = folder or work_dir(spark, "token-files")
@@ -142,7 +152,7 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str | None = None,
 
     def run(batches):
         task, shard = TaskContext.get(), None
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, added)
         end = array(encode.code, [end_id]).tobytes()
         for rows, data, offsets in slices(batches):
             if shard is None:

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
+from sparkwarden.llm.queries import op10_token_files
 from sparkwarden.llm.token_files import SequenceFile, read_documents, write_token_files
 
 PATH = P.path("byte_bpe_50k.json")
@@ -37,3 +38,13 @@ def test_round_trip(spark, tmp_path):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert read_documents(write_token_files(df, PATH)).count() == 0
+
+
+def test_added_tokens_as_in_the_library(spark, tmp_path):
+    spark.createDataFrame([(i, t) for i, t in enumerate(["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "é <|endoftext| >", "日本<|endoftext|>", None])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    library = Tokenizer.from_file(PATH)
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in docs.items()}
+    assert 50256 in ids[0]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in op10_token_files(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4"))) for i, x in ids.items()}
