@@ -88,3 +88,16 @@ def test_passages(spark):
         if {r.doc_id, r.other_id} <= {3, 11, 30}:
             assert words[r.doc_id][r.first_word : r.end_word] == shared == words[r.other_id][r.other_first_word : r.other_end_word]
     assert repeated_passages(df.limit(0)).count() == 0
+
+
+def test_recall_of_passages_with_one_edit(spark):
+    rng = random.Random(31)
+    text = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    rows = []
+    for i in range(150):
+        a = text(50)
+        b = list(a)
+        b[rng.randint(5, 44)] = text(1)[0]  # 41 of 51 shingles in common
+        rows += [(2 * i, " ".join(text(40) + a + text(40))), (2 * i + 1, " ".join(text(60) + b + text(20)))]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {min(r.doc_id, r.other_id) // 2 for r in got if r.doc_id // 2 == r.other_id // 2} == set(range(150))
