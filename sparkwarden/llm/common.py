@@ -7,7 +7,7 @@ input never matter.  A null text is an empty text everywhere.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+#: Rows of one key that one task may meet in a join, how many more frequent keys are broadcast, and parts of a key beyond.
+HOT_ROWS, HOT_KEYS, SALTS = 10_000, 10_000, 64
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, n: str, wide: bool = False) -> DataFrame:
+    """Inner join with a right side that has each key once, and in column n (dropped) how many rows of left have it.
+
+    Keys of more than HOT_ROWS rows are joined apart, so that no task meets all rows of such a key: up to HOT_KEYS of them
+    by broadcast (that many rows; not if wide, where a row's size has no bound), else salted, SALTS parts for each key.
+    """
+    few = right.where(F.col(n) > HOT_ROWS).select(key).limit(HOT_KEYS + 1).count()
+    if not few:
+        return left.join(right.drop(n), key)
+    hot, cold = right.where(F.col(n) > HOT_ROWS).drop(n), right.where(F.col(n) <= HOT_ROWS).drop(n)
+    if few <= HOT_KEYS and not wide:
+        often = left.join(F.broadcast(hot), key)
+    else:
+        salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        parts = F.explode(F.array([F.lit(i) for i in range(SALTS)])).alias("_salt")
+        often = salted.join(hot.select("*", parts), [key, "_salt"]).drop("_salt")
+    return often.unionByName(left.join(cold, key))
+
+
+def bucket_counts(df: DataFrame, arrays: Callable[[Iterable[pa.RecordBatch]], Iterable[np.ndarray]], bits: int, parts: int = 64) -> np.ndarray:
+    """How often hashes with the same first bits occur in df: a fixed number of counts, whatever the number of rows.
+    arrays: the uint64 hashes of Arrow batches."""
+    schema, shift, n = "_part int, _counts binary", np.uint64(64 - bits), 1 << bits
+
+    def run(batches):
+        total = np.zeros(n, np.uint32)
+        for x in arrays(batches):
+            total += np.bincount((x >> shift).astype(np.int64), minlength=n).astype(np.uint32)
+        blocks = total.reshape(parts, -1)
+        for i in range(parts if total.any() else 0):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blocks[i].tobytes()], pa.binary())], names=["_part", "_counts"])
+
+    def add(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = np.zeros(n // parts, np.uint64), None
+        for b in batches:
+            part = b.column(0)[:1]
+            for x in b.column(1).to_pylist():
+                total += np.frombuffer(x, np.uint32)
+        yield pa.RecordBatch.from_arrays([part, pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], names=["_part", "_counts"])
+
+    out = np.zeros((parts, n // parts), np.uint32)
+    for r in df.mapInArrow(run, schema).groupBy("_part").applyInArrow(add, schema).collect():
+        out[r["_part"]] = np.frombuffer(r["_counts"], np.uint32)
+    return out.ravel()
+
+
 # ---------------------------------------------------------------- text as arrays
 
 

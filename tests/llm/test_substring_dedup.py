@@ -1,10 +1,13 @@
 import random
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkwarden.llm.substring_dedup import cells, compact_windows, repeated_passages
+from sparkwarden.llm.common import mix, shingles
+from sparkwarden.llm.near_dedup import banded_lcs
+from sparkwarden.llm.substring_dedup import cells, compact_windows, passages_of, repeated_passages, run_width
 
 
 @settings(max_examples=300, deadline=None)
@@ -101,3 +104,96 @@ def test_recall_of_passages_with_one_edit(spark):
         rows += [(2 * i, " ".join(text(40) + a + text(40))), (2 * i + 1, " ".join(text(60) + b + text(20)))]
     got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {min(r.doc_id, r.other_id) // 2 for r in got if r.doc_id // 2 == r.other_id // 2} == set(range(150))
+
+
+def _good_windows(a, b, width, least=0.8):
+    """Starts in a of the windows that some window of b resembles, by trying all pairs."""
+    out, need = set(), 2 * width * least / (1 + least) - 1e-9
+    for i in range(len(a) - width + 1):
+        inside = np.append(0, np.cumsum(np.isin(b, a[i : i + width])))
+        for j in np.flatnonzero(inside[width:] - inside[:-width] >= need).tolist():
+            x, y = a[i : i + width].tolist(), b[j : j + width].tolist()
+            if sum((Counter(x) & Counter(y)).values()) >= need and banded_lcs(x, y, width) >= need:
+                out.add(i)
+                break
+    return out
+
+
+def _hashed(words):
+    return shingles(mix(np.array(words, np.uint64) + np.uint64(77)), 5)
+
+
+def test_pairs_against_brute_force():
+    rng, missed, total = random.Random(5), 0, 0
+    for trial in range(60):
+        passage, alphabet = (30, 50)[trial % 2], rng.choice([2, 5, 50, 10**6])
+        word = lambda: rng.randrange(alphabet)  # noqa: B023, E731
+        common = [word() for _ in range(rng.randint(passage, 2 * passage))]
+
+        def copy():
+            p = list(common)  # noqa: B023
+            for _ in range(rng.randint(0, 2)):
+                k, what = rng.randrange(len(p)), rng.random()
+                p[k : k + (what < 0.7)] = [] if what < 0.3 else [rng.randrange(10**6)]
+            return p
+
+        a, b = (_hashed([word() for _ in range(rng.randint(0, 30))] + [x for _ in range(rng.randint(1, 2)) for x in [*copy(), *(word() for _ in range(rng.randint(0, 20)))]]) for _ in range(2))
+        got = passages_of(a, b, passage)
+        for x, y, p, q, s in got:
+            assert y - x >= passage and q - p >= passage and s >= 0.8 - 1e-9 and y <= len(a) + 4 and q <= len(b) + 4
+        assert all(g[0] < h[0] and g[1] < h[1] for g, h in zip(got, got[1:]))
+        spare = passage - 4 - run_width(passage, 0.8)[1]  # a passage ends with words in common, a window need not
+        want = _good_windows(a, b, passage - 4)
+        total += len(want)
+        missed += sum(not any(x <= i + spare and i + passage - spare <= y for x, y, *_ in got) for i in want) if alphabet > 2 else 0
+    assert total > 300 and missed <= 0.005 * total
+
+
+def test_one_row_for_a_passage_and_for_text_in_circles():
+    rng = np.random.default_rng(2)
+    one, two = rng.integers(0, 1 << 62, 400), rng.integers(0, 1 << 62, 300)
+    a, b = np.concatenate([two[:100], one]), np.concatenate([one, two[200:]])
+    assert passages_of(_hashed(a), _hashed(b)) == [(100, 500, 0, 400, 1.0)]
+    assert passages_of(_hashed([1] * 500), _hashed([1] * 60 + list(range(9, 80)))) == [(0, 500, 0, 60, 1.0)]
+    assert passages_of(_hashed([1] * 500), _hashed([1] * 40 + list(range(9, 80)))) == []
+    b[200] = 5  # one word changed
+    (x, y, p, q, s), = passages_of(_hashed(a), _hashed(b))
+    assert (x, y, p, q) == (100, 500, 0, 400) and s == 391 / 401
+
+
+def test_rows_against_brute_force(spark):
+    """Texts with lines that many share, copies in one text, near copies and circles: every window of 50 words that another
+    text resembles lies in a reported passage."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    new = lambda n: [word() for _ in range(n)]
+    lines, long, round_ = [new(n) for n in (26, 30, 40)], [new(n) for n in (55, 90, 140)], [["la"], new(6)]
+    rows = []
+    for _ in range(40):
+        t = new(rng.randint(0, 20))
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            p = list(rng.choice(lines if kind < 0.5 else long) if kind < 0.85 else rng.choice(round_) * rng.randint(10, 60))
+            if rng.random() < 0.4 and kind < 0.85:
+                p[rng.randrange(len(p))] = word()
+            t += p + new(rng.choice([0, 3, 12, 30]))
+        rows.append(t)
+    # The leader of the line has it alone; others share a passage around the line, parted by an edit beside it.
+    for k in range(12):
+        tail = new(19)
+        rows += [lines[1] + new(1) + tail + new(20), lines[1] + new(1) + tail + new(25)]
+    got = repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").repartition(4)).collect()
+    spans, flat = {}, {}
+    for r in got:
+        assert r.end_word - r.first_word >= 50 and r.other_end_word - r.other_first_word >= 50 and r.similarity >= 0.8 - 1e-9 and r.doc_id != r.other_id
+        spans.setdefault(r.doc_id, []).append((r.first_word, r.end_word))
+        spans.setdefault(r.other_id, []).append((r.other_first_word, r.other_end_word))
+    codes: dict[str, int] = {}
+    flat = [_hashed([codes.setdefault(w, len(codes)) for w in t]) if len(t) > 4 else np.zeros(0, np.uint64) for t in rows]
+    missed = total = 0
+    for i, a in enumerate(flat):
+        want = set().union(*(_good_windows(a, b, 46) for j, b in enumerate(flat) if j != i))
+        total += len(want)
+        missed += sum(not any(x <= k + 5 and k + 45 <= y for x, y in spans.get(i, ())) for k in want)
+    assert total > 1000 and missed <= 0.005 * total
+    assert {i for i in range(40, 64)} <= set(spans)
