@@ -52,15 +52,15 @@ def held_out(doc_id: Column) -> Column:
 HOT_ROWS, HOT_KEYS, SALTS = 10_000, 10_000, 64
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, n: str, wide: bool = False) -> DataFrame:
-    """Inner join with a right side that has each key once, and in column n (dropped) how many rows of left have it.
+def join_unique(left: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner", wide: bool = False) -> DataFrame:
+    """Join (inner or left) with a right side that has each key once, and in column n (dropped) how many rows of left have it.
 
     Keys of more than HOT_ROWS rows are joined apart, so that no task meets all rows of such a key: up to HOT_KEYS of them
     by broadcast (that many rows; not if wide, where a row's size has no bound), else salted, SALTS parts for each key.
     """
     few = right.where(F.col(n) > HOT_ROWS).select(key).limit(HOT_KEYS + 1).count()
     if not few:
-        return left.join(right.drop(n), key)
+        return left.join(right.drop(n), key, how)
     hot, cold = right.where(F.col(n) > HOT_ROWS).drop(n), right.where(F.col(n) <= HOT_ROWS).drop(n)
     if few <= HOT_KEYS and not wide:
         often = left.join(F.broadcast(hot), key)
@@ -68,7 +68,10 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, n: str, wide: bool
         salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
         parts = F.explode(F.array([F.lit(i) for i in range(SALTS)])).alias("_salt")
         often = salted.join(hot.select("*", parts), [key, "_salt"]).drop("_salt")
-    return often.unionByName(left.join(cold, key))
+    if how == "left":
+        keys = hot.select(key)
+        left = left.join(F.broadcast(keys) if few <= HOT_KEYS else keys, key, "left_anti")
+    return often.unionByName(left.join(cold, key, how))
 
 
 def bucket_counts(df: DataFrame, arrays: Callable[[Iterable[pa.RecordBatch]], Iterable[np.ndarray]], bits: int, parts: int = 64) -> np.ndarray:
@@ -79,7 +82,7 @@ def bucket_counts(df: DataFrame, arrays: Callable[[Iterable[pa.RecordBatch]], It
     def run(batches):
         total = np.zeros(n, np.uint32)
         for x in arrays(batches):
-            total += np.bincount((x >> shift).astype(np.int64), minlength=n).astype(np.uint32)
+            np.add.at(total, (x >> shift).astype(np.int64), np.uint32(1))
         blocks = total.reshape(parts, -1)
         for i in range(parts if total.any() else 0):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blocks[i].tobytes()], pa.binary())], names=["_part", "_counts"])
