@@ -61,6 +61,54 @@ def fuzzy_best(left: DataFrame, right: DataFrame, block: str, name: str, least:
     return scored.groupBy(block, name).agg(F.max_by(F.struct("_id", "score"), F.struct("score", -F.col("_id"))).alias("_b")).select(block, name, F.col("_b._id").alias("best_id"), F.col("_b.score").alias("score"))
 
 
+def similar_texts(a: DataFrame, b: DataFrame, name: str, least: float) -> DataFrame:
+    """(name, other, score): every pair of distinct texts of a and b whose trigrams are alike by least or more.
+
+    Prefix filter: with the trigrams of all texts in one order, the rarest first, two texts of similarity least share one of
+    their first n - ceil(least n) + 1.  So pairs meet in an inverted index of rare trigrams only, and none is lost.  There
+    are some 50,000 trigrams of letters and digits at most, so their counts may be broadcast.
+    """
+    texts = [x.select(F.col(name).alias("_t")).where(F.col(name).isNotNull()).distinct() for x in (a, b)]
+    grams = [x.withColumn("_all", similarity.trigrams(F.col("_t"))).select("_t", F.size("_all").alias("_n"), F.explode("_all").alias("_g")) for x in texts]
+    counts = grams[0].unionByName(grams[1]).groupBy("_g").agg(F.count("*").alias("_c"))
+
+    def index(g: DataFrame) -> DataFrame:
+        ordered = g.join(F.broadcast(counts), "_g").groupBy("_t", "_n").agg(F.sort_array(F.collect_list(F.struct("_c", "_g"))).alias("_o"))
+        return ordered.select("_t", "_n", F.explode(F.slice("_o", F.lit(1), (F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).cast("int"))).alias("_x")).select("_t", "_n", F.col("_x._g").alias("_g"))
+
+    left = index(grams[0]).select("_g", F.col("_t").alias("_a"), F.col("_n").alias("_size1"))
+    right = index(grams[1]).select("_g", F.col("_t").alias("_b"), F.col("_n").alias("_size2"))
+    near = F.least("_size1", "_size2") >= F.greatest("_size1", "_size2") * least - 1e-9
+    pairs = left.join(right, "_g").where(near).select(F.col("_a").alias(name), F.col("_b").alias("other")).distinct()
+    return pairs.withColumn("score", similarity.trigram_similarity(F.col(name), F.col("other"))).where(F.col("score") >= least)
+
+
+def best_similar(left: DataFrame, right: DataFrame, name: str, least: float, id_: str = "id") -> DataFrame:
+    """(name, best_id, score): for each text of left the most similar of right above least; of equal scores the least id."""
+    ids = right.groupBy(F.col(name).alias("other")).agg(F.min(id_).alias("_id"))
+    met = similar_texts(left, right, name, least).where(F.col("score") > least).join(ids, "other")
+    return met.groupBy(name).agg(F.max_by(F.struct("_id", "score"), F.struct("score", -F.col("_id"))).alias("_b")).select(name, F.col("_b._id").alias("best_id"), F.col("_b.score").alias("score"))
+
+
+def partial_matches(refs: DataFrame, known: DataFrame, part: str, name: str, id_: str = "id") -> DataFrame:
+    """(part, found_id): the least id of the known names that hold the part, in any case.
+
+    A name that holds a part holds each three letters of it, so they meet under its rarest three; parts of one or two letters
+    meet under themselves.
+    """
+    parts = refs.select(F.lower(part).alias("_p"), F.col(part).alias(part)).where(F.length(part) > 0).distinct()
+    names = known.groupBy(F.lower(name).alias("_t")).agg(F.min(id_).alias("_id"))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substr(c, i, F.lit(3))))
+    short = parts.where(F.length("_p") < 3)
+    index = names.select("_t", "_id", F.explode(grams(F.col("_t"))).alias("_g"))
+    counts = index.groupBy("_g").agg(F.count("*").alias("_c"))
+    each = parts.where(F.length("_p") >= 3).select(part, "_p", F.explode(grams(F.col("_p"))).alias("_g")).join(counts, "_g", "left")
+    rarest = each.groupBy(part, "_p").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), "_g")).alias("_r")).select(part, "_p", F.col("_r._g").alias("_g"))
+    met = rarest.join(index, "_g").where(F.col("_t").contains(F.col("_p"))).select(part, "_id")
+    two = names.select("_id", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i: F.array(F.substr(F.col("_t"), i, F.lit(1)), F.substr(F.col("_t"), i, F.lit(2))))))).alias("_p"))
+    return met.unionByName(short.join(two, "_p").select(part, "_id")).groupBy(part).agg(F.min("_id").alias("found_id"))
+
+
 def match_legislation(refs: DataFrame, legislation: DataFrame, least: float = 0.85) -> DataFrame:
     """Six tiers, the first that fits wins: year, type and number; title, year and number; title, year and type; title and
     year; similar title of the year; none (to be created).  refs and legislation have title, year, type, number; refs keep
@@ -83,17 +131,46 @@ def match_legislation(refs: DataFrame, legislation: DataFrame, least: float = 0.
 
 
 def match_offenders(incoming: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
-    """Tiers: name and postcode (nulls equal), name, similar name in the same postcode, none.  Both have name and postcode;
-    incoming gains offender_id and tier."""
+    """Tiers: name and postcode; name; similar name (trigrams above least), whatever the postcode; none.  Without a postcode
+    the second tier is the first.  Both have name and postcode; incoming gains offender_id and tier."""
     norm = lambda df: df.withColumn("_n", text.company_name(F.col("name"))).withColumn("_p", text.postcode(F.col("postcode")))
     a, b = norm(incoming), norm(known)
-    both = b.groupBy(F.col("_n").alias("_n1"), F.col("_p").alias("_p1")).agg(F.min("id").alias("_t1"))
-    name = b.groupBy("_n").agg(F.min("id").alias("_t2"))
-    out = a.join(both, (F.col("_n") == F.col("_n1")) & F.col("_p").eqNullSafe(F.col("_p1")), "left").join(name, "_n", "left")
-    close = fuzzy_best(out.where("_t1 is null and _t2 is null"), b, "_p", "_n", least).select("_p", "_n", F.col("best_id").alias("_t3"))
-    out = out.join(close, ["_p", "_n"], "left")
+    both = b.groupBy("_n", "_p").agg(F.min("id").alias("_t1"))
+    return _tiers(a.join(both, ["_n", "_p"], "left"), b, incoming.columns, least)
+
+
+def match_by_number(incoming: DataFrame, known: DataFrame, least: float = 0.8) -> DataFrame:
+    """Tiers: company number (cleaned; blank ones are none); name; similar name; none.  Both have name and number."""
+    number = F.upper(F.regexp_replace("number", r"\s+", ""))
+    norm = lambda df: df.withColumn("_n", text.company_name(F.col("name"))).withColumn("_p", F.when(number != "", number))
+    a, b = norm(incoming), norm(known)
+    same = b.where("_p is not null").groupBy("_p").agg(F.min("id").alias("_t1"))
+    return _tiers(a.join(same, "_p", "left"), b, incoming.columns, least)
+
+
+def _tiers(out: DataFrame, known: DataFrame, columns: list[str], least: float) -> DataFrame:
+    out = out.join(known.groupBy("_n").agg(F.min("id").alias("_t2")), "_n", "left")
+    # Only what no equal key has found is compared by similarity.
+    close = best_similar(out.where("_t1 is null and _t2 is null"), known, "_n", least).select("_n", F.col("best_id").alias("_t3"))
+    out = out.join(close, "_n", "left")
     tier = F.when(F.col("_t1").isNotNull(), 1).when(F.col("_t2").isNotNull(), 2).when(F.col("_t3").isNotNull(), 3).otherwise(4)
-    return out.select(*incoming.columns, F.coalesce("_t1", "_t2", "_t3").alias("offender_id"), tier.alias("tier"))
+    return out.select(*columns, F.coalesce("_t1", "_t2", "_t3").alias("offender_id"), tier.alias("tier"))
+
+
+def best_candidate(incoming: DataFrame, known: DataFrame, search: float = 0.5) -> DataFrame:
+    """The best known candidate of each incoming row (ref, name, postcode), or null: candidates are found by trigrams, scored
+    by name_similarity; two different postcodes exclude, equal ones add 0.15 above 0.6 (1 at most); above 0.7 the highest
+    score wins, then an equal postcode, then the least id.
+    """
+    norm = lambda df: df.withColumn("_n", text.company_name(F.col("name"))).withColumn("_p", F.upper(F.trim("postcode")))
+    a, b = norm(incoming), norm(known)
+    scored = similar_texts(a, b, "_n", search).withColumn("_s", similarity.name_similarity(F.col("_n"), F.col("other"))).where("_s > 0.55").select("_n", "other", "_s")
+    met = a.select("ref", "_n", "_p").join(scored, "_n").join(b.select("id", F.col("_n").alias("other"), F.col("_p").alias("_q")), "other")
+    match = F.col("_p").eqNullSafe(F.col("_q"))
+    met = met.where("_p is null or _q is null or _p = _q").withColumn("_match", match)
+    met = met.withColumn("score", F.when(F.col("_match") & (F.col("_s") > 0.6), F.least(F.col("_s") + 0.15, F.lit(1.0))).otherwise(F.col("_s"))).where("score > 0.7")
+    best = met.groupBy("ref").agg(F.max_by(F.struct("id", "score", "_match"), F.struct("score", "_match", -F.col("id"))).alias("_b"))
+    return incoming.join(best, "ref", "left").select("ref", F.col("_b.id").alias("offender_id"), F.col("_b.score").alias("score"))
 
 
 def register_decision(candidates: DataFrame, key: str, name: Column, candidate: Column, compatible: Column, sure: float = 0.90) -> DataFrame:

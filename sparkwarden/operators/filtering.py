@@ -82,3 +82,12 @@ def recency_split(df: DataFrame, date: str, as_of: Column, months: int = 36) ->
     """Rows from the last months, and older ones; rows without a date are in neither."""
     cut = F.add_months(as_of, -months)
     return df.where(F.col(date) >= cut), df.where(F.col(date) < cut)
+
+
+#: What the address of a news item on enforcement holds, any of them, in any case (fixed values).
+ENFORCEMENT_SLUGS = ["-fined-", "-prosecuted-", "-sentenced-", "-prosecution", "-guilty-", "-convicted-", "-illegal-", "-court-", "-ordered-to-pay-"]
+
+
+def enforcement_url(url: Column) -> Column:
+    """False for a null URL."""
+    return F.coalesce(F.lower(url).rlike("|".join(ENFORCEMENT_SLUGS)), F.lit(False))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwarden.plans.storage import keep
+
 
 def count_if(c: Column) -> Column:
     return F.count(F.when(c, 1))
@@ -77,13 +81,43 @@ def histogram(df: DataFrame, value: Column, edges: list[float]) -> DataFrame:
 def statistics(df: DataFrame, value: Column) -> DataFrame:
     """Over values above 0: count, sum, mean, median, min, max; zeros when there are none."""
     v = value.cast("double")
-    got = df.where(v > 0).agg(F.count("*").alias("n"), F.sum(value).cast("double").alias("total"), F.round(F.avg(value), 4).cast("double").alias("mean"), F.median(v).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"))
-    return got.select("n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("total", "mean", "median", "low", "high")])
+    got = df.where(v > 0).agg(F.count("*").alias("n"), F.sum(value).cast("double").alias("total"), F.round(F.avg(value), 4).cast("double").alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"))
+    middle = at_ranks(df.select(v.alias("_v")).where("_v > 0"), "_v", {"_x": lambda n: F.floor((n + 1) / 2), "_y": lambda n: F.ceil((n + 1) / 2)})
+    both = got.crossJoin(middle).withColumn("median", (F.col("_x") + F.col("_y")) / 2)  # a row each
+    return both.select("n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("total", "mean", "median", "low", "high")])
+
+
+def at_ranks(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row: the values of df at these ranks, each a function of the number of values (nulls apart).
+
+    Distinct values are counted map-side and range-partitioned; running counts within partitions and over the partitions'
+    sums find each rank, so no task sees more than its range.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranged = keep(counted.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()), "ranks")
+    parts = ranged.groupBy("_p").agg(F.sum("_n").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    whole = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = parts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(whole).alias("_total"))
+    up_to = F.col("_base") + F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
+    placed = ranged.join(F.broadcast(sums), "_p").withColumn("_last", up_to)
+    here = lambda rank: (rank > F.col("_last") - F.col("_n")) & (rank <= F.col("_last"))
+    return placed.agg(*[F.max(F.when(here(rank(F.col("_total"))), F.col("_v"))).alias(name) for name, rank in ranks.items()])
 
 
 def nearest_rank(df: DataFrame, value: str, percents: list[int]) -> DataFrame:
     """Nearest-rank percentiles: the ceil(n p / 100)-th smallest value."""
-    return df.agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias(f"p{p}") for p in percents])
+    return at_ranks(df, value, {f"p{p}": lambda n, p=p: F.greatest(F.lit(1), F.ceil(n * p / 100)) for p in percents})
+
+
+def run_metrics(df: DataFrame, success: Column, latency: str, percents: list[int]) -> DataFrame:
+    """One row on runs: total, successful, failed, success_rate in percent, avg_latency, percentiles of the latency, and
+    throughput_per_hour of runs one after the other (latency in milliseconds)."""
+    n, good = F.count("*"), F.count_if(success)
+    rate = F.when(n > 0, F.round(100.0 * good / n, 1)).otherwise(0.0)
+    per_hour = F.when(F.sum(latency) > 0, F.round(n / (F.sum(latency) / 3600000), 1)).otherwise(0.0)
+    counts = df.agg(n.alias("total"), good.alias("successful"), (n - good).alias("failed"), rate.alias("success_rate"), F.coalesce(F.round(F.avg(latency), 1), F.lit(0.0)).alias("avg_latency"), per_hour.alias("throughput_per_hour"))
+    return counts.crossJoin(nearest_rank(df, latency, percents))  # a row each
 
 
 def distinct_sets(fact: DataFrame, key: str, value: str) -> DataFrame:

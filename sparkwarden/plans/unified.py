@@ -33,6 +33,14 @@ def with_names(fact: DataFrame, offenders: DataFrame, agencies: DataFrame | None
     return out
 
 
+def nested_offences(offences: DataFrame, cases: DataFrame, notices: DataFrame, legislation: DataFrame) -> DataFrame:
+    """Offences (with case_id, notice_id, legislation_id) with the structs case, notice and legislation, null where there is none."""
+    c = cases.select(F.col("id").alias("case_id"), F.struct("id", "result", F.date_format("action_date", "yyyy-MM-dd").alias("date")).alias("case"))
+    n = notices.select(F.col("id").alias("notice_id"), F.struct("id", F.col("action_type").alias("type")).alias("notice"))
+    l = legislation.select(F.col("id").alias("legislation_id"), F.struct("id", "title", "year").alias("legislation"))  # noqa: E741
+    return offences.join(c, "case_id", "left").join(n, "notice_id", "left").join(l, "legislation_id", "left")
+
+
 def recent_activity(fact: DataFrame, offenders: DataFrame, agencies: DataFrame, n: int = 100) -> DataFrame:
     """Latest n rows by date; the sort and limit run before the joins, which then see n rows only."""
     latest = fact.where("action_date is not null").orderBy(F.col("action_date").desc(), "record_type", "id").limit(n)

@@ -165,12 +165,11 @@ def x43_act_years(s, d):
     return T.legislation(s, d).select("id", F.coalesce(y, F.lit(-1)).alias("year"), text.notice_description(F.col("title"), section, context).alias("description"), text.breach_type(F.when(F.col("id") % 2 == 0, "Some Act 1990").otherwise("none")).alias("kind"))
 
 
-@query(r""" SELECT id, strftime(action_date, '%Y-%m-%d') AS swapped, date_diff('day', action_date, DATE '2002-01-01') AS total_days, CAST(datesub('month', action_date, DATE '2002-01-01') AS BIGINT) AS months FROM cases WHERE day(action_date) <= 28""")
+@query(r""" SELECT id, strftime(action_date, '%Y-%m-%d') AS swapped, date_diff('day', action_date, DATE '2002-01-01') AS total_days, CAST(datesub('month', action_date, DATE '2002-01-01') AS BIGINT) AS months FROM cases""")
 def y07_pending(s, d):
     # y03, the reshuffled date text, is the second column.
     p = values.pending(F.col("action_date"), F.lit(date(2002, 1, 1)))
-    c = T.cases(s, d).where(F.dayofmonth("action_date") <= 28)
-    return c.select("id", values.swap_date(F.date_format("action_date", "dd/MM/yyyy")).alias("swapped"), p.alias("p")).select("id", "swapped", F.col("p.total_days").cast("bigint").alias("total_days"), F.col("p.months").cast("bigint").alias("months"))
+    return T.cases(s, d).select("id", values.swap_date(F.date_format("action_date", "dd/MM/yyyy")).alias("swapped"), p.alias("p")).select("id", "swapped", F.col("p.total_days").cast("bigint").alias("total_days"), F.col("p.months").cast("bigint").alias("months"))
 
 
 @query(r""" SELECT strftime(action_date, '%Y-%m-%d') AS day, strftime(action_date, '%Y') AS year, count(*) AS n FROM cases GROUP BY 1, 2""")

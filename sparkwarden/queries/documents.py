@@ -46,18 +46,36 @@ def x38_normal_urls(s, d):
     return T.load(s, d, "pages").select("page_id", text.normal_url(F.col("url")).alias("url"))
 
 
-@query(""", m AS (SELECT user_id, event_id, value, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'insert' ELSE 'update' END AS operation FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM m)
-SELECT user_id, event_id, value FROM l WHERE r = 1 AND operation <> 'delete'""")
-def st01_change_feed(s, d):
-    # st02, st03 and st07 (phases, micro-batches, triggers) are how it is run: what is there, in batches, then stop.
+FEED = """, m AS (SELECT user_id, event_id, value, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'insert' ELSE 'update' END AS operation FROM events),
+d AS (SELECT user_id, coalesce(max(event_id) FILTER (WHERE operation = 'delete'), -1) AS cut FROM m GROUP BY 1),
+i AS (SELECT m.user_id, min(event_id) AS first FROM m JOIN d ON m.user_id = d.user_id WHERE operation = 'insert' AND event_id > cut GROUP BY 1),
+r AS (SELECT m.*, row_number() OVER (PARTITION BY m.user_id ORDER BY event_id DESC) AS r FROM m JOIN i ON m.user_id = i.user_id WHERE event_id = first OR operation = 'update' AND event_id > first)"""
+
+
+def _feed(s, d):
     e = s.readStream.schema(T.load(s, d, "events").schema).parquet(f"{d}/events*.parquet")
     op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "insert").otherwise("update")
-    messages = e.select("user_id", "event_id", "value", op.alias("operation"))
-    table = feed.SnapshotTable(s, shared_path(s, "feed"), "user_id bigint, event_id bigint, value double")
-    feed.run_feed(messages, table, "user_id", lambda: F.col("event_id"), shared_path(s, "feed-progress"))
+    return e.select("user_id", "event_id", "value", op.alias("operation")), feed.SnapshotTable(s, shared_path(s, "feed"), "user_id bigint, event_id bigint, value double", "user_id")
+
+
+@query(FEED + " SELECT user_id, event_id, value FROM r WHERE r = 1")
+def st01_change_feed(s, d):
+    messages, table = _feed(s, d)
+    feed.run_feed(messages, table, lambda: F.col("event_id"), shared_path(s, "feed-progress"))
     return table.read()
 
 
+@query(FEED + " SELECT user_id, event_id, value FROM r WHERE r = 1")
+def st02_compacted_feed(s, d):
+    # The feed once more after a restart from its own progress, which adds nothing; then compacted.
+    messages, table = _feed(s, d)
+    progress = shared_path(s, "feed-progress")
+    feed.run_feed(messages, table, lambda: F.col("event_id"), progress)
+    again = feed.SnapshotTable(s, table.path, "user_id bigint, event_id bigint, value double", "user_id")
+    feed.run_feed(messages, again, lambda: F.col("event_id"), progress)
+    return again.compacted(shared_path(s, "feed-compacted")).read()
+
+
 @query(""", l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, event_id, event_type FROM l WHERE r = 1 AND event_type <> 'error'""")
 def st06_replay(s, d):
     e = T.load(s, d, "events").withColumn("operation", F.when(F.col("event_type") == "error", "delete").otherwise("update"))

@@ -164,9 +164,9 @@ def x40_offence_references(s, d):
     return x.select("case_id", "sequence", "legislation_id", "part_no", F.concat("title", F.lit(" - Section "), "sequence").alias("reference"), F.coalesce("_p", F.lit("unknown")).alias("parent_type"), F.col("sequence").isNotNull().alias("has_sequence"))
 
 
-@query(""" SELECT id, CASE WHEN fine >= 1000000 THEN printf('%.1f', CAST(fine AS DOUBLE) / 1e6) || 'M' WHEN fine >= 1000 THEN printf('%.1f', CAST(fine AS DOUBLE) / 1e3) || 'K' ELSE printf('%.0f', CAST(fine AS DOUBLE)) END AS shown FROM cases WHERE CAST(fine * 100 AS BIGINT) % 5000 <> 0""")
+@query(""" SELECT id, CASE WHEN fine >= 1000000 THEN printf('%.1f', CAST(fine AS DOUBLE) / 1e6) || 'M' WHEN fine >= 1000 THEN printf('%.1f', CAST(fine AS DOUBLE) / 1e3) || 'K' ELSE printf('%.0f', CAST(fine AS DOUBLE)) END AS shown FROM cases""")
 def y16_number_format(s, d):
-    return T.cases(s, d).where(F.expr("cast(fine * 100 as bigint) % 5000 != 0")).select("id", values.short_number(T.as_double("fine")).alias("shown"))
+    return T.cases(s, d).select("id", values.short_number(T.as_double("fine")).alias("shown"))
 
 
 @query(""" SELECT id, CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN 2 ELSE -1 END AS total FROM cases""")

@@ -60,12 +60,16 @@ def f08_legislation_filter(s, d):
     return T.legislation(s, d).where(Q.all_of([Q.between("year", 1970, 1985), Q.search("ring", "title")])).select("id", "title")
 
 
-@query(""" SELECT l.id FROM legislation l WHERE EXISTS (SELECT 1 FROM offences x JOIN cases c ON x.case_id = c.id JOIN offenders o ON c.offender_id = o.id JOIN agencies a ON o.agency_id = a.id WHERE x.legislation_id = l.id AND a.id = 3)""")
+@query(""" SELECT l.id FROM legislation l WHERE EXISTS (SELECT 1 FROM offences x JOIN cases c ON x.case_id = c.id JOIN offenders o ON c.offender_id = o.id JOIN agencies a ON o.agency_id = a.id WHERE x.legislation_id = l.id AND a.id = 3)
+OR EXISTS (SELECT 1 FROM offences x JOIN notices n ON x.case_id = n.id JOIN offenders o ON n.offender_id = o.id JOIN agencies a ON o.agency_id = a.id WHERE x.flag = 'R' AND x.legislation_id = l.id AND a.id = 3)""")
 def f09_legislation_by_agency(s, d):
-    # Semi joins inward out: each keeps keys only.
+    # Semi joins inward out: each keeps keys only.  Returned items stand for offences that are a notice's, with its number.
     o = T.offenders(s, d).where("agency_id = 3").select(F.col("id").alias("offender_id"))
     c = T.cases(s, d).join(o, "offender_id", "left_semi").select(F.col("id").alias("case_id"))
-    x = T.offences(s, d).join(c, "case_id", "left_semi").select(F.col("legislation_id").alias("id"))
+    n = T.notices(s, d).join(o, "offender_id", "left_semi").select(F.col("id").alias("case_id"))
+    by_case = T.offences(s, d).join(c, "case_id", "left_semi")
+    by_notice = T.offences(s, d).where("flag = 'R'").join(n, "case_id", "left_semi")
+    x = by_case.unionByName(by_notice).select(F.col("legislation_id").alias("id"))
     return T.legislation(s, d).join(x, "id", "left_semi").select("id")
 
 
@@ -118,9 +122,16 @@ def f25_recency_split(s, d):
     return a.agg(F.count("*").alias("recent")).join(F.broadcast(b.agg(F.count("*").alias("older"))))
 
 
-@query(""" SELECT page_id FROM pages WHERE regexp_matches(lower(url), 'spam|/de/|utm_')""")
+SLUGS = """, u AS (SELECT page_id, url || CASE page_id % 11 WHEN 0 THEN '/firm-Fined-1000' WHEN 1 THEN '/man-prosecuted-for' WHEN 2 THEN '/two-sentenced-today' WHEN 3 THEN '/a-prosecution' WHEN 4 THEN '/found-guilty-of' WHEN 5 THEN '/x-convicted-x'
+WHEN 6 THEN '/an-ILLEGAL-site' WHEN 7 THEN '/in-court-again' WHEN 8 THEN '/ordered-to-pay-back' WHEN 9 THEN '/firm-ordered-to-pay-back' ELSE '/courtyard-opens' END AS url FROM pages)"""
+
+
+@query(SLUGS + """ SELECT page_id FROM u WHERE contains(lower(url), '-fined-') OR contains(lower(url), '-prosecuted-') OR contains(lower(url), '-sentenced-') OR contains(lower(url), '-prosecution') OR contains(lower(url), '-guilty-')
+OR contains(lower(url), '-convicted-') OR contains(lower(url), '-illegal-') OR contains(lower(url), '-court-') OR contains(lower(url), '-ordered-to-pay-')""")
 def f30_url_predicate(s, d):
-    return T.load(s, d, "pages").where(F.lower("url").rlike("spam|/de/|utm_")).select("page_id")
+    ends = ("/firm-Fined-1000", "/man-prosecuted-for", "/two-sentenced-today", "/a-prosecution", "/found-guilty-of", "/x-convicted-x", "/an-ILLEGAL-site", "/in-court-again", "/ordered-to-pay-back", "/firm-ordered-to-pay-back", "/courtyard-opens")
+    slug = F.element_at(F.array(*map(F.lit, ends)), (F.col("page_id") % len(ends) + 1).cast("int"))
+    return T.load(s, d, "pages").where(Q.enforcement_url(F.concat("url", slug))).select("page_id")
 
 
 @query(""" SELECT count(*) FILTER (WHERE regexp_full_match(lpad(CAST(id AS VARCHAR), 8, '0'), '[0-9]{8}')) AS well_formed, count(*) FILTER (WHERE action_type NOT IN ('click', 'view', 'purchase', 'signup', 'error')) AS misfiled FROM notices""")
@@ -137,12 +148,16 @@ def u01_unified(s, d):
     return f.select("record_type", "id", T.day("action_date").alias("action_date"), "action_type", "offender_id", T.as_double("fine").alias("fine"), "result")
 
 
-@query(""" SELECT o.case_id, o.sequence, o.legislation_id, o.part_no, CAST(o.fine AS DOUBLE) AS fine, l.title || ' / ' || c.result AS reference FROM offences o LEFT JOIN cases c ON o.case_id = c.id LEFT JOIN legislation l ON o.legislation_id = l.id""")
+@query(""" SELECT o.case_id, o.sequence, o.part_no, CAST(o.fine AS DOUBLE) AS fine,
+CASE WHEN c.id IS NULL THEN 'null' ELSE '{"id":' || c.id || ',"result":"' || c.result || '","date":"' || strftime(c.action_date, '%Y-%m-%d') || '"}' END AS "case",
+CASE WHEN n.id IS NULL THEN 'null' ELSE '{"id":' || n.id || ',"type":"' || n.action_type || '"}' END AS notice,
+CASE WHEN l.id IS NULL THEN 'null' ELSE '{"id":' || l.id || ',"title":"' || l.title || '","year":' || l.year || '}' END AS legislation
+FROM offences o LEFT JOIN cases c ON o.case_id = c.id LEFT JOIN notices n ON o.flag = 'R' AND o.case_id = n.id LEFT JOIN legislation l ON o.legislation_id = l.id""")
 def p06_nested_offences(s, d):
-    c = T.cases(s, d).select(F.col("id").alias("case_id"), F.struct("id", "result", "action_date").alias("case"))
-    l = T.legislation(s, d).select(F.col("id").alias("legislation_id"), F.struct("id", "title", "year").alias("legislation"))
-    x = T.offences(s, d).join(c, "case_id", "left").join(l, "legislation_id", "left")
-    return x.select("case_id", "sequence", "legislation_id", "part_no", T.as_double("fine").alias("fine"), F.concat("legislation.title", F.lit(" / "), "case.result").alias("reference"))
+    # The nested structs, shown as JSON so that both engines print them alike.
+    x = U.nested_offences(T.offences(s, d).withColumn("notice_id", F.when(F.col("flag") == "R", F.col("case_id"))), T.cases(s, d), T.notices(s, d), T.legislation(s, d))
+    shown = [F.coalesce(F.to_json(c), F.lit("null")).alias(c) for c in ("case", "notice", "legislation")]
+    return x.select("case_id", "sequence", "part_no", T.as_double("fine").alias("fine"), *shown)
 
 
 @query(""" SELECT f.record_type, f.id, coalesce(o.name, 'Unknown Organization') AS offender_name, a.code AS agency_code FROM facts f LEFT JOIN offenders o ON f.offender_id = o.id LEFT JOIN agencies a ON o.agency_id = a.id""")

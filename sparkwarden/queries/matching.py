@@ -93,20 +93,53 @@ def d09_legislation_tiers(s, d):
     return E.match_legislation(refs, l).select("ref_id", F.coalesce("legislation_id", F.lit(-1)).alias("legislation_id"), "tier")
 
 
-@query(""", k AS (SELECT id, title || ' limited' AS name, type AS postcode FROM legislation), i AS (SELECT id AS ref, CASE id % 4 WHEN 0 THEN upper(title) || '  LTD.' WHEN 1 THEN title || ' ltd' WHEN 2 THEN title || 'x limited' ELSE 'nobody' END AS name, CASE WHEN id % 4 = 1 THEN 'elsewhere' ELSE type END AS postcode FROM legislation),
-kn AS (SELECT id, name AS n, upper(postcode) AS p FROM k), inn AS (SELECT ref, trim(regexp_replace(regexp_replace(replace(lower(trim(name)), '.', ''), '\\bltd\\b', 'limited', 'g'), '\\s+', ' ', 'g')) AS n, upper(postcode) AS p FROM i),
-a AS (SELECT n, p, min(id) AS t1 FROM kn GROUP BY 1, 2), b AS (SELECT n, min(id) AS t2 FROM kn GROUP BY 1),
-m AS (SELECT inn.*, t1, t2 FROM inn LEFT JOIN a ON inn.n = a.n AND inn.p IS NOT DISTINCT FROM a.p LEFT JOIN b ON inn.n = b.n),
-f AS (SELECT DISTINCT m.n, m.p, a.t1 AS i, jaro_similarity(m.n, a.n) AS s FROM m JOIN a ON m.p = a.p WHERE m.t1 IS NULL AND m.t2 IS NULL), c AS (SELECT n, p, arg_max(i, (s, -i)) AS t3 FROM f WHERE s >= 0.85 GROUP BY 1, 2)
-SELECT ref, coalesce(t1, t2, t3, -1) AS offender_id, CASE WHEN t1 IS NOT NULL THEN 1 WHEN t2 IS NOT NULL THEN 2 WHEN t3 IS NOT NULL THEN 3 ELSE 4 END AS tier FROM m LEFT JOIN c ON m.n = c.n AND m.p = c.p""".replace("\\\\", "\\"))
-def d07_offender_tiers(s, d):
-    # d06 and d08 are the same tiers with other keys.
+def _company(s: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(replace(lower(trim({s})), '.', ''), '\\bltd\\b', 'limited', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _similar(left: str, right: str) -> str:
+    """SQL of g, the pairs (a, b) of texts with common trigrams and their similarity s, by counting what they share."""
+    return f"""ta AS (SELECT DISTINCT n FROM {left}), tb AS (SELECT DISTINCT n FROM {right}), ga AS (SELECT n, unnest({TRGM.format('n')}) AS g FROM ta), gb AS (SELECT n, unnest({TRGM.format('n')}) AS g FROM tb),
+na AS (SELECT n, count(*) AS c FROM ga GROUP BY 1), nb AS (SELECT n, count(*) AS c FROM gb GROUP BY 1),
+g AS (SELECT x.a, x.b, x.c / (na.c + nb.c - x.c) AS s FROM (SELECT ga.n AS a, gb.n AS b, count(*) AS c FROM ga JOIN gb ON ga.g = gb.g GROUP BY 1, 2) x JOIN na ON x.a = na.n JOIN nb ON x.b = nb.n)"""
+
+
+OFFENDERS = f""", k AS (SELECT id, {_company("title || ' limited'")} AS n, CASE WHEN id % 7 <> 0 THEN upper(type) END AS p, CASE WHEN id % 5 = 0 THEN lpad(CAST(id AS VARCHAR), 8, '0') END AS number FROM legislation),
+i AS (SELECT id AS ref, {_company("CASE id % 5 WHEN 0 THEN upper(title) || '  LTD.' WHEN 1 THEN title || ' ltd' WHEN 2 THEN title || 's limited' WHEN 3 THEN title || ' and sons limited' ELSE 'nobody' END")} AS n,
+CASE WHEN id % 3 = 0 THEN NULL WHEN id % 4 = 1 THEN 'ELSEWHERE' ELSE upper(type) END AS p, CASE WHEN id % 2 = 0 THEN lpad(CAST(id AS VARCHAR), 8, '0') ELSE ' ' END AS number FROM legislation),
+t2 AS (SELECT n, min(id) AS t2 FROM k GROUP BY 1)"""
+TIERS = """f AS (SELECT g.a AS n, arg_max(t2.t2, (g.s, -t2.t2)) AS t3 FROM g JOIN t2 ON g.b = t2.n WHERE g.s > {0} GROUP BY 1)
+SELECT ref, coalesce(t1, t2.t2, t3, -1) AS offender_id, CASE WHEN t1 IS NOT NULL THEN 1 WHEN t2.t2 IS NOT NULL THEN 2 WHEN t3 IS NOT NULL THEN 3 ELSE 4 END AS tier FROM m LEFT JOIN t2 ON m.n = t2.n LEFT JOIN f ON m.n = f.n"""
+
+
+def _offenders(s, d):
     l = T.legislation(s, d)
-    k = F.col("id") % 4
-    known = l.select("id", F.concat("title", F.lit(" limited")).alias("name"), F.col("type").alias("postcode"))
-    name = F.when(k == 0, F.concat(F.upper("title"), F.lit("  LTD."))).when(k == 1, F.concat("title", F.lit(" ltd"))).when(k == 2, F.concat("title", F.lit("x limited"))).otherwise("nobody")
-    incoming = l.select(F.col("id").alias("ref"), name.alias("name"), F.when(k == 1, "elsewhere").otherwise(F.col("type")).alias("postcode"))
-    return E.match_offenders(incoming, known).select("ref", F.coalesce("offender_id", F.lit(-1)).alias("offender_id"), "tier")
+    k = F.col("id") % 5
+    number = F.lpad(F.col("id").cast("string"), 8, "0")
+    known = l.select("id", F.concat("title", F.lit(" limited")).alias("name"), F.when(F.col("id") % 7 != 0, F.col("type")).alias("postcode"), F.when(k == 0, number).alias("number"))
+    name = F.when(k == 0, F.concat(F.upper("title"), F.lit("  LTD."))).when(k == 1, F.concat("title", F.lit(" ltd"))).when(k == 2, F.concat("title", F.lit("s limited"))).when(k == 3, F.concat("title", F.lit(" and sons limited"))).otherwise("nobody")
+    place = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 4 == 1, "elsewhere").otherwise(F.col("type"))
+    return l.select(F.col("id").alias("ref"), name.alias("name"), place.alias("postcode"), F.when(F.col("id") % 2 == 0, number).otherwise(" ").alias("number")), known
+
+
+@query(OFFENDERS + f""", t1 AS (SELECT n, p, min(id) AS t1 FROM k WHERE p IS NOT NULL GROUP BY 1, 2), m AS (SELECT i.ref, i.n, t1.t1 FROM i LEFT JOIN t1 ON i.n = t1.n AND i.p = t1.p), {_similar('i', 'k')}, {TIERS.format(0.85)}""")
+def d07_offender_tiers(s, d):
+    return E.match_offenders(*_offenders(s, d)).select("ref", F.coalesce("offender_id", F.lit(-1)).alias("offender_id"), "tier")
+
+
+@query(OFFENDERS + f""", t1 AS (SELECT number, min(id) AS t1 FROM k GROUP BY 1), m AS (SELECT i.ref, i.n, t1.t1 FROM i LEFT JOIN t1 ON i.number = t1.number), {_similar('i', 'k')}, {TIERS.format(0.8)}""")
+def d08_offender_by_number(s, d):
+    return E.match_by_number(*_offenders(s, d)).select("ref", F.coalesce("offender_id", F.lit(-1)).alias("offender_id"), "tier")
+
+
+@query(OFFENDERS + f""", {_similar('i', 'k')}, w AS (SELECT DISTINCT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y, jaro_similarity(a, b) AS j FROM g WHERE s >= 0.75),
+v AS (SELECT a, b, CASE WHEN j > 0.85 THEN greatest(t, 0.9) ELSE t END AS s FROM (SELECT a, b, j, len(list_intersect(list_distinct(x), y)) / len(list_distinct(list_concat(x, y))) AS t FROM w)),
+c AS (SELECT i.ref, k.id, i.p IS NOT DISTINCT FROM k.p AS same, CASE WHEN same AND v.s > 0.6 THEN least(v.s + 0.15, 1.0) ELSE v.s END AS score FROM i JOIN v ON i.n = v.a JOIN k ON v.b = k.n WHERE i.p IS NULL OR k.p IS NULL OR i.p = k.p),
+best AS (SELECT ref, arg_max(id, (score, same, -id)) AS id, max(score) AS score FROM c WHERE score > 0.7 GROUP BY 1)
+SELECT i.ref, coalesce(best.id, -1) AS offender_id, round(coalesce(best.score, 0), 6) AS score FROM i LEFT JOIN best ON i.ref = best.ref""")
+def d06_best_candidate(s, d):
+    found = E.best_candidate(*_offenders(s, d), search=0.75)
+    return found.select("ref", F.coalesce("offender_id", F.lit(-1)).alias("offender_id"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
 @query(""", c AS (SELECT a.id AS ref, a.title || 's' AS name, b.id AS candidate_id, b.title AS candidate, a.type = b.type AS ok FROM legislation a LEFT JOIN legislation b ON a.year = b.year AND a.number = b.number AND a.type = b.type),
@@ -154,14 +187,11 @@ def d15_fuzzy_search(s, d):
     return t.where("score >= 0.7").select("title", F.round("score", 6).alias("score"))
 
 
-@query(f""", t AS (SELECT DISTINCT title FROM legislation), g AS (SELECT title, {TRGM.format('title')} AS g FROM t), p AS (SELECT a.title AS a, b.title AS b, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS s FROM g a JOIN g b ON a.title < b.title AND substring(a.title, 1, 2) = substring(b.title, 1, 2))
-SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.5""")
+@query(f""", i AS (SELECT title AS n FROM legislation), {_similar('i', 'i')} SELECT a, b, round(s, 6) AS similarity FROM g WHERE a < b AND s >= 0.5""")
 def x31_trigram_pairs(s, d):
-    # Blocked by the first two letters; a pair meets once.
-    t = T.legislation(s, d).select("title").distinct().withColumn("_k", F.substring("title", 1, 2)).withColumn("_g", similarity.trigrams(F.col("title")))
-    p = t.select(F.col("title").alias("a"), "_k", F.col("_g").alias("_ga")).join(t.select(F.col("title").alias("b"), "_k", F.col("_g").alias("_gb")), "_k").where("a < b")
-    scored = p.withColumn("s", similarity.jaccard(F.col("_ga"), F.col("_gb"))).where("s >= 0.5")
-    return scored.select("a", "b", F.round("s", 6).alias("similarity"))
+    t = T.legislation(s, d).select(F.col("title").alias("a"))
+    pairs = E.similar_texts(t, t, "a", 0.5).withColumnRenamed("other", "b").where("a < b")
+    return pairs.select("a", "b", F.round("score", 6).alias("similarity"))
 
 
 @query(""", t AS (SELECT DISTINCT title FROM legislation) SELECT title, round(jaro_similarity(title, 'large pipe'), 6) AS jaro FROM t""")

@@ -11,13 +11,31 @@ from pyspark.sql import functions as F
 def fold(messages: DataFrame, key: str, order: Column, operation: str = "operation") -> DataFrame:
     """The last message of each key, by one aggregate with map-side combine; deletes stay as rows."""
     rest = [c for c in messages.columns if c != key]
-    return messages.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_m")).select(key, *[F.col(f"_m.{c}").alias(c) for c in rest])
-
-
-def apply_changes(snapshot: DataFrame, last: DataFrame, key: str, operation: str = "operation") -> DataFrame:
-    """The next snapshot: untouched rows and the last message of each key that is no delete."""
-    live = last.where(F.col(operation) != "delete").select(*snapshot.columns)
-    return snapshot.join(last.select(key), key, "left_anti").unionByName(live)
+    last = messages.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_m"))
+    return last.select(*[F.col(key) if c == key else F.col(f"_m.{c}").alias(c) for c in messages.columns])
+
+
+def apply_changes(snapshot: DataFrame, messages: DataFrame, key: str, order: Column, operation: str = "operation") -> DataFrame:
+    """What messages change in a keyed snapshot: the rows that are new or other than before, with _gone for deleted keys.
+
+    Messages count in their order: an insert for a key that is there is ignored, as are an update and a delete for one that
+    is not.  Three aggregates with map-side combine say it all: the last delete, and after it the first insert and the last
+    update.
+    """
+    columns = snapshot.columns
+    rest = [c for c in columns if c != key]
+    m = messages.withColumns({"_order": order, "_op": F.col(operation)})
+    cut = m.groupBy(key).agg(F.max(F.when(F.col("_op") == "delete", F.col("_order"))).alias("_cut"))
+    after = m.where("_op != 'delete'").join(cut, key).where("_cut is null or _order > _cut")
+    row = F.struct(F.col("_order").alias("at"), *[F.col(c) for c in rest])
+    live = after.groupBy(key).agg(F.min(F.when(F.col("_op") == "insert", row)).alias("_first"), F.max(F.when(F.col("_op") == "update", row)).alias("_last"))
+    both = cut.join(live, key, "left").join(snapshot.select(key, F.lit(True).alias("_known")), key, "left")
+    there = F.col("_known").isNotNull() & F.col("_cut").isNull()
+    last = F.when(there | (F.col("_last.at") > F.col("_first.at")), F.col("_last"))
+    now = F.when(there, last).otherwise(F.coalesce(last, F.col("_first")))
+    gone = F.col("_now").isNull() & F.col("_known").isNotNull() & F.col("_cut").isNotNull()
+    changed = both.withColumn("_now", now).withColumn("_gone", gone).where("_now is not null or _gone")
+    return changed.select(*[F.col(key) if c == key else F.col(f"_now.{c}").alias(c) for c in columns], "_gone")
 
 
 def replay(events: DataFrame, key: str, version: Column, operation: str = "operation") -> DataFrame:
@@ -26,28 +44,41 @@ def replay(events: DataFrame, key: str, version: Column, operation: str = "opera
 
 
 class SnapshotTable:
-    """A snapshot kept as numbered parquet versions, so a batch that is run again writes the same version again."""
+    """A snapshot kept as what each batch changed, one folder a batch, so a batch writes no more than its changes, one that
+    is run again writes the same folder again, and a new process finds what earlier ones wrote.
+
+    schema: DDL without a column named version or _gone; key: the column that identifies a row.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str):
+        self.spark, self.path, self.schema, self.key = spark, path, f"{schema}, _gone boolean", key
+        spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{path}/version=-1")
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema, self.version = spark, path, schema, -1
+    def read(self, before: int | None = None) -> DataFrame:
+        """The rows after the last batch, or before the batch of that number."""
+        every = self.spark.read.schema(f"{self.schema}, version int").parquet(self.path)
+        if before is not None:
+            every = every.where(F.col("version") < before)
+        return fold(every, self.key, F.col("version")).where("not _gone").drop("_gone", "version")
 
-    def read(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.version}")
+    def write(self, changes: DataFrame, batch: int) -> None:
+        changes.write.mode("overwrite").parquet(f"{self.path}/version={batch}")
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{batch}")
-        self.version = batch
+    def compacted(self, path: str) -> SnapshotTable:
+        """The same rows at another path, as one version (numbered as the last, so later batches follow)."""
+        last = self.spark.read.schema(f"{self.schema}, version int").parquet(self.path).agg(F.max("version")).first()[0]
+        out = SnapshotTable(self.spark, path, self.schema.removesuffix(", _gone boolean"), self.key)
+        if last is not None:
+            out.write(self.read().withColumn("_gone", F.lit(False)), last)
+        return out
 
 
-def run_feed(source: DataFrame, table: SnapshotTable, key: str, order: Callable[[], Column], checkpoint: str) -> None:
+def run_feed(source: DataFrame, table: SnapshotTable, order: Callable[[], Column], checkpoint: str) -> None:
     """Apply what a streaming source has now, micro-batch by micro-batch, and stop."""
 
     def batch(messages: DataFrame, number: int) -> None:
-        # A batch number that was applied before starts from the version before it.
-        table.version = min(table.version, number - 1)
-        table.write(apply_changes(table.read(), fold(messages, key, order()), key), number)
+        # A batch number that was applied before starts from what the batches before it left.
+        table.write(apply_changes(table.read(number), messages, table.key, order()), number)
 
     query = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -1,4 +1,7 @@
 import json
+import math
+import random
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,14 +53,57 @@ def test_files(spark, tmp_path):
 
 
 def test_feed(spark, tmp_path):
-    messages = [(1, 1, "insert", "a"), (1, 2, "update", "b"), (2, 3, "insert", "c"), (2, 4, "delete", None), (3, 5, "update", "d")]
+    messages = [(1, 1, "insert", "a"), (1, 2, "update", "b"), (2, 3, "insert", "c"), (2, 4, "delete", None), (3, 5, "update", "d"), (4, 6, "insert", "e"), (1, 7, "insert", "ignored"), (4, 8, "delete", None), (4, 9, "update", "ignored"), (4, 10, "insert", "f"), (4, 11, "update", "g")]
     df = spark.createDataFrame(messages, "id long, seq long, operation string, v string")
-    for i, part in enumerate((df.where("seq <= 2"), df.where("seq > 2"))):
+    for i, part in enumerate((df.where("seq <= 2"), df.where("seq between 3 and 6"), df.where("seq > 6"))):
         part.coalesce(1).write.parquet(f"{tmp_path}/in/p{i}")
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    table = feed.SnapshotTable(spark, f"{tmp_path}/state", "id bigint, seq bigint, v string")
-    feed.run_feed(source, table, "id", lambda: F.col("seq"), f"{tmp_path}/progress")
-    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 2, "b"), (3, 5, "d")]
+        # Each part is read by a table object of its own, as after a restart.
+        source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        table = feed.SnapshotTable(spark, f"{tmp_path}/state", "id bigint, seq bigint, v string", "id")
+        feed.run_feed(source, table, lambda: F.col("seq"), f"{tmp_path}/progress")
+    want = [(1, 2, "b"), (4, 11, "g")]
+    assert sorted(tuple(r) for r in table.read().collect()) == want
+    # A batch that is run again starts from what the one before it left.
+    changes = feed.apply_changes(table.read(2), df.where("seq > 6"), "id", F.col("seq"))
+    assert sorted(tuple(r) for r in changes.collect()) == [(4, 11, "g", False)]
+    table.write(changes, 2)
+    assert sorted(tuple(r) for r in table.read().collect()) == want == sorted(tuple(r) for r in table.compacted(f"{tmp_path}/compact").read().collect())
+    assert [tuple(r) for r in feed.apply_changes(table.read(), df.where("seq = 4").withColumn("id", F.lit(1)), "id", F.col("seq")).collect()] == [(1, None, None, True)]
+
+
+def test_similar_texts_find_every_pair(spark):
+    rng = random.Random(4)
+    words = ["acme", "acne", "north", "northern", "steel", "steels", "works", "of", "york", "new"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(80)] + [None, "", "--"]
+    a, b = (spark.createDataFrame([(x,) for x in part], "name string") for part in (names[:50] + names[-3:], names[30:]))
+
+    def grams(x):
+        return {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", x) for i in range(len(w) + 1)}
+
+    for least in (0.3, 0.6, 0.85):
+        want = {(x, y) for x in names[:50] for y in names[30:80] if len(grams(x) & grams(y)) / len(grams(x) | grams(y)) >= least}
+        assert {(r["name"], r.other) for r in E.similar_texts(a, b, "name", least).collect()} == want
+
+
+def test_offender_tiers(spark):
+    known = spark.createDataFrame([(1, "Acme Steel Works Ltd", "AB1 2CD", "0012"), (2, "North York Farm", None, " "), (3, "Acme Steel Works Ltd", "XY9 9ZZ", None)], "id int, name string, postcode string, number string")
+    rows = [("a", "ACME STEEL WORKS LIMITED", "xy9 9zz", None), ("b", "acme steel works ltd.", None, "00 12"), ("c", "North York Farms", "ZZ1 1ZZ", ""), ("d", "nobody", None, None), ("e", None, None, "0012")]
+    incoming = spark.createDataFrame(rows, "ref string, name string, postcode string, number string")
+    assert {r.ref: (r.offender_id, r.tier) for r in E.match_offenders(incoming, known, 0.6).collect()} == {"a": (3, 1), "b": (1, 2), "c": (2, 3), "d": (None, 4), "e": (None, 4)}
+    assert {r.ref: (r.offender_id, r.tier) for r in E.match_by_number(incoming, known, 0.6).collect()} == {"a": (1, 2), "b": (1, 1), "c": (2, 3), "d": (None, 4), "e": (1, 1)}
+    best = {r.ref: (r.offender_id, r.score) for r in E.best_candidate(incoming, known).collect()}
+    assert best["a"] == (3, 1.0) and best["b"][0] == 1 and best["d"] == (None, None) == best["e"] and best["c"] == (2, 0.9)
+    assert E.match_offenders(incoming.limit(0), known).count() == 0
+
+
+def test_ranks(spark):
+    values = [5.0, 1.0, 1.0, None, 2.0, 9.0, 2.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = R.nearest_rank(df, "v", [1, 50, 95, 100]).first()
+    ordered = sorted(v for v in values if v is not None)
+    assert list(got) == [ordered[max(0, math.ceil(6 * p / 100) - 1)] for p in (1, 50, 95, 100)]
+    assert tuple(R.nearest_rank(df.limit(0), "v", [50]).first()) == (None,)
+    assert R.statistics(df, F.col("v")).first().median == 2.0
 
 
 def test_edges(spark):
