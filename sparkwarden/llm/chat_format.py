@@ -3,9 +3,11 @@
 A pair is a chosen and a rejected conversation.  The longest common prefix of their turns is rendered once, as the
 prompt; what follows on either side is rendered as a completion, with a mask that keeps the assistant's words only.
 
-Only DataFrame functions run here.  Turns of both sides are matched by place with one join; the first place at which
-they differ is a minimum, aggregated map-side.  Rendered turns are gathered in blocks of `BLOCK` turns, so no
-conversation, however long, is one group: a long one gives several rows, in order of `block`.
+Only DataFrame functions run here.  Texts are shuffled once, to gather the turns of `BLOCK` consecutive numbers; a turn
+that both sides have travels on as one.  Everything that spans blocks (places, the first place at which the sides differ,
+offsets in the completions) is worked out on hashes and lengths, and joined back by block.  A block is one output row, so
+no conversation, however long, is one group: rows in order of `block` make up the pair's prompt and completions, and a
+mask counts from the start of the whole completion, whichever row it stands in.
 
 Defined cases: turns are ordered by number, repeated numbers by role and text, and identical rows count once; turns
 with a null number come first; a null role is `user` and a null text is empty; a pair with one side missing has an empty
@@ -17,86 +19,103 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns that one output row holds at most.
+from sparkwarden.llm.common import save
+
+#: Turn numbers that one output row spans.
 BLOCK = 64
 ASSISTANT = "assistant"
+END = "<|end|>\n"
 
 
 def render(role: Column, text: Column) -> Column:
-    return F.concat(header(role), text, F.lit("<|end|>\n"))
+    return F.concat(header(role), text, F.lit(END))
 
 
 def header(role: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"))
 
 
-def _turns(df: DataFrame, pair: str, turn: str, role: str, text: str, side: str) -> DataFrame:
-    """Distinct turns with their place.  The place is the rank inside blocks of numbers plus the block's base, so a long
-    conversation is not sorted as one group."""
-    t = df.select(
-        F.col(pair).alias("_pair"),
-        F.coalesce(F.col(turn).cast("bigint"), F.lit(-1)).alias("_turn"),
+def _turns(df: DataFrame, pair: str, turn: str, role: str, text: str, chosen: bool) -> DataFrame:
+    number = F.coalesce(F.col(turn).cast("bigint"), F.lit(-1))
+    return df.select(
+        F.struct(F.col(pair).alias("id")).alias("_pair"),  # a null id is a pair like any other
+        F.floor(number / BLOCK).alias("_block"),
+        number.alias("_turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("user")).alias("_role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
+        F.lit(chosen).alias("_c"),
+        F.lit(not chosen).alias("_r"),
     )
-    t = t.distinct().withColumn("_bin", F.floor(F.col("_turn") / BLOCK))
-    bins = t.groupBy("_pair", "_bin").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_pair").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_pair", "_bin").orderBy("_turn", "_role", "_text"))
-    b = bins.select(F.col("_pair").alias("_p"), F.col("_bin").alias("_b"), "_base")
-    placed = t.withColumn("_rank", rank).join(b, F.col("_pair").eqNullSafe(F.col("_p")) & (F.col("_bin") == F.col("_b")))
-    return placed.select("_pair", (F.col("_base") + F.col("_rank") - 1).cast("bigint").alias("_place"), F.struct("_role", "_text").alias(side))
+
+
+def _blocks(turns: DataFrame) -> DataFrame:
+    """(_pair, _block, _turns): the distinct turns of a block in order, each with the sides that have it."""
+    one = turns.repartition("_pair", "_block").groupBy("_pair", "_block", "_turn", "_role", "_text").agg(F.max("_c").alias("_c"), F.max("_r").alias("_r"))
+    return one.groupBy("_pair", "_block").agg(F.array_sort(F.collect_list(F.struct("_turn", "_role", "_text", "_c", "_r"))).alias("_turns"))
+
+
+def _places(blocks: DataFrame) -> DataFrame:
+    """(_pair, _block, _prefix, and for each side s: _base_s, its turns in earlier blocks, _at_s, its completion's characters there)."""
+    sides = ("_c", "_r")
+    slim = [F.transform(F.filter("_turns", lambda t: t[s]), lambda t: F.struct(F.xxhash64(t["_role"], t["_text"]).alias("h"), F.xxhash64(t["_text"], t["_role"], F.lit(1)).alias("g"), F.length(render(t["_role"], t["_text"])).alias("n"))).alias(f"_turns{s}") for s in sides]  # noqa: B023
+    slim = save(blocks.select("_pair", "_block", *slim), "turn-hashes")
+    before = Window.partitionBy("_pair").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("bigint")
+    sizes = slim.select("_pair", "_block", *[F.size(f"_turns{s}").alias(f"_n{s}") for s in sides])
+    bases = sizes.select("_pair", "_block", *[total(f"_n{s}").alias(f"_base{s}") for s in sides])
+    based = save(slim.join(bases, ["_pair", "_block"]), "turn-places")
+    placed = [based.select("_pair", F.col(f"_base{s}").alias("_base"), F.posexplode(f"_turns{s}").alias("_i", "_t")).select("_pair", (F.col("_base") + F.col("_i")).alias("_place"), F.struct("_t.h", "_t.g").alias("_h"), F.lit(s).alias("_s")) for s in sides]
+    # A place at which both sides have equal turns has two rows of one hash.
+    both = placed[0].unionByName(placed[1]).groupBy("_pair", "_place").agg(F.count("*").alias("_n"), F.min("_h").alias("_x"), F.max("_h").alias("_y"))
+    same = (F.col("_n") == 2) & (F.col("_x") == F.col("_y"))
+    prefix = both.groupBy("_pair").agg(F.coalesce(F.min(F.when(~same, F.col("_place"))), F.max("_place") + 1).alias("_prefix"))
+
+    def length(s: str) -> Column:
+        """Characters of the block's turns from the prefix on."""
+        return F.aggregate(F.slice(f"_turns{s}", F.greatest(F.lit(1), F.least(F.col("_prefix") - F.col(f"_base{s}") + 1, F.size(f"_turns{s}") + 1).cast("int")), F.size(f"_turns{s}")), F.lit(0).cast("bigint"), lambda n, t: n + t["n"])
+
+    sized = based.join(prefix, "_pair").select("_pair", "_block", "_prefix", *[F.col(f"_base{s}") for s in sides], *[length(s).alias(f"_n{s}") for s in sides])
+    return sized.select("_pair", "_block", "_prefix", *[F.col(f"_base{s}") for s in sides], *[total(f"_n{s}").alias(f"_at{s}") for s in sides])
 
 
 def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str = "pair_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Rows (pair_col, block, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask).
 
-    Masks are arrays of (start, end) character ranges of the completion that count for the loss: the assistant's words
-    and the end mark after them.  Blocks of one pair join, in order, to its whole prompt and completions.
+    Masks are arrays of (start, end) character ranges of the pair's whole completion that count for the loss: the
+    assistant's words and the end mark after them.  Blocks of one pair join, in order, to its prompt and completions.
     """
-    a = _turns(chosen, pair_col, turn_col, role_col, text_col, "_c")
-    b = _turns(rejected, pair_col, turn_col, role_col, text_col, "_r")
-    b = b.select(F.col("_pair").alias("_pair2"), F.col("_place").alias("_place2"), "_r")
-    both = a.join(b, F.col("_pair").eqNullSafe(F.col("_pair2")) & (F.col("_place") == F.col("_place2")), "full")
-    both = both.select(F.when(F.col("_c").isNotNull(), F.col("_pair")).otherwise(F.col("_pair2")).alias("_pair"), F.coalesce("_place", "_place2").alias("_place"), "_c", "_r")
-    differ = F.when(~F.col("_c").eqNullSafe(F.col("_r")), F.col("_place")).otherwise(F.col("_place") + 1)
-    same = F.col("_c").eqNullSafe(F.col("_r"))
-    prefix = both.groupBy(F.col("_pair").alias("_p")).agg(F.coalesce(F.min(F.when(~same, F.col("_place"))), F.max(differ)).alias("_prefix"))
-    turns = both.join(prefix, F.col("_pair").eqNullSafe(F.col("_p"))).drop("_p")
-    block = F.floor(F.col("_place") / BLOCK).alias("_block")
-    item = F.struct("_place", "_c", "_r")
-    rows = turns.groupBy("_pair", "_prefix", block).agg(F.array_sort(F.collect_list(item)).alias("_turns"))
-    prompt = F.concat_ws("", F.transform(F.filter("_turns", lambda t: t["_place"] < F.col("_prefix")), lambda t: render(t["_c"]["_role"], t["_c"]["_text"])))
-
-    def side(name: str) -> Column:
-        mine = F.filter("_turns", lambda t: (t["_place"] >= F.col("_prefix")) & t[name].isNotNull())
-        return F.transform(mine, lambda t: F.struct(t[name]["_role"].alias("role"), t[name]["_text"].alias("text")))
-
-    def text_of(turns_: Column) -> Column:
-        return F.concat_ws("", F.transform(turns_, lambda t: render(t["role"], t["text"])))
-
-    def mask_of(turns_: Column) -> Column:
+    names = (pair_col, turn_col, role_col, text_col)
+    blocks = save(_blocks(_turns(chosen, *names, True).unionByName(_turns(rejected, *names, False))), "turns-by-block")
+    rows = blocks.join(_places(blocks), ["_pair", "_block"])
+
+    def side(s: str, done: bool) -> Column:
+        mine = F.filter("_turns", lambda t: t[s])
+        return F.filter(mine, lambda t, i: (F.col(f"_base{s}") + i >= F.col("_prefix")) if done else (F.col(f"_base{s}") + i < F.col("_prefix")))
+
+    def text_of(turns: Column) -> Column:
+        return F.concat_ws("", F.transform(turns, lambda t: render(t["_role"], t["_text"])))
+
+    def mask_of(turns: Column, at: Column) -> Column:
         # A running offset; the mark after a turn is its last character range, so a model learns to stop.
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+        start = F.struct(at.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
         def step(acc: Column, t: Column) -> Column:
-            begin = acc["at"] + F.length(header(t["role"]))
-            stop = begin + F.length(t["text"]) + F.lit(len("<|end|>"))
-            spans = F.when(t["role"] == ASSISTANT, F.concat(acc["spans"], F.array(F.struct(begin.cast("bigint").alias("start"), stop.cast("bigint").alias("end"))))).otherwise(acc["spans"])
+            begin = acc["at"] + F.length(header(t["_role"]))
+            stop = begin + F.length(t["_text"]) + F.lit(len(END) - 1)
+            spans = F.when(t["_role"] == ASSISTANT, F.concat(acc["spans"], F.array(F.struct(begin.cast("bigint").alias("start"), stop.cast("bigint").alias("end"))))).otherwise(acc["spans"])
             return F.struct((stop + 1).cast("bigint").alias("at"), spans.alias("spans"))
 
-        return F.aggregate(turns_, start, step, lambda acc: acc["spans"])
+        return F.aggregate(turns, start, step, lambda acc: acc["spans"])
 
     return rows.select(
-        F.col("_pair").alias(pair_col),
+        F.col("_pair.id").alias(pair_col),
         F.col("_block").alias("block"),
         F.col("_prefix").alias("n_prompt_turns"),
-        prompt.alias("prompt"),
-        text_of(side("_c")).alias("chosen"),
-        mask_of(side("_c")).alias("chosen_mask"),
-        text_of(side("_r")).alias("rejected"),
-        mask_of(side("_r")).alias("rejected_mask"),
+        text_of(side("_c", False)).alias("prompt"),
+        text_of(side("_c", True)).alias("chosen"),
+        mask_of(side("_c", True), F.col("_at_c")).alias("chosen_mask"),
+        text_of(side("_r", True)).alias("rejected"),
+        mask_of(side("_r", True), F.col("_at_r")).alias("rejected_mask"),
     )
 
 

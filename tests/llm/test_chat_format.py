@@ -41,12 +41,19 @@ def test_cases(spark):
 
 
 def test_long_conversation_comes_in_blocks(spark):
-    chosen = [(1, i, "user", f"t{i}", 0) for i in range(300)]
-    rejected = chosen[:200] + [(1, i, "assistant", f"r{i}", 0) for i in range(200, 310)]
+    chosen = [(1, 3 * i, "user" if i % 2 else "assistant", f"t{i}", 0) for i in range(300)]
+    rejected = [(1, i, *t[2:]) for i, t in enumerate(chosen[:200])] + [(1, i, "assistant", f"r{i}", 0) for i in range(200, 310)]
     rows = sorted(preference_pairs(spark.createDataFrame(chosen, SCHEMA), spark.createDataFrame(rejected, SCHEMA)).collect(), key=lambda r: r.block)
     want = brute(chosen, rejected)[1]
-    assert len(rows) == 5 and {r.n_prompt_turns for r in rows} == {200}
-    assert ("".join(r.prompt for r in rows), "".join(r.chosen for r in rows), "".join(r.rejected for r in rows)) == (want[1], want[2], want[4])
+    assert [r.block for r in rows] == list(range(15)) and {r.n_prompt_turns for r in rows} == {200}
+    whole = [sum((list(map(tuple, r[c])) if "mask" in c else [r[c]] for r in rows), []) for c in ("prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")]
+    assert (*map("".join, whole[:2]), whole[2], "".join(whole[3]), whole[4]) == want[1:]
+
+
+def test_one_turn_of_any_length(spark):
+    row = [(1, 0, "assistant", "x" * 300000, 0)]
+    r, = preference_pairs(spark.createDataFrame(row, SCHEMA), spark.createDataFrame(row[:0], SCHEMA)).collect()
+    assert r.n_prompt_turns == 0 and len(r.chosen) == 300000 + 22 and [tuple(m) for m in r.chosen_mask] == [(14, 300021)]
 
 
 def test_swapped(spark):
