@@ -4,8 +4,10 @@ The index is a table bucketed and sorted by the digest.  New rows are reduced to
 anti-joined with the index by sort-merge (the index side needs no shuffle), and what is new is appended.
 
 Only DataFrame functions run here.  Only ids, lengths and 32-byte digests are shuffled; copies are counted map-side
-before the shuffle, and the join back to the rows is one whose large partitions Spark can split, so a digest that a
-third of all rows share stays bounded.
+before the shuffle, and the rows of a digest that very many share are joined apart, by broadcast of those digests.
+
+A batch has a name.  Running a batch again, after a failure or to ask again, gives the answer of its first run: digests
+that it brought itself are its own.
 
 Defined cases: a null text equals the empty text; of equal lengths the smallest id stays (a null id loses to every
 other); repeated rows (one id, one text) count in group_size and are one document, so each carries the same kept; an empty table gives an empty result and leaves the index as it is.
@@ -18,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import save, work_dir
+from sparkwarden.llm.common import join_unique, save, work_dir
 
 #: Deleted before texts are compared: tab, line feed, vertical tab, form feed, carriage return, space (fixed values).
 SPACE = "\t\n\x0b\x0c\r "
@@ -55,34 +57,51 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append_new(self, hashed: DataFrame, batch: str | None = None) -> None:
-        """Add the digests of hashed (see digests()) that the index lacks."""
-        first = F.min_by("_id", F.struct(-F.col("_points"), F.col("_id").isNull(), F.col("_id")))
-        groups = hashed.groupBy(F.col("_digest").alias("digest")).agg(first.alias("keep_id"), F.max("_points").alias("n_points"), F.count("*").alias("group_size"))
+    def append_new(self, groups: DataFrame, batch: str) -> None:
+        """Add those of groups (see grouped()) whose digest the index lacks."""
         known = self.rows().select("digest").hint("merge")
-        new = groups.join(known, "digest", "left_anti").withColumn("batch", F.lit(batch or uuid.uuid4().hex))
+        new = groups.join(known, "digest", "left_anti").withColumn("batch", F.lit(batch))
         new.select("digest", "keep_id", "n_points", "group_size", "batch").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
+    def compacted(self, path: str | None = None, buckets: int | None = None) -> DigestIndex:
+        """A new index with the same rows in one sorted file a bucket; every append adds a file to the buckets it touches."""
+        id_type = self.rows().schema["keep_id"].dataType.simpleString()
+        out = DigestIndex(self.spark, path, buckets or self.buckets, id_type)
+        # Read as plain files: a bucketed scan counts as partitioned already, with as many files as were appended.
+        rows = self.spark.read.schema(self.rows().schema).parquet(self.path)
+        rows.repartition(out.buckets, "digest").sortWithinPartitions("digest").write.insertInto(out.name)
+        self.spark.catalog.refreshTable(out.name)
+        return out
+
+
+def grouped(hashed: DataFrame) -> DataFrame:
+    """hashed: see digests().  (digest, keep_id, n_points, group_size) of each digest."""
+    first = F.min_by("_id", F.struct(-F.col("_points"), F.col("_id").isNull(), F.col("_id")))
+    return hashed.groupBy(F.col("_digest").alias("digest")).agg(first.alias("keep_id"), F.max("_points").alias("n_points"), F.count("*").alias("group_size"))
+
 
-def deduplicate(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """One row for each row of df: the id, keep_id, group_size (in the batch that brought the text), kept, text_sha256.
 
-    Rows whose text an earlier batch of the index holds are not kept: their keep_id is that batch's.
+    Rows whose text an earlier batch of the index holds are not kept: their keep_id is that batch's.  batch names these
+    rows, so that a job which is run again finds its own; without a name every call is a new batch.
     """
-    batch = uuid.uuid4().hex
+    batch = batch or uuid.uuid4().hex
     hashed = save(digests(df, id_col, text_col), "digests")  # whole texts are read and hashed once
     index = index or DigestIndex(df.sparkSession, id_type=hashed.schema["_id"].dataType.simpleString())
-    index.append_new(hashed, batch)
-    known = index.rows().select(F.col("digest").alias("_digest"), "keep_id", "group_size", "batch")
+    groups = save(grouped(hashed), "digest-groups")
+    index.append_new(groups, batch)
+    known = index.rows().select(F.col("digest").alias("_digest"), "keep_id", "group_size", "batch").hint("merge")
+    known = known.join(groups.select(F.col("digest").alias("_digest"), F.col("group_size").alias("_n")), "_digest")
     kept = (F.col("batch") == batch) & F.col("_id").eqNullSafe(F.col("keep_id"))
-    return hashed.join(known, "_digest").select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
+    return join_unique(hashed, known, "_digest", "_n").select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
-def keep_first(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """The rows of df that stay, with their columns; of repeated rows (one id, one text) one."""
     names = df.columns
-    stay = deduplicate(df, index, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct()
+    stay = deduplicate(df, index, id_col, text_col, batch).where("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct()
     hashed = df.withColumns({"_own_id": F.col(id_col), "_own": F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
     return rows_that_stay(hashed, stay, ["_own_id", "_own"], ["_id", "_digest"]).select(*names)
 
