@@ -4,9 +4,9 @@ A document is a bag of passages (64 consecutive tokens, the whole text).  Every
 hashed tokens, shape and repetition rates go through a learned layer.  Gated attention, learned from document labels
 alone, weighs the passages; the weighted sum is the document's representation, which a logistic unit scores.
 
-Training takes a bounded sample, `PER_LABEL` documents of each label (chosen by a hash of the id) with at most
-`TRAIN_PASSAGES` passages each, weighted back to the labels' true shares; only their passage features reach the driver.
-Scoring uses every passage of every document.
+Training takes a bounded sample, `PER_LABEL` documents of each label (chosen by a hash of the id), weighted back to the
+labels' true shares; of a document with more than `TRAIN_PASSAGES` passages that many are drawn from its whole length, by
+a hash of their numbers.  Only the sample's passage features reach the driver.  Scoring uses every passage of every document.
 
 Defined cases: a null or empty text is one empty passage and gets a score like any other; labels that are null, neither
 0 nor 1, or of unknown documents are ignored, and of several labels of one id the least counts; repeated rows get equal
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import byte_table, runs, slices, span_hash
+from sparkwarden.llm.common import byte_table, mix, runs, slices, span_hash
 
 PASSAGE, PER_LABEL, TRAIN_PASSAGES = 64, 1200, 64
 _LOWER = byte_table(words=False)
@@ -40,33 +40,46 @@ def _byte_classes() -> np.ndarray:
 
 _CLASS = _byte_classes()
 _HASHED, _SHAPES = 64, 10
+_AT_ONCE = 4096
 FEATURES = _CLASSES * _CLASSES + _HASHED + _SHAPES
 
 
 def passages(data: np.ndarray, offsets: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(features of every passage, first passage of each text with the end); each text has one passage at least."""
-    solid = data > 32
-    starts, ends = runs(solid, offsets)
+    """(features of every passage, first passage of each text with the end); each text has one passage at least.
+    most: of longer texts, that many passages, drawn over the whole text."""
+    starts, ends = runs(data > 32, offsets)
     first = np.searchsorted(starts, offsets)
     per_text = np.diff(first)
     n_pass = np.maximum(1, -(-per_text // PASSAGE))
-    if most:
-        n_pass = np.minimum(n_pass, most)
-    bounds = np.concatenate([[0], np.cumsum(n_pass)])
-    total = int(bounds[-1])
-    out = np.zeros((total, FEATURES), np.float32)
-    if not len(starts):
-        return out, bounds
+    whole = np.concatenate([[0], np.cumsum(n_pass)])
     text_of = np.repeat(np.arange(len(per_text)), per_text)
-    inside = (np.arange(len(starts)) - first[text_of]) // PASSAGE
-    keep = inside < n_pass[text_of]
-    owner = bounds[text_of] + inside
-    starts, ends, owner, text_of = starts[keep], ends[keep], owner[keep], text_of[keep]
+    owner = whole[text_of] + (np.arange(len(starts)) - first[text_of]) // PASSAGE
+    bounds = whole
+    if most and n_pass.max(initial=0) > most:
+        drawn = [np.arange(n) if n <= most else np.sort(np.argsort(mix(np.arange(n, dtype=np.uint64)), kind="stable")[:most]) for n in n_pass]
+        bounds = np.concatenate([[0], np.cumsum(np.minimum(n_pass, most))])
+        number = np.full(int(whole[-1]), -1)
+        number[np.concatenate([a + d for a, d in zip(whole, drawn, strict=False)])] = np.arange(int(bounds[-1]))
+        owner = number[owner]
+        keep = owner >= 0
+        starts, ends, owner, text_of = starts[keep], ends[keep], owner[keep], text_of[keep]
+    out = np.zeros((int(bounds[-1]), FEATURES), np.float32)
+    # bytes: from a token's start to the next token's (or its own end, at a passage's last)
+    follows = np.append(owner[1:] == owner[:-1], False)
+    reach = np.where(follows, np.append(starts[1:], 0), ends) - starts
+    for a in range(0, len(out), _AT_ONCE):  # tables of a bounded number of passages, however long a text is
+        x, y = np.searchsorted(owner, (a, a + _AT_ONCE))
+        _features(data, starts[x:y], ends[x:y], reach[x:y], owner[x:y] - a, out[a : a + _AT_ONCE])
+    return out, bounds
+
+
+def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, reach: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+    """Fill out, a row for each passage, from the passages' tokens (owner: the row of each)."""
+    total = len(out)
+    if not len(starts):
+        return
     n = np.bincount(owner, minlength=total).astype(np.float32)
     safe = np.maximum(n, 1)
-    # bytes: from a token's start to the next token's (or its own end, at a text's last)
-    follows = np.append(text_of[1:] == text_of[:-1], False)
-    reach = np.where(follows, np.append(starts[1:], 0), ends) - starts
     at = np.repeat(starts - np.append(0, np.cumsum(reach)[:-1]), reach) + np.arange(int(reach.sum()))
     cls = _CLASS[data[at]].astype(np.int64)
     of = np.repeat(owner, reach)
@@ -74,15 +87,16 @@ def passages(data: np.ndarray, offsets: np.ndarray, most: int | None = None) ->
     pair = (of[:-1] * (_CLASSES * _CLASSES) + cls[:-1] * _CLASSES + cls[1:])[same]
     size = np.maximum(np.bincount(of, minlength=total), 1)[:, None]
     out[:, : _CLASSES * _CLASSES] = np.sqrt(np.bincount(pair, minlength=total * _CLASSES * _CLASSES).reshape(total, -1) / size)
-    low = _LOWER[data]
-    h = span_hash(low, starts, ends)
+    begin, end = int(starts[0]), int(ends[-1])
+    part, starts, ends = data[begin:end], starts - begin, ends - begin
+    h = span_hash(_LOWER[part], starts, ends)
     col = _CLASSES * _CLASSES
     out[:, col : col + _HASHED] = np.sqrt(np.bincount(owner * _HASHED + (h >> np.uint64(58)).astype(np.int64), minlength=total * _HASHED).reshape(total, -1) / safe[:, None])
     col += _HASHED
     rate = lambda flag: np.bincount(owner, weights=flag, minlength=total) / safe
     length = (ends - starts).astype(np.float64)
-    upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
-    lower = np.concatenate([[0], np.cumsum(((data >= 97) & (data <= 122)) | (data >= 128))])
+    upper = np.concatenate([[0], np.cumsum((part >= 65) & (part <= 90))])
+    lower = np.concatenate([[0], np.cumsum(((part >= 97) & (part <= 122)) | (part >= 128))])
     ups, lows = upper[ends] - upper[starts], lower[ends] - lower[starts]
     again = np.append(False, (h[1:] == h[:-1]) & (owner[1:] == owner[:-1]))
     before = np.append([False, False], (h[2:] == h[:-2]) & (owner[2:] == owner[:-2])) if len(h) > 1 else np.zeros(len(h), bool)
@@ -90,7 +104,6 @@ def passages(data: np.ndarray, offsets: np.ndarray, most: int | None = None) ->
     mean = rate(length)
     shapes = [n / PASSAGE, np.log1p(mean), np.sqrt(np.maximum(rate(length**2) - mean**2, 0)) / 8, rate((ups > 1) & (lows == 0)), rate((ups > 0) & (lows > 0)), rate(lows + ups == 0), rate(again), rate(before), (seen > 0).sum(1) / safe, seen.max(1) / safe]
     out[:, col:] = np.stack(shapes, 1)
-    return out, bounds
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -192,23 +205,31 @@ def keep_good(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
     """The rows of docs, with their columns, that a model learned from labels scores at least so high."""
     names = docs.columns
     model = train(docs, labels, F.lit(True) if usable is None else usable, **columns)
-    return score(docs, model, keep=names).where(F.col("score") >= least).select(*names)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])  # private names, since results are added
+    scored = score(plain, model, text_col=f"_c{names.index(columns.get('text_col', 'text'))}")
+    return scored.where(F.col("score") >= least).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+
+
+RESULTS = "score", "n_passages", "focus"
 
 
 def score(df: DataFrame, model: AttentionModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of df (default: all), with score (0 to 1), n_passages and focus (the number of the passage with most attention)."""
-    keep = df.columns if keep is None else keep
-    text = text_col if text_col in keep else "_text"  # a text that is kept travels once
-    kept = df.select(*keep) if text == text_col else df.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    """The columns keep of df (default: all), with score (0 to 1), n_passages and focus (the number of the passage with most
+    attention); columns of df with these names give way to them."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in RESULTS]
+    # A text that is kept travels once.
+    rest = {c: f"_k{i}" for i, c in enumerate(keep) if c != text_col}
+    kept = df.select(F.col(f"`{text_col}`").cast("string").alias("_text"), *[F.col(f"`{c}`").alias(x) for c, x in rest.items()])
+    names = [*(["_text"] if text_col in keep else []), *rest.values()]
     shared = df.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"] + ["score double", "n_passages bigint", "focus bigint"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names] + ["score double", "n_passages bigint", "focus bigint"])
 
     def run(batches):
-        for rows, data, offsets in slices(batches, text):
+        for rows, data, offsets in slices(batches):
             x, bounds = passages(data, offsets)
             s, attention = shared.value.score(x, bounds)
             focus = [int(attention[a:b].argmax()) for a, b in zip(bounds, bounds[1:], strict=False)]
-            columns = [rows.column(rows.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64()), pa.array(np.diff(bounds), pa.int64()), pa.array(focus, pa.int64())], names=[*keep, "score", "n_passages", "focus"])
+            columns = [rows.column(rows.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64()), pa.array(np.diff(bounds), pa.int64()), pa.array(focus, pa.int64())], names=[*names, *RESULTS])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).select(*[F.col(rest.get(c, "_text")).alias(c) for c in keep], *RESULTS)
