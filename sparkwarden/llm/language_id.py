@@ -5,8 +5,8 @@ Each language has a codeword of +1 and -1 bits.  For each bit a binary classifie
 each weighted by how well its classifier does when left out, and the nearest codeword wins; where the two nearest lie
 close together, the row is flagged ambiguous.
 
-Training takes a bounded sample, `PER_LANGUAGE` texts of each language (chosen by a hash of the id), of at most
-`MOST_LANGUAGES` languages (more is an error); only their n-gram counts reach the driver.
+Training takes a bounded sample, `PER_LANGUAGE` texts of each language (chosen by a hash of id and text), fewer where that
+would be more than `SAMPLE_ROWS` in all, but one of each language at least; only their n-gram counts reach the driver.
 
 Defined cases: a null, empty or letterless text is `und` with score 0, never ambiguous; repeated rows get equal rows; with no training
 row every text is `und`; an empty table gives an empty result.
@@ -15,18 +15,17 @@ row every text is `und`; an empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.llm.common import byte_table, mix, slices
 
 FEATURES = 1 << 12
 PER_LANGUAGE = 400
-MOST_LANGUAGES = 200
+SAMPLE_ROWS = 12_000
 _LOWER = byte_table(words=False)
 
 
@@ -73,11 +72,19 @@ class CodeModel:
     def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray, ridge: float = 0.05):
         self.languages, self.code = languages, codewords(len(languages))
         targets = self.code[y]
-        # Dual form: the sample is small.  Leave-one-out outputs come from the diagonal of the inverse.
-        inverse = np.linalg.inv(x.astype(np.float64) @ x.T + ridge * np.eye(len(x)))
-        dual = inverse @ targets
-        self.weights = (x.T @ dual).astype(np.float32)
-        left_out = targets - dual / np.diag(inverse)[:, None]
+        # Leave-one-out outputs come from the diagonal of the inverse (dual form) or of the hat matrix (primal, for large samples).
+        x = x.astype(np.float64)
+        if len(x) <= x.shape[1]:
+            inverse = np.linalg.inv(x @ x.T + ridge * np.eye(len(x)))
+            dual = inverse @ targets
+            self.weights = (x.T @ dual).astype(np.float32)
+            left_out = targets - dual / np.diag(inverse)[:, None]
+        else:
+            inverse = np.linalg.inv(x.T @ x + ridge * np.eye(x.shape[1]))
+            weights = inverse @ (x.T @ targets)
+            self.weights = weights.astype(np.float32)
+            hat = np.einsum("ij,ij->i", x @ inverse, x)[:, None]
+            left_out = targets - (targets - x @ weights) / (1 - hat)
         error = np.clip((left_out * targets <= 0).mean(0), 0.5 / len(x), 0.45)
         self.bit_weight = np.log((1 - error) / error)
         self.bit_weight /= self.bit_weight.sum()
@@ -109,21 +116,21 @@ class CodeModel:
 def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> CodeModel | None:
     """Fit on rows of df where usable holds and lang_col and text are not null; None without such rows."""
     rows = df.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    n = rows.select("_lang").distinct().count()
+    if not n:
         return None
-    languages = sorted(counts)
-    # A hash of id and text thins each language to twice the bound in expectation; the exact bound follows by order.
-    draw = F.xxhash64(F.lit("sample"), "_id", F.xxhash64("_text"))
-    thin = reduce(lambda c, lang: c.when(F.col("_lang") == lang, F.pmod(draw, F.lit(max(1, counts[lang] // (2 * per_language)))) == 0), languages, F).otherwise(False)
-    drawn = rows.where(thin).withColumn("_draw", draw)
-    parts = [drawn.where(F.col("_lang") == lang).orderBy("_draw").limit(per_language) for lang in languages]
-    chosen = reduce(DataFrame.unionByName, parts).select("_lang", "_text")
+    # The sample's draws are found on ids and hashes alone; each task passes on no more of a language than the sample takes.
+    drawn = rows.withColumn("_draw", F.struct(F.xxhash64(F.lit("sample"), "_id", F.xxhash64("_text")).alias("a"), F.xxhash64("_text").alias("b")))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_draw"))
+    ranked = drawn.select("_lang", "_draw", place.alias("_place")).where(F.col("_place") <= max(1, min(per_language, SAMPLE_ROWS // n)))
+    # Repeated rows have one draw and count once, so the sample stays bounded.
+    chosen = drawn.join(F.broadcast(ranked.select("_lang", "_draw").distinct()), ["_lang", "_draw"]).groupBy("_lang", "_draw").agg(F.first("_text").alias("_text")).select("_lang", "_text")
     sample = chosen.mapInArrow(_features, "_lang string, x binary").collect()
+    sample.sort()
+    languages = sorted({r["_lang"] for r in sample})
+    number = {lang: i for i, lang in enumerate(languages)}
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in sample])
-    return CodeModel(languages, x, np.array([languages.index(r["_lang"]) for r in sample]))
+    return CodeModel(languages, x, np.array([number[r["_lang"]] for r in sample]))
 
 
 def _features(batches):

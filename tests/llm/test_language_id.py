@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkwarden.llm.common import held_out
-from sparkwarden.llm.language_id import codewords, identify, ngram_counts, train
+from sparkwarden.llm.language_id import CodeModel, codewords, identify, ngram_counts, train
 
 
 def test_codewords_differ():
@@ -30,3 +30,29 @@ def test_held_out_accuracy(spark):
     assert np.mean([got[r.doc_id].lang_pred == r.lang for r in test]) > 0.97
     assert train(every.limit(0), F.lit(True)) is None
     assert {r.lang_pred for r in identify(odd, None).collect()} == {"und"}
+
+
+def test_any_number_of_languages(spark):
+    """Each language has letters of its own; more languages than the sample has rows for two texts of each."""
+    rows = [(10 * i + k, f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i) * 2} {k}", f"l{i}") for i in range(250) for k in range(3)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string").withColumn("_draw", F.lit(1)).withColumn("_letters", F.lit(0))
+    model = train(df, F.lit(True), per_language=2)
+    assert len(model.languages) == 250
+    got = identify(df, model).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert len(got) == 755 and np.mean([r.lang_pred == want[r.doc_id] for r in got]) > 0.9
+    assert len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 750  # repeated rows get equal rows
+    assert identify(df.limit(0), model).count() == 0
+
+
+def test_primal_and_dual_agree():
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((12, 6)).astype(np.float32), np.arange(12) % 3
+    primal, wide = CodeModel(["a", "b", "c"], x, y), CodeModel(["a", "b", "c"], np.hstack([x, np.zeros((12, 20), np.float32)]), y)
+    assert np.allclose(primal.weights, wide.weights[:6], atol=1e-4) and np.allclose(primal.bit_weight, wide.bit_weight) and np.isclose(primal.scale, wide.scale)
+
+
+def test_long_text(spark):
+    df = spark.createDataFrame([(1, "the and of " * 200000, "en"), (2, "le la les des " * 50, "fr")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in identify(df, train(df, F.lit(True))).collect()}
+    assert got == {1: "en", 2: "fr"}
