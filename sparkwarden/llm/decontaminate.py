@@ -4,18 +4,19 @@ The automaton holds every word sequence that occurs in an item.  A document's wo
 word it gives the length of the longest suffix that occurs in an item.  Where that length reaches the window, the words
 are hit; the suffix links say which items they come from.  Items with fewer words than a window count as a whole.
 
-Items are read in blocks of a bounded number of words, one automaton a block, each broadcast by itself; documents meet
-every block, and what the blocks found is merged by document.  With one block, documents are never shuffled.
+Items are read in blocks of a bounded number of words, one automaton a block.  The driver holds one block at a time: it is
+broadcast, what it hits is written, and it is dropped before the next is read; what the blocks hit is merged by document.
+With one block, documents are never shuffled.
 
 Defined cases: words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters; a null or wordless text has no
-words and no hits; a null or wordless item has no window; equal items are all named; repeated documents each get a row;
+words and no hits; a null or wordless item has no window; equal items are all named; an item with a null id has windows
+that hit but is not named; repeated documents each get a row;
 with an empty benchmark nothing is hit.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ class SuffixAutomaton:
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: dict[int, set[str]] = {}  # state -> items with a prefix that ends here
-        self.short: dict[int, list[tuple[int, str]]] = {}  # state -> (words, item) of short items that end here
+        self.ends: dict[int, set[str | None]] = {}  # state -> items with a prefix that ends here
+        self.short: dict[int, list[tuple[int, str | None]]] = {}  # state -> (words, item) of short items that end here
         self.least = window
 
     def _extend(self, last: int, w: int) -> int:
@@ -77,7 +78,7 @@ class SuffixAutomaton:
         self.link[q] = c
         return c
 
-    def add(self, item: str, text: bytes) -> None:
+    def add(self, item: str | None, text: bytes) -> None:
         words, state = words_of(text), 0
         states = []
         for x in words:
@@ -133,6 +134,7 @@ class SuffixAutomaton:
                     if m <= n:
                         items.add(item)
                         spans.append((i + 1 - m, i + 1))
+        items.discard(None)
         return merged(spans), items
 
 
@@ -146,14 +148,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
-    """The items, block by block: a block is what the driver holds and broadcasts at once."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("_item"), F.col(text_col).cast("string").alias("_text")).where("_item is not null and _text is not null")
+def _n_blocks(benchmark: DataFrame, text_col: str, block_words: int) -> int:
     # No text has more words than half its bytes, rounded up.
-    total = items.agg(F.coalesce(F.sum((F.octet_length("_text") + 1) / 2), F.lit(0))).first()[0]
-    n = max(1, -(-int(total) // block_words))
-    for k in range(n):
-        yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("_item"), F.lit(n)) == k).collect()]
+    total = benchmark.agg(F.coalesce(F.sum((F.octet_length(F.col(text_col).cast("string")) + 1) / 2), F.lit(0))).first()[0]
+    return max(1, -(-int(total) // block_words))
+
+
+def _block(benchmark: DataFrame, item_col: str, text_col: str, n: int, k: int) -> list[tuple[str | None, str]]:
+    """Block k of n of the items: what the driver holds and broadcasts at once."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("_item"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
+    return [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(n)) == k).collect()]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -166,9 +170,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     kept = docs.select(F.col(id_col).alias("_id"), *([] if text in keep else [F.col(text_col).cast("string").alias("_text")]), *keep)
     result = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<a:bigint,b:bigint>>"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"] + [result])
-    blocks = list(_blocks_broadcast(docs, benchmark, item_col, item_text_col, block_words, window))
+    n_blocks = _n_blocks(benchmark, item_text_col, block_words)
+    broadcast = docs.sparkSession.sparkContext.broadcast
 
-    def scan(shared):
+    def scan(shared, text=text):
         def run(batches):
             automaton = _built(shared, window)
             for rows, data, offsets in slices(batches, text):
@@ -184,29 +189,33 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
 
         return run
 
-    if len(blocks) == 1:
-        found = kept.mapInArrow(scan(blocks[0]), schema)
+    if n_blocks == 1:
+        found = kept.mapInArrow(scan(broadcast(_block(benchmark, item_col, item_text_col, 1, 0))), schema)
     else:
-        # Several blocks: number the rows once, scan for each block, and merge by that number.
+        # Number the rows once; the first block's rows are all rows, those of the others only the hits.
         numbered = save(kept.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
-        parts = [numbered.mapInArrow(scan(b), f"{schema.replace(result, '')}`_row` bigint, {result}") for b in blocks]
-        every = reduce(DataFrame.unionByName, parts)
-        first = [F.first(c).alias(c) for c in kept.columns if c != "_text"]
-        grouped = every.groupBy("_row").agg(*first, F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        parts = []
+        for k in range(n_blocks):
+            block = broadcast(_block(benchmark, item_col, item_text_col, n_blocks, k))
+            rows = numbered if not k else numbered.select("_row", F.col("_id"), F.col(text).alias("_text"))
+            part = rows.mapInArrow(scan(block, "_text" if k else text), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"] + [result]))
+            parts.append(save(part if not k else part.where("n_hit > 0").select("_row", "items", "spans"), "decontaminate"))
+            block.destroy()
+        every = parts[0].where("n_hit > 0").select("_row", "items", "spans")
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        grouped = every.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
         joined = F.expr(
             "aggregate(spans, cast(array() as array<struct<a:bigint,b:bigint>>), (s, x) -> if(size(s) > 0 and element_at(s, -1).b >= x.a,"
             " concat(slice(s, 1, size(s) - 1), array(named_struct('a', element_at(s, -1).a, 'b', greatest(element_at(s, -1).b, x.b)))), concat(s, array(x))))"
         )
-        found = grouped.withColumn("spans", joined).withColumn("n_hit", F.expr("aggregate(spans, 0L, (s, x) -> s + x.b - x.a)"))
+        hits = grouped.select("_row", F.col("items").alias("_items"), joined.alias("_spans"))
+        found = parts[0].join(hits, "_row", "left").withColumns({"items": F.coalesce("_items", "items"), "spans": F.coalesce("_spans", "spans")})
+        found = found.withColumn("n_hit", F.expr("aggregate(spans, 0L, (s, x) -> s + x.b - x.a)"))
     columns = [*([] if id_col in keep else [F.col("_id").alias(id_col)]), *keep, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "spans"]
     return found.select(*columns)
 
 
-def _blocks_broadcast(docs, benchmark, item_col, text_col, block_words, window):
-    for items in _blocks(benchmark, item_col, text_col, block_words):
-        yield docs.sparkSession.sparkContext.broadcast(items)
-
-
 _last: list = []
 
 

@@ -33,10 +33,10 @@ def test_automaton_against_brute_force():
 
 def test_find_cases(spark):
     docs = spark.createDataFrame([(1, "x One, two three! y", 9), (2, None, 9), (3, "", 9), (1, "x One, two three! y", 9), (None, "alpha beta gamma delta é", 9)], "doc_id long, text string, spans int").repartition(3)
-    bench = spark.createDataFrame([("b", "one TWO three"), ("a", "one two three"), ("c", None), ("d", "..."), ("e", "beta gamma delta É epsilon")], "item_id string, text string")
+    bench = spark.createDataFrame([("b", "one TWO three"), ("a", "one two three"), ("c", None), ("d", "..."), ("e", "beta gamma delta É epsilon"), (None, "alpha beta gamma")], "item_id string, text string")
     for block in (10**6, 3):
         got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, tuple(r["items"])) for r in find(docs, bench, window=3, block_words=block).collect())
-        assert got == [("1", 5, 3, 2, ("a", "b")), ("1", 5, 3, 2, ("a", "b")), ("2", 0, 0, 0, ()), ("3", 0, 0, 0, ()), ("None", 5, 3, 1, ("e",))]
+        assert got == [("1", 5, 3, 2, ("a", "b")), ("1", 5, 3, 2, ("a", "b")), ("2", 0, 0, 0, ()), ("3", 0, 0, 0, ()), ("None", 5, 4, 1, ("e",))]
     assert find(docs.limit(0), bench).count() == 0
     assert find(docs, bench.limit(0)).agg({"n_hit": "sum"}).collect() == [Row(**{"sum(n_hit)": 0})]
 
