@@ -8,7 +8,7 @@ length, sequence k of a shard is reached by arithmetic and read as a view of the
 A task writes under its attempt's own name and reports that name in the manifest, so a task that is lost or run twice
 leaves at most files that nothing refers to.
 
-Defined cases: a null or empty text has only the end id; equal ids keep all their rows, next to each other, ordered by
+Defined cases: whole-number ids are kept as such, others as strings; a null or empty text has only the end id; equal ids keep all their rows, next to each other, ordered by
 text; a null id sorts first; an empty table gives no shard.
 """
 
@@ -24,6 +24,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from sparkwarden.llm.bpe import pieces_of
 from sparkwarden.llm.common import save, slices, work_dir
@@ -32,7 +33,7 @@ from sparkwarden.llm.common import save, slices, work_dir
 SEQUENCE, BATCH = 2048, 128
 #: Words whose ids are kept between slices of text; emptied when full, which changes speed and no result.
 CACHE_WORDS = 400_000
-MANIFEST = "shard int, path string, docs_path string, first_id bigint, n_docs bigint, n_ids bigint, n_sequences bigint"
+MANIFEST = "shard int, path string, docs_path string, first_id {id}, n_docs bigint, n_ids bigint, n_sequences bigint"
 
 
 class _Words(dict):
@@ -88,19 +89,19 @@ def encoder(vocabulary: str, added: bool = False) -> Encoder:
 class _Shard:
     """Writes one shard; holds one batch of sequences at most."""
 
-    def __init__(self, folder: str, name: str, sequence: int, batch: int, code: str):
+    def __init__(self, folder: str, name: str, sequence: int, batch: int, code: str, id_kind: pa.DataType):
         self.fs, base = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
         self.fs.create_dir(base, recursive=True)
         self.sequence, self.block = sequence, sequence * batch
         self.kind = np.dtype(code)
         self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
-        self.docs_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        self.docs_schema = pa.schema([("doc_id", id_kind), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.outs = [self.fs.open_output_stream(f"{base}/{name}{x}.arrow") for x in ("", ".docs")]
         self.paths = [f"{folder}/{name}{x}.arrow" for x in ("", ".docs")]
         self.file, self.docs_file = pa.ipc.new_file(self.outs[0], self.schema), pa.ipc.new_file(self.outs[1], self.docs_schema)
         self.held, self.n_held, self.docs, self.n_docs, self.n_ids, self.n_sequences, self.first_id = [], 0, [], 0, 0, 0, None
 
-    def add(self, doc_id: int | None, raw: bytes) -> None:
+    def add(self, doc_id: int | str | None, raw: bytes) -> None:
         n = len(raw) // self.kind.itemsize
         if not self.n_docs:
             self.first_id = doc_id
@@ -125,7 +126,7 @@ class _Shard:
         self.n_sequences += n
 
     def _write_docs(self) -> None:
-        columns = [pa.array(x, pa.int64()) for x in zip(*self.docs, strict=True)]
+        columns = [pa.array(x, k) for x, k in zip(zip(*self.docs, strict=True), self.docs_schema.types, strict=True)]
         self.docs_file.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.docs_schema))
         self.docs = []
 
@@ -146,7 +147,9 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str | None = None,
     spark = df.sparkSession
     out = folder or work_dir(spark, "token-files")
     # Range partitions are sampled by the random key too, so that many rows of one id spread over several shards.
-    kept = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    id_type = "bigint" if isinstance(df.schema[id_col].dataType, IntegralType) else "string"
+    id_kind, schema = {"bigint": pa.int64(), "string": pa.string()}[id_type], MANIFEST.format(id=id_type)
+    kept = df.select(F.col(id_col).cast(id_type).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kept = kept.withColumn("_tie", F.xxhash64("_text"))
     ordered = kept.repartitionByRange("_id", "_tie").sortWithinPartitions("_id", "_tie", "_text").select("_id", "_text")
 
@@ -156,16 +159,16 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str | None = None,
         end = array(encode.code, [end_id]).tobytes()
         for rows, data, offsets in slices(batches):
             if shard is None:
-                shard = _Shard(out, f"shard-{task.partitionId():05d}-{task.taskAttemptId()}", sequence, batch, encode.code)
+                shard = _Shard(out, f"shard-{task.partitionId():05d}-{task.taskAttemptId()}", sequence, batch, encode.code, id_kind)
             for doc_id, raw in zip(rows.column(0).to_pylist(), encode.encode_slice(data.tobytes(), offsets), strict=True):
                 shard.add(doc_id, raw + end)
         if shard is not None:
             shard.close()
             values = [task.partitionId(), *shard.paths, shard.first_id, shard.n_docs, shard.n_ids, shard.n_sequences]
-            kinds = [pa.int32(), pa.string(), pa.string()] + [pa.int64()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
+            kinds = [pa.int32(), pa.string(), pa.string(), id_kind] + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    manifest = save(ordered.mapInArrow(run, MANIFEST), "token-manifest")
+    manifest = save(ordered.mapInArrow(run, schema), "token-manifest")
     return with_starts(spark, manifest)
 
 
@@ -176,7 +179,7 @@ def with_starts(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     for r in rows:
         out.append((*r, start))
         start += r["n_ids"]
-    return spark.createDataFrame(out, f"{MANIFEST}, global_start bigint")
+    return spark.createDataFrame(out, f"{MANIFEST.format(id=manifest.schema['first_id'].dataType.simpleString())}, global_start bigint")
 
 
 def open_file(path: str) -> pa.ipc.RecordBatchFileReader:
@@ -208,7 +211,7 @@ class SequenceFile:
 def read_documents(manifest: DataFrame) -> DataFrame:
     """Read the shards back: one row for each document with doc_id, start (global), n_tokens and the crc32 of its ids."""
     n = max(1, manifest.count())
-    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+    schema = f"doc_id {manifest.schema['first_id'].dataType.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint"
 
     def run(batches):
         for shard in (r for b in batches for r in b.to_pylist()):
