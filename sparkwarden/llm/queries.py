@@ -71,11 +71,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP7_SQL = r"""
-WITH parts AS (
-  SELECT page_id,
-         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path
-  FROM pages
+WITH rests AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), cuts AS (
+  SELECT page_id, rest, length(regexp_replace(rest, '(?s)[/?#].*$', '')) AS host_length, length(regexp_replace(rest, '(?s)[?#].*$', '')) AS whole_length FROM rests
+), parts AS (
+  SELECT page_id, translate(substr(rest, 1, host_length), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         substr(rest, host_length + 1, whole_length - host_length) AS path
+  FROM cuts
 ), rules(host_end, prefix, verdict) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
 ), fitting AS (
@@ -122,8 +125,8 @@ r AS (
   SELECT c.pair_id, c.turn, c.role, c.text FROM c LEFT JOIN last l ON c.pair_id = l.pair_id WHERE l.at IS NULL OR c.turn < l.at
   UNION ALL SELECT l.pair_id, l.at, 'assistant', o.reply FROM last l JOIN last o ON o.pair_id = xor(l.pair_id, 1)
 ),
-a AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) - 1 AS place, role, text FROM c),
-b AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) - 1 AS place, role, text FROM r),
+a AS (SELECT pair_id, turn, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) - 1 AS place, role, text FROM c),
+b AS (SELECT pair_id, turn, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) - 1 AS place, role, text FROM r),
 j AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.place, b.place) AS place, a.role AS role_a, a.text AS text_a, b.role AS role_b, b.text AS text_b
   FROM a FULL JOIN b ON a.pair_id = b.pair_id AND a.place = b.place
@@ -131,23 +134,23 @@ j AS (
 p AS (
   SELECT pair_id, coalesce(min(place) FILTER (WHERE role_a IS DISTINCT FROM role_b OR text_a IS DISTINCT FROM text_b), max(place) + 1) AS n_prompt_turns FROM j GROUP BY pair_id
 ),
+sides AS (SELECT 'a' AS side, * FROM a UNION ALL SELECT 'b', * FROM b),
 k AS (
-  SELECT j.*, p.n_prompt_turns, place < n_prompt_turns AS shared,
-         '<|' || role_a || '|>' || chr(10) AS head_a, '<|' || role_b || '|>' || chr(10) AS head_b,
-         '<|' || role_a || '|>' || chr(10) || text_a || '<|end|>' || chr(10) AS turn_a, '<|' || role_b || '|>' || chr(10) || text_b || '<|end|>' || chr(10) AS turn_b
-  FROM j JOIN p ON j.pair_id = p.pair_id
+  SELECT side, pair_id, turn // 64 AS block, place, role, n_prompt_turns, place < n_prompt_turns AS shared,
+         '<|' || role || '|>' || chr(10) AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said
+  FROM sides JOIN p USING (pair_id)
 ),
 s AS (
-  SELECT *, coalesce(sum(CASE WHEN shared THEN 0 ELSE length(turn_a) END) OVER w, 0) AS at_a, coalesce(sum(CASE WHEN shared THEN 0 ELSE length(turn_b) END) OVER w, 0) AS at_b
-  FROM k WINDOW w AS (PARTITION BY pair_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-)
-SELECT pair_id, 0 AS block, n_prompt_turns,
-       coalesce(string_agg(turn_a, '' ORDER BY place) FILTER (WHERE shared), '') AS prompt,
-       coalesce(string_agg(turn_a, '' ORDER BY place) FILTER (WHERE NOT shared), '') AS chosen,
-       coalesce(string_agg(CAST(CAST(at_a + length(head_a) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at_a + length(turn_a) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY place) FILTER (WHERE NOT shared AND role_a = 'assistant'), '') AS chosen_mask,
-       coalesce(string_agg(turn_b, '' ORDER BY place) FILTER (WHERE NOT shared), '') AS rejected,
-       coalesce(string_agg(CAST(CAST(at_b + length(head_b) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at_b + length(turn_b) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY place) FILTER (WHERE NOT shared AND role_b = 'assistant'), '') AS rejected_mask
-FROM s GROUP BY pair_id, n_prompt_turns
+  SELECT *, coalesce(sum(CASE WHEN shared THEN 0 ELSE length(said) END) OVER (PARTITION BY side, pair_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM k
+),
+m AS (SELECT *, CAST(CAST(begun + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begun + length(said) - 1 AS BIGINT) AS VARCHAR) AS mask FROM s)
+SELECT pair_id, block, n_prompt_turns,
+       coalesce(string_agg(said, '' ORDER BY place) FILTER (WHERE side = 'a' AND shared), '') AS prompt,
+       coalesce(string_agg(said, '' ORDER BY place) FILTER (WHERE side = 'a' AND NOT shared), '') AS chosen,
+       coalesce(string_agg(mask, ',' ORDER BY place) FILTER (WHERE side = 'a' AND NOT shared AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(said, '' ORDER BY place) FILTER (WHERE side = 'b' AND NOT shared), '') AS rejected,
+       coalesce(string_agg(mask, ',' ORDER BY place) FILTER (WHERE side = 'b' AND NOT shared AND role = 'assistant'), '') AS rejected_mask
+FROM m GROUP BY pair_id, block, n_prompt_turns
 """
 
 OP9_SQL = r"""
