@@ -9,7 +9,8 @@ similarity = aligned / (length + length - aligned), an order-sensitive Jaccard s
 A bucket whose members do not all link to its leader is looser than one class, so its texts go to the next level, with
 longer bands and another leader for every bucket, where such texts part and true pairs meet again.  What still met where
 a pair failed after the last level is compared exactly: a pair of 0.8 or more shares one of the rarest fifth of its
-labelled k-mers, so texts of different classes that share one are verified.  Links make classes by connected components.
+labelled k-mers, so texts of different classes that share one are compared, leaders first and more of them each round,
+until each k-mer's texts are one class or all compared.  Links make classes by connected components.
 
 Texts with equal words are one text from the start (counted map-side), so large groups of copies cost one signature.
 
@@ -24,10 +25,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import mix, save, shingles, slices, word_hashes
+from sparkwarden.llm.common import bucket_counts, join_unique, mix, save, shingles, slices, word_hashes
 from sparkwarden.llm.exact_dedup import rows_that_stay
 from sparkwarden.llm.graph import components
 
@@ -36,8 +37,8 @@ K, MINIMA, SIMILARITY = 5, 2, 0.8
 #: pair with about 0.0002 and 0.0002.
 LEVELS = ((2, 16), (4, 48))
 _CHUNK = 4096
-#: Bits of a labelled k-mer by which its occurrences are counted (the counts only order the k-mers), and parts of the counts.
-_COUNT_BITS, _COUNT_PARTS = 20, 64
+#: Bits of a labelled k-mer by which its occurrences are counted (the counts only order the k-mers).
+_COUNT_BITS = 20
 _MOST = max(r * b for r, b in LEVELS)
 _RNG = np.random.default_rng(20240505)  # its own: draws must not depend on what else a worker has imported
 _XOR = _RNG.integers(0, 1 << 63, _MOST, dtype=np.uint64)
@@ -154,7 +155,8 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """pairs: (a, b) of _words; texts: (_words, _text).  Adds similarity (0 below least)."""
     mine = texts.select(F.col("_words").alias("a"), F.col("_text").alias("_ta"))
     other = texts.select(F.col("_words").alias("b"), F.col("_text").alias("_tb"))
-    both = pairs.join(mine, "a").join(other, "b").select("a", "b", "_ta", "_tb")
+    other = pairs.groupBy("b").agg(F.count("*").alias("_n")).join(other, "b")  # the lesser text is often a leader
+    both = join_unique(pairs.join(mine, "a"), other, "b", "_n", wide=True).select("a", "b", "_ta", "_tb")
 
     def run(batches):
         for rows, data, offsets in slices(batches, "_ta"):
@@ -191,37 +193,16 @@ def _kmer_lists(batches):
         yield rows, [labelled(shingles(hashes[a:b], K)) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
 
 
-def _kmer_counts(texts: DataFrame) -> np.ndarray:
-    """How often labelled k-mers with the same first bits occur: a fixed number of counts, whatever the number of texts."""
-    schema = "_part int, _counts binary"
-    shift, n = np.uint64(64 - _COUNT_BITS), 1 << _COUNT_BITS
-
-    def run(batches):
-        total = np.zeros(n, np.int64)
-        for _, lists in _kmer_lists(batches):
-            total += np.bincount((np.concatenate(lists) >> shift).astype(np.int64), minlength=n)
-        parts = total.reshape(_COUNT_PARTS, -1)
-        for i in range(_COUNT_PARTS if total.any() else 0):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], names=["_part", "_counts"])
-
-    def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in part.column(1).to_pylist())
-        return pa.table({"_part": part.column(0)[:1], "_counts": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros((_COUNT_PARTS, n // _COUNT_PARTS), np.int64)
-    for r in texts.mapInArrow(run, schema).groupBy("_part").applyInArrow(add, schema).collect():
-        out[r["_part"]] = np.frombuffer(r["_counts"], np.int64)
-    return np.minimum(out.ravel(), 0xFFFFFFFF).astype(np.uint32)
-
-
-def exact_candidates(texts: DataFrame, least: float) -> DataFrame:
-    """texts: (_words, _text, _label).  Distinct (a, b) of different labels, with every such pair of similarity least or more.
+def _rare_heads(texts: DataFrame, least: float) -> DataFrame:
+    """texts: (_words, _text, _label).  (_words, _label, _kmer, _n, _left): the rarest labelled k-mers of each text, as many as
+    two texts of similarity least need to share one, with the number of all and of those from there on.
 
     Labelled k-mers are ordered alike in all texts, rarest first.  With a Jaccard similarity of least or more (an aligned
     one never exceeds it) two texts share one of their first n - ceil(least * n) + 1, and at the first that they share
     enough must be left in both.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(_kmer_counts(texts))
+    arrays = lambda batches: (np.concatenate(lists) for _, lists in _kmer_lists(batches) if lists)
+    shared = texts.sparkSession.sparkContext.broadcast(bucket_counts(texts, arrays, _COUNT_BITS))
     label = texts.schema["_label"].dataType.simpleString()
 
     def run(batches):
@@ -235,13 +216,43 @@ def exact_candidates(texts: DataFrame, least: float) -> DataFrame:
             columns = [rows.column(rows.schema.get_field_index(c)).take(owner) for c in ("_words", "_label")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(heads).view(np.int64)), pa.array(n, pa.int32()), pa.array(n - place, pa.int32())], names=["_words", "_label", "_kmer", "_n", "_left"])
 
-    heads = save(texts.select("_words", "_text", "_label").mapInArrow(run, f"_words binary, _label {label}, _kmer bigint, _n int, _left int"), "rare-kmers")
-    apart = heads.groupBy("_kmer").agg(F.min("_label").alias("_x"), F.max("_label").alias("_y")).where("_x != _y").select("_kmer")
-    here = heads.join(apart, "_kmer", "left_semi")
-    there = here.select("_kmer", *[F.col(c).alias(f"{c}2") for c in ("_words", "_label", "_n", "_left")])
-    enough = F.least("_left", "_left2") * (1 + least) >= least * (F.col("_n") + F.col("_n2")) - 1e-6
-    met = here.join(there, "_kmer").where((F.col("_words") > F.col("_words2")) & (F.col("_label") != F.col("_label2")) & enough)
-    return met.select(F.col("_words").alias("a"), F.col("_words2").alias("b")).distinct()
+    return texts.select("_words", "_text", "_label").mapInArrow(run, f"_words binary, _label {label}, _kmer bigint, _n int, _left int")
+
+
+def _apart(heads: DataFrame) -> DataFrame:
+    """The rows whose k-mer texts of several labels have."""
+    return heads.join(heads.groupBy("_kmer").agg(F.min("_label").alias("_x"), F.max("_label").alias("_y")).where("_x != _y").select("_kmer"), "_kmer", "left_semi")
+
+
+def exact_links(texts: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """texts: (_words, _text, _label); found: (a, b, similarity) of pairs that were compared.  Links between texts of different
+    labels such that, with the labels, every pair of similarity least or more stands in one component.
+
+    Texts meet under their rarest k-mers.  A k-mer elects leaders, twice as many each round, which all its texts of other
+    labels are compared with; links join labels, leaders leave, and it ends when no k-mer has two labels left.
+    """
+    heads = save(_apart(save(_rare_heads(texts, least), "rare-kmers")), "rare-kmers")
+    found, links, most = found.select("a", "b"), None, 1
+    while not heads.isEmpty():
+        place = F.row_number().over(Window.partitionBy("_kmer").orderBy("_words"))
+        names = {c: f"{c}2" for c in ("_words", "_label", "_n", "_left")}
+        leaders = save(heads.withColumn("_place", place).where(F.col("_place") <= most).drop("_place").withColumnsRenamed(names), "leaders")
+        enough = F.least("_left", "_left2") * (1 + least) >= least * (F.col("_n") + F.col("_n2")) - 1e-6
+        met = heads.join(leaders, "_kmer").where((F.col("_words") != F.col("_words2")) & (F.col("_label") != F.col("_label2")) & enough)
+        pairs = met.select(F.greatest("_words", "_words2").alias("a"), F.least("_words", "_words2").alias("b")).distinct()
+        pairs = save(pairs.join(found, ["a", "b"], "left_anti"), "candidates")
+        checked = save(verify(pairs, texts, least), "verified")
+        new = save(checked.where("similarity > 0").select("a", "b"), "late-links")
+        found, links = found.unionByName(checked.select("a", "b")), new if links is None else links.unionByName(new)
+        heads = heads.join(leaders.select("_kmer", F.col("_words2").alias("_words")), ["_kmer", "_words"], "left_anti")
+        if not new.isEmpty():
+            own = texts.select(F.col("_words").alias("_node"), "_label")
+            ends = [links.join(own.withColumnsRenamed({"_node": x, "_label": f"_{x}"}), x) for x in ("a", "b")]
+            moved = components(ends[0].join(ends[1], ["a", "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+            first = texts.select("_words", F.col("_label").alias("node")).join(moved, "node", "left").select("_words", F.coalesce("label", "node").alias("_label"))
+            heads = heads.drop("_label").join(first, "_words")
+        heads, most = save(_apart(heads), "rare-kmers"), 2 * most
+    return texts.select(F.col("_words").alias("a"), F.col("_words").alias("b")).limit(0) if links is None else links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
@@ -275,15 +286,14 @@ def _classes(df: DataFrame, id_col: str, text_col: str, least: float, levels: tu
         keyed = save(signatures(texts.join(_loose(met), "_words", "left_semi").withColumnRenamed("_words", "_own"), rows, bands), "signatures")
         again = save(candidates(keyed, True), "candidates")
         known = reduce(DataFrame.unionByName, found)
-        found.append(save(verify(again.join(known, ["a", "b"], "left_anti"), texts, least), "verified"))
+        found.append(save(verify(save(again.join(known, ["a", "b"], "left_anti"), "candidates"), texts, least), "verified"))
         met = reduce(DataFrame.unionByName, found).join(again, ["a", "b"], "left_semi")
     linked = save(reduce(DataFrame.unionByName, found).where("similarity > 0").select("a", "b"), "near-links")
     label = components(linked)
     # Exactly: what met where a pair failed at the last level, but for pairs that links have brought together already.
     rest = texts.join(_loose(met), "_words", "left_semi").join(label.withColumnRenamed("node", "_words"), "_words", "left")
     rest = save(rest.select("_words", "_text", F.coalesce("label", "_words").alias("_label")), "loose-texts")
-    more = exact_candidates(rest, least).join(reduce(DataFrame.unionByName, found), ["a", "b"], "left_anti")
-    late = save(verify(save(more, "candidates"), rest, least), "verified").where("similarity > 0").select("a", "b")
+    late = exact_links(rest, reduce(DataFrame.unionByName, found), least)
     links = linked.unionByName(late)
     # The classes so far are the nodes that the late links connect.
     own = rest.select(F.col("_words").alias("_node"), "_label")
