@@ -7,9 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
+    folder = tmp_path_factory.mktemp("spark")
     s = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
@@ -17,7 +18,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "3g")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.warehouse.dir", "/tmp/sparkwarden-tests/warehouse")
+        .config("spark.sql.warehouse.dir", str(folder / "warehouse"))
+        .config("spark.checkpoint.dir", str(folder / "checkpoints"))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
