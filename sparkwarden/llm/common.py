@@ -49,7 +49,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 #: Rows of one key that one task may meet in a join, how many more frequent keys are broadcast, and parts of a key beyond.
-HOT_ROWS, HOT_KEYS, SALTS = 10_000, 10_000, 64
+HOT_ROWS, HOT_KEYS, SALTS = 2_000, 10_000, 64
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner", wide: bool = False) -> DataFrame:
