@@ -69,16 +69,19 @@ def similar_texts(a: DataFrame, b: DataFrame, name: str, least: float) -> DataFr
     are some 50,000 trigrams of letters and digits at most, so their counts may be broadcast.
     """
     texts = [x.select(F.col(name).alias("_t")).where(F.col(name).isNotNull()).distinct() for x in (a, b)]
-    grams = [x.withColumn("_all", similarity.trigrams(F.col("_t"))).select("_t", F.size("_all").alias("_n"), F.explode("_all").alias("_g")) for x in texts]
+    bits = F.expr("aggregate(_all, 0L, (s, g) -> s | shiftleft(1L, cast(pmod(xxhash64(g), 64) as int)))")
+    grams = [x.withColumn("_all", similarity.trigrams(F.col("_t"))).select("_t", F.size("_all").alias("_n"), bits.alias("_bits"), F.explode("_all").alias("_g")) for x in texts]
     counts = grams[0].unionByName(grams[1]).groupBy("_g").agg(F.count("*").alias("_c"))
 
     def index(g: DataFrame) -> DataFrame:
-        ordered = g.join(F.broadcast(counts), "_g").groupBy("_t", "_n").agg(F.sort_array(F.collect_list(F.struct("_c", "_g"))).alias("_o"))
-        return ordered.select("_t", "_n", F.explode(F.slice("_o", F.lit(1), (F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).cast("int"))).alias("_x")).select("_t", "_n", F.col("_x._g").alias("_g"))
-
-    left = index(grams[0]).select("_g", F.col("_t").alias("_a"), F.col("_n").alias("_size1"))
-    right = index(grams[1]).select("_g", F.col("_t").alias("_b"), F.col("_n").alias("_size2"))
-    near = F.least("_size1", "_size2") >= F.greatest("_size1", "_size2") * least - 1e-9
+        ordered = g.join(F.broadcast(counts), "_g").groupBy("_t", "_n", "_bits").agg(F.sort_array(F.collect_list(F.struct("_c", "_g"))).alias("_o"))
+        return ordered.select("_t", "_n", "_bits", F.explode(F.slice("_o", F.lit(1), (F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).cast("int"))).alias("_x")).select("_t", "_n", "_bits", F.col("_x._g").alias("_g"))
+
+    left = index(grams[0]).select("_g", F.col("_t").alias("_a"), F.col("_n").alias("_size1"), F.col("_bits").alias("_bits1"))
+    right = index(grams[1]).select("_g", F.col("_t").alias("_b"), F.col("_n").alias("_size2"), F.col("_bits").alias("_bits2"))
+    # Sizes, and how many trigrams only one of them has: each differing bit stands for one at least.
+    apart = F.bit_count(F.col("_bits1").bitwiseXOR(F.col("_bits2"))) <= (F.col("_size1") + F.col("_size2")) * ((1 - least) / (1 + least)) + 1e-9
+    near = (F.least("_size1", "_size2") >= F.greatest("_size1", "_size2") * least - 1e-9) & apart
     pairs = left.join(right, "_g").where(near).select(F.col("_a").alias(name), F.col("_b").alias("other")).distinct()
     return pairs.withColumn("score", similarity.trigram_similarity(F.col(name), F.col("other"))).where(F.col("score") >= least)
 

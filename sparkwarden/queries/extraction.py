@@ -20,8 +20,8 @@ def _cells(*columns):
 
 @query(""" SELECT id, name, industry, CAST(agency_id AS VARCHAR) AS agency FROM offenders""")
 def sc06_html_table(s, d):
-    # One page an agency; the heading row has another number of cells and is dropped.
-    pages = T.offenders(s, d).groupBy("agency_id").agg(F.concat(F.lit("<table><tr><th>Notices</th></tr>"), F.array_join(F.collect_list(_cells(F.col("id"), F.concat(F.lit("<a href='#'>"), "name", F.lit("</a>")), F.col("industry"), F.col("agency_id"))), ""), F.lit("</table>")).alias("html"))
+    # Pages of 50 rows; the heading row has another number of cells and is dropped.
+    pages = T.offenders(s, d).groupBy(F.floor(F.col("id") / 50)).agg(F.concat(F.lit("<table><tr><th>Notices</th></tr>"), F.array_join(F.collect_list(_cells(F.col("id"), F.concat(F.lit("<a href='#'>"), "name", F.lit("</a>")), F.col("industry"), F.col("agency_id"))), ""), F.lit("</table>")).alias("html"))
     return H.table_records(pages, "html", ["id", "name", "industry", "agency"], []).withColumn("id", F.col("id").cast("bigint"))
 
 
@@ -46,14 +46,14 @@ def sc11_quarters(s, d):
 def sc15_headed_blocks(s, d):
     # sc12, sc16 and sc19 (accordions) have the same shape: an outer heading, inner headings, a block below each.
     block = F.concat(F.lit("<h3>"), "name", F.lit("</h3><p>balance "), F.col("balance").cast("string"), F.lit("</p>"))
-    pages = T.offenders(s, d).groupBy("industry", "agency_id").agg(F.concat(F.lit("<h2 id='x'>"), "industry", F.lit("</h2>"), F.array_join(F.collect_list(block), "\n")).alias("html"))
+    pages = T.offenders(s, d).groupBy("industry", F.floor(F.col("id") / 250)).agg(F.concat(F.lit("<h2 id='x'>"), "industry", F.lit("</h2>"), F.array_join(F.collect_list(block), "\n")).alias("html"))
     return H.headed_blocks(pages, "html", "h2", "h3", []).select("category", "title", "body")
 
 
 @query(""" SELECT name AS defendant, industry AS court, CAST(balance AS DOUBLE) AS fine FROM offenders""")
 def sc18_labelled_text(s, d):
     body = F.concat(F.lit("Defendant: "), "name", F.lit("\nCourt: "), "industry", F.lit("\n Fine: £"), F.col("balance").cast("string"), F.lit("\n"))
-    docs = T.offenders(s, d).groupBy("agency_id").agg(F.concat(F.lit("Page 1 of 2\n"), F.array_join(F.collect_list(body), "")).alias("pdf"))
+    docs = T.offenders(s, d).groupBy(F.floor(F.col("id") / 50)).agg(F.concat(F.lit("Page 1 of 2\n"), F.array_join(F.collect_list(body), "")).alias("pdf"))
     f = H.labelled_fields(F.col("body"), ["Defendant:", "Court:", "Fine:"])
     rows = H.split_records(docs, "pdf", "Defendant:", [])
     return rows.select(f["Defendant:"].alias("defendant"), f["Court:"].alias("court"), F.replace(f["Fine:"], F.lit("£"), F.lit("")).cast("double").alias("fine"))
@@ -63,7 +63,7 @@ def sc18_labelled_text(s, d):
 def sc04_json_records(s, d):
     path = shared_path(s, "json")
     l = T.legislation(s, d)
-    l.groupBy("year").agg(F.collect_list(F.struct("id", "title", "year")).alias("records")).select("records").write.json(path)
+    l.groupBy(F.floor(F.col("id") / 50)).agg(F.collect_list(F.struct("id", "title", "year")).alias("records")).select("records").write.json(path)
     return files.json_records(s, path, Ty.StructType([Ty.StructField("id", Ty.LongType()), Ty.StructField("title", Ty.StringType()), Ty.StructField("year", Ty.IntegerType())]), multi_line=False)
 
 
@@ -80,7 +80,7 @@ def sc05_csv_import(s, d):
 @query(""" SELECT CAST(id AS VARCHAR) AS uprn, name AS premises, industry AS status FROM offenders""")
 def sc14_positional_json(s, d):
     path = shared_path(s, "pages")
-    o = T.offenders(s, d).groupBy("agency_id").agg(F.collect_list(F.array(F.col("id").cast("string"), "name", "industry")).alias("data"))
+    o = T.offenders(s, d).groupBy(F.floor(F.col("id") / 50)).agg(F.collect_list(F.array(F.col("id").cast("string"), "name", "industry")).alias("data"))
     o.select("data").write.json(path)
     return files.positional_json(s, path, ["uprn", "premises", "status"], multi_line=False)
 
