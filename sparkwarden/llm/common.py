@@ -49,7 +49,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 #: Rows of one key that one task may meet in a join, how many more frequent keys are broadcast, and parts of a key beyond.
-HOT_ROWS, HOT_KEYS, SALTS = 2_000, 10_000, 64
+HOT_ROWS, HOT_KEYS, SALTS = 10_000, 10_000, 64
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner", wide: bool = False) -> DataFrame:
@@ -65,7 +65,8 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, n: str, how: str =
     if few <= HOT_KEYS and not wide:
         often = left.join(F.broadcast(hot), key)
     else:
-        salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        there = left.join(F.broadcast(hot.select(key)), key, "left_semi") if few <= HOT_KEYS else left
+        salted = there.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
         parts = F.explode(F.array([F.lit(i) for i in range(SALTS)])).alias("_salt")
         often = salted.join(hot.select("*", parts), [key, "_salt"]).drop("_salt")
     if how == "left":
