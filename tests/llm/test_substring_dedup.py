@@ -169,7 +169,7 @@ def test_rows_against_brute_force(spark):
     new = lambda n: [word() for _ in range(n)]
     lines, long, round_ = [new(n) for n in (26, 30, 40)], [new(n) for n in (55, 90, 140)], [["la"], new(6)]
     rows = []
-    for _ in range(40):
+    for _ in range(20):
         t = new(rng.randint(0, 20))
         for _ in range(rng.randint(1, 4)):
             kind = rng.random()
@@ -179,7 +179,7 @@ def test_rows_against_brute_force(spark):
             t += p + new(rng.choice([0, 3, 12, 30]))
         rows.append(t)
     # The leader of the line has it alone; others share a passage around the line, parted by an edit beside it.
-    for k in range(12):
+    for _ in range(6):
         tail = new(19)
         rows += [lines[1] + new(1) + tail + new(20), lines[1] + new(1) + tail + new(25)]
     got = repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").repartition(4)).collect()
@@ -195,5 +195,5 @@ def test_rows_against_brute_force(spark):
         want = set().union(*(_good_windows(a, b, 46) for j, b in enumerate(flat) if j != i))
         total += len(want)
         missed += sum(not any(x <= k + 5 and k + 45 <= y for x, y in spans.get(i, ())) for k in want)
-    assert total > 1000 and missed <= 0.005 * total
-    assert {i for i in range(40, 64)} <= set(spans)
+    assert total > 300 and missed <= 0.005 * total
+    assert {i for i in range(20, 32)} <= set(spans)
