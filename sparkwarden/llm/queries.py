@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, near_dedup, quality, substring_dedup, token_files, url_filter
+from sparkwarden.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, merkle, near_dedup, quality, substring_dedup, token_files, url_filter
 from sparkwarden.llm.common import held_out, table
 
 #: Where each executor has the vocabularies; a parameter, since a cluster may keep them elsewhere.
@@ -66,6 +66,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle.build(table(spark, sf_dir, "documents"), other=merkle.lower_cased())
+    return merkle.verify(merkle.witnesses(manifest)).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -165,5 +170,41 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+def op13_sql(source_levels: int = 8, levels: int = 5) -> str:
+    """Each level of the trees as a step of its own: enough for 16 ** source_levels rows of a source, 16 ** levels sources."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: {bit})"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+    steps = [
+        f"l AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} END AS other FROM documents)",
+        "p AS (SELECT *, coalesce('1' || source, '0') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l)",
+        "a0 AS (SELECT g, pos, leaf AS node, count(*) OVER (PARTITION BY g) AS n FROM p)",
+    ]
+
+    def climb(tree: str, depth: int) -> None:
+        for k in range(depth):
+            steps.append(f"{tree}r{k} AS (SELECT g, pos // 16 AS pos, string_agg(node, '' ORDER BY pos) AS run FROM {tree}{k} WHERE n > 1 GROUP BY g, pos // 16)")
+            steps.append(f"{tree}{k + 1} AS (SELECT g, pos, sha256(run) AS node, count(*) OVER (PARTITION BY g) AS n FROM {tree}r{k} UNION ALL SELECT g, pos, node, n FROM {tree}{k} WHERE n = 1)")
+
+    climb("a", source_levels)
+    steps.append(f"b0 AS (SELECT 'all' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, node, count(*) OVER () AS n, g AS source FROM a{source_levels})")
+    climb("b", levels)
+    tables, sides = f"p JOIN b0 s ON s.source = p.g CROSS JOIN b{levels} t", []
+    for tree, depth, group, pos in (("a", source_levels, "p.g", "p.pos"), ("b", levels, "'all'", "s.pos")):
+        for k in range(depth):
+            run, at = f"{tree}r{k}", f"({pos} // {16**k})"
+            tables += f" LEFT JOIN {run} ON {run}.g = {group} AND {run}.pos = {at} // 16"
+            sides.append((f"substr({run}.run, 1, 64 * ({at} % 16))", f"substr({run}.run, 64 * ({at} % 16) + 65)"))
+    proof = ", ".join(x for pair in sides for x in pair)
+    columns = ", ".join(f"{x} AS before{i}, {y} AS after{i}" for i, (x, y) in enumerate(sides))
+    steps.append(f"f0 AS (SELECT p.doc_id, p.leaf, s.node AS subroot, t.node AS root, concat({proof}) AS proof, coalesce(p.other, p.leaf) AS fold, {columns} FROM {tables})")
+    for i in range(len(sides)):
+        steps.append(f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN before{i} IS NULL THEN fold ELSE sha256(before{i} || fold || after{i}) END AS fold) FROM f{i})")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM f{len(sides)}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op13_merkle_manifest": op13_sql()}
