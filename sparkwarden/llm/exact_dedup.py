@@ -100,17 +100,17 @@ def deduplicate(df: DataFrame, index: DigestIndex | None = None, id_col: str = "
 
 def keep_first(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """The rows of df that stay, with their columns; of repeated rows (one id, one text) one."""
-    names = df.columns
     stay = deduplicate(df, index, id_col, text_col, batch).where("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct()
-    hashed = df.withColumns({"_own_id": F.col(id_col), "_own": F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
-    return rows_that_stay(hashed, stay, ["_own_id", "_own"], ["_id", "_digest"]).select(*names)
+    return rows_that_stay(df, stay, [F.col(id_col), F.unhex(F.sha2(normalised(F.col(text_col)), 256))], ["_id", "_digest"])
 
 
-def rows_that_stay(df: DataFrame, stay: DataFrame, keys: list[str], stay_keys: list[str]) -> DataFrame:
-    """Rows of df whose keys are in stay (nulls equal), each combination once.
+def rows_that_stay(df: DataFrame, stay: DataFrame, keys: list[Column], stay_keys: list[str]) -> DataFrame:
+    """Rows of df whose keys are in stay (nulls equal), each combination once, with df's columns, whatever their names.
 
     One digest of the keys serves both steps, so whole rows are shuffled once.
     """
-    digest = lambda names: F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)])), 256)
-    met = df.withColumn("_where", digest(keys)).join(stay.select(digest(stay_keys).alias("_where")), "_where", "left_semi")
-    return met.dropDuplicates(["_where"])
+    digest = lambda columns: F.sha2(F.to_json(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns)])), 256)
+    names = df.columns
+    own = df.select(digest(keys).alias("_where"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])  # private names
+    met = own.join(stay.select(digest([F.col(c) for c in stay_keys]).alias("_where")), "_where", "left_semi")
+    return met.dropDuplicates(["_where"]).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
