@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import bucket_counts, join_unique, mix, save, shingles, slices, word_hashes
+from sparkwarden.llm.common import bucket_counts, join_unique, mix, save, save_by_key, shingles, slices, word_hashes
 from sparkwarden.llm.exact_dedup import rows_that_stay
 from sparkwarden.llm.graph import components
 
@@ -152,7 +152,7 @@ def banded_lcs(a: list[int], b: list[int], spare: int) -> int:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """pairs: (a, b) of _words; texts: (_words, _text).  Adds similarity (0 below least)."""
+    """pairs: (a, b) of _words; texts: (_words, _text), in buckets of _words.  Adds similarity (0 below least)."""
     mine = texts.select(F.col("_words").alias("a"), F.col("_text").alias("_ta"))
     other = texts.select(F.col("_words").alias("b"), F.col("_text").alias("_tb"))
     other = pairs.groupBy("b").agg(F.count("*").alias("_n")).join(other, "b")  # the lesser text is often a leader
@@ -263,10 +263,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
     """One row of each class, with its columns."""
-    names = df.columns
     stay = _classes(df, id_col, text_col, least, levels).where("kept").select("_id", "_hash").distinct()
-    own = df.withColumns({"_own_id": F.col(id_col), "_own": F.xxhash64(F.col(text_col).cast("string"))})
-    return rows_that_stay(own, stay, ["_own_id", "_own"], ["_id", "_hash"]).select(*names)
+    return rows_that_stay(df, stay, [F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))], ["_id", "_hash"])
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, least: float, levels: tuple[tuple[int, int], ...]) -> DataFrame:
@@ -279,7 +277,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, least: float, levels: tu
     ends = pairs.select(F.explode(F.array("a", "b")).alias("_words")).distinct()
     wanted = ends.join(unique.select("_words", "_rep"), "_words").select("_words", F.col("_rep._id").alias("_i"), F.col("_rep._hash").alias("_h"))
     held = docs.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
-    texts = save(held.select("_words", "_text").dropDuplicates(["_words"]), "candidate-texts")
+    texts = save_by_key(held.select("_words", "_text").dropDuplicates(["_words"]), "candidate-texts", "_words")
     checked = save(verify(pairs, texts, least), "verified")
     found, met = [checked], checked
     for rows, bands in levels[1:]:
@@ -292,7 +290,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, least: float, levels: tu
     label = components(linked)
     # Exactly: what met where a pair failed at the last level, but for pairs that links have brought together already.
     rest = texts.join(_loose(met), "_words", "left_semi").join(label.withColumnRenamed("node", "_words"), "_words", "left")
-    rest = save(rest.select("_words", "_text", F.coalesce("label", "_words").alias("_label")), "loose-texts")
+    rest = save_by_key(rest.select("_words", "_text", F.coalesce("label", "_words").alias("_label")), "loose-texts", "_words")
     late = exact_links(rest, reduce(DataFrame.unionByName, found), least)
     links = linked.unionByName(late)
     # The classes so far are the nodes that the late links connect.
