@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +111,16 @@ def bucket_counts(df: DataFrame, arrays: Callable[[Iterable[pa.RecordBatch]], It
     return out.ravel()
 
 
+def pack(x: np.ndarray) -> bytes:
+    """An array as compressed bytes: first all first bytes of its numbers, then all second ones, and so on."""
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(size, -1).T).tobytes(), kind)
+
+
 # ---------------------------------------------------------------- text as arrays
 
 
