@@ -52,17 +52,23 @@ class _Units(dict):
     def ids(self, k: int) -> tuple[array, array, bool]:
         return *(f[e[k] : e[k + 1]] for f, e in zip(self.flat, self.ends, strict=True)), bool(self.good[k])
 
-    def __missing__(self, unit: bytes) -> int:
-        k = self.older.get(unit) if self.older is not None else None
-        *both, good = self.encode(unit) if k is None else self.older.ids(k)
-        for flat, ends, ids in zip(self.flat, self.ends, both, strict=True):
-            flat.extend(ids)
-            ends.append(len(flat))
-        self.good.append(good)
-        k = len(self.good) - 1
-        if len(unit) <= CACHE_BYTES:
-            self[unit] = k
-        return k
+    def learn(self, units: list[bytes]) -> None:
+        """Encode what is met first, all at once; what the older generation has moves here."""
+        new = list(set(units).difference(self))
+        known = [None if self.older is None else self.older.get(u) for u in new]
+        made = iter(self.encode([u for u, k in zip(new, known, strict=True) if k is None]))
+        for unit, k in zip(new, known, strict=True):
+            *both, good = next(made) if k is None else self.older.ids(k)
+            for flat, ends, ids in zip(self.flat, self.ends, both, strict=True):
+                flat.extend(ids)
+                ends.append(len(flat))
+            self[unit] = len(self.good)
+            self.good.append(good)
+
+    def forget(self, units: list[bytes]) -> None:
+        """Long units are kept for their slice only."""
+        for unit in {u for u in units if len(u) > CACHE_BYTES}:
+            del self[unit]
 
 
 class Pair:
@@ -107,11 +113,13 @@ class Pair:
         self.names, self.second_names = pa.array(names, pa.binary()), 2 * size
         self.units = _Units(self.encode)
 
-    def encode(self, unit: bytes) -> tuple[list[int], list[int], bool]:
-        """Ids of a text that begins with a space (the second tokenizer adds its own), and whether both give it back."""
-        text = unit.decode("utf-8", "replace")
-        a, b = self.first(text), self.second.encode(text[1:])
-        return a, b, all(b"".join(map(table.__getitem__, ids)) == unit for table, ids in zip(self.bytes, (a, b), strict=True))
+    def encode(self, units: list[bytes]) -> Iterator[tuple[list[int], list[int], bool]]:
+        """Ids of texts that begin with a space (the second tokenizer adds its own), and whether both give it back."""
+        texts = [u.decode("utf-8", "replace") for u in units]
+        one, two = map(self.first, texts), self.second.encode([t[1:] for t in texts], num_threads=1) if texts else []
+        bytes_a, bytes_b = (table.__getitem__ for table in self.bytes)
+        for unit, a, b in zip(units, one, two, strict=True):
+            yield a, b, b"".join(map(bytes_a, a)) == unit == b"".join(map(bytes_b, b))
 
     def unit_starts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where units begin: at the texts' begins, and at spaces after another character where the white space in front, if
@@ -189,7 +197,9 @@ class Aligned:
         starts = two.unit_starts(spaced, begins)
         raw = spaced.tobytes()
         cuts = [*starts.tolist(), len(raw)]
-        number = np.array(list(map(two.units.__getitem__, map(raw.__getitem__, map(slice, cuts, cuts[1:])))), np.int64)
+        units = list(map(raw.__getitem__, map(slice, cuts, cuts[1:])))
+        two.units.learn(units)
+        number = np.fromiter(map(two.units.__getitem__, units), np.int64, len(units))
         good = np.frombuffer(two.units.good, np.uint8)[number] if len(number) else number
         owner = np.searchsorted(begins, starts, "right") - 1
         bad = np.zeros(len(full), bool)
@@ -201,6 +211,7 @@ class Aligned:
             ids, n = _ragged(number, flat, ends)
             self.ids.append(ids)
             self.counts.append(np.bincount(owner, n, self.n).astype(np.int64))  # tokens of each text
+        two.units.forget(units)
         ends = [np.cumsum(length[ids]) for length, ids in zip(two.lengths, self.ids, strict=True)]
         self.last = group_ends(*ends)
         self.bytes = ends[0][self.last[0]]
