@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, merkle, near_dedup, quality, substring_dedup, token_alignment, token_files, url_filter
+from sparkwarden.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, language_model, merkle, near_dedup, quality, substring_dedup, token_alignment, token_files, url_filter
 from sparkwarden.llm.common import held_out, table
 
 #: Where each executor has the vocabularies; a parameter, since a cluster may keep them elsewhere.
@@ -66,6 +66,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest)
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), F.crc32(F.col("_id").cast("string")) % 7 != 2)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json", f"{VOCABULARIES}/piece_bpe_32k.model")
 
