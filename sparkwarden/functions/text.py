@@ -54,21 +54,28 @@ ABBREVIATIONS = {
 
 
 def legislation_title(c: Column) -> Column:
-    """Title case without a leading article, without the year at the end, with abbreviations spelled out."""
-    bare = F.trim(_chain(F.trim(c), (r"(?i)^the\s+(?=.)", ""), (r"\s*\([0-9]{4}\)\s*$", ""), (r",?\s+[0-9]{4}\s*$", "")))
-    words = F.split(F.lower(bare), " ")
+    """Title case, word by word, without a leading article and without the year at the end; abbreviations are spelled out.
+
+    A word that is looked up keeps the punctuation around it; small words stay small but at the beginning.
+    """
+    words = F.split(F.trim(F.lower(c)), r"\s+")
+    words = F.when((F.get(words, F.lit(0)) == "the") & (F.size(words) > 1), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+    dated = F.element_at(words, -1).rlike(r"^\(?[0-9]{4}\)?$") & (F.size(words) > 1)
+    words = F.when(dated, F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
+    known = {w: w for w in SMALL_WORDS} | {"etc": "etc."} | ABBREVIATIONS
+    spelled = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
 
     def cased(word: Column, i: Column) -> Column:
-        lead = F.regexp_extract(word, r"^([^\p{L}]*)", 1)
-        core = F.substr(word, F.length(lead) + 1)
-        capital = F.concat(lead, F.upper(F.substr(core, F.lit(1), F.lit(1))), F.substr(core, F.lit(2)))
-        return F.when((i > 0) & core.isin(SMALL_WORDS), word).otherwise(capital)
+        bare = F.regexp_extract(word, r"[\p{L}0-9][\p{L}0-9&'’-]*", 0)
+        lead = F.regexp_extract(word, r"^[^\p{L}0-9]*", 0)
+        end = F.substr(word, F.length(lead) + F.length(bare) + 1)
+        found = F.try_element_at(spelled, bare)
+        end = F.when(bare == "etc", F.regexp_replace(end, r"^\.", "")).otherwise(end)
+        capital = F.concat(F.upper(F.substr(bare, F.lit(1), F.lit(1))), F.substr(bare, F.lit(2)))
+        own = F.when((i == 0) & bare.isin(SMALL_WORDS), capital).otherwise(F.coalesce(found, capital))
+        return F.when(bare == "", word).otherwise(F.concat(lead, own, end))
 
-    out = F.array_join(F.transform(words, cased), " ")
-    out = F.replace(F.regexp_replace(out, r"\b[Ee]tc\b\.?", "etc."), F.lit("etc.."), F.lit("etc."))
-    for short, long in ABBREVIATIONS.items():
-        out = F.regexp_replace(out, rf"(?i)\b{short}\b", long)
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.rtrim(F.regexp_replace(F.array_join(F.transform(words, cased), " "), r"[\s,]+$", ""))
 
 
 def legislation_type(c: Column) -> Column:
@@ -96,28 +103,6 @@ def build_legislation_url(kind: Column, year: Column, number: Column) -> Column:
     return F.concat(F.lit("https://www.legislation.gov.uk/"), F.concat_ws("/", kind, year.cast("string"), number))
 
 
-def breach(c: Column) -> Column:
-    """What a breach text says: its reference, part, act with year, and fine; each null where it is not stated."""
-    t = F.trim(c)
-    act = F.trim(F.regexp_extract(t, r"(?i)(.+?(?:Act|Regulations|Order)\s+[0-9]{4})", 1))
-    after = F.trim(F.regexp_extract(t, r"(?i).+?(?:Act|Regulations|Order)\s+[0-9]{4},\s*(.+)", 1))
-    number = r"\s+([0-9]+(?:\([^)]+\))?(?:\s+and\s+[0-9]+(?:\([^)]+\))?)*)"
-    single = r"\s+([0-9]+(?:\([^)]+\))?)"
-    part = F.lit(None).cast("string")
-    for word, tail in (("Rule", single), ("Article", single), ("Regulation", number), ("Section", number)):
-        found = F.regexp_extract(t, f"(?i){word}{tail}", 1)
-        part = F.when(found != "", F.concat(F.lit(f"{word} "), found)).otherwise(part)
-    fine = F.regexp_extract(t, r"[Ff]ine:?\s*£([0-9,]+(?:\.[0-9]{2})?)", 1)
-    return F.struct(
-        t.alias("description"),
-        F.when(act != "", F.when(after != "", F.concat_ws(", ", act, after)).otherwise(act)).alias("reference"),
-        part.alias("part"),
-        F.nullif(act, F.lit("")).alias("act_name"),
-        F.regexp_extract(t, r"(?i)(?:Act|Regulations|Order)\s+([0-9]{4})", 1).try_cast("int").alias("act_year"),
-        F.regexp_replace(fine, ",", "").try_cast("decimal(18,2)").alias("fine"),
-    )
-
-
 def breaches(c: Column) -> Column:
     """The non-empty parts of a semicolon list, trimmed, in order."""
     return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")

@@ -79,8 +79,19 @@ def total_penalty(fine: Column, costs: Column) -> Column:
 
 
 def short_number(c: Column) -> Column:
-    """Thousands as K, millions as M, with one decimal."""
-    return F.when(c >= 1e6, F.concat(F.format_string("%.1f", c / 1e6), F.lit("M"))).when(c >= 1e3, F.concat(F.format_string("%.1f", c / 1e3), F.lit("K"))).otherwise(F.format_string("%.0f", c))
+    """Thousands as K, millions as M, with one decimal; below a thousand as it is, to the penny, without trailing zeros.
+
+    The quotient's exact binary value is rounded: 358,650 gives 358.6K, since its quotient lies below 358.65.  Halves, which
+    only quarters have exactly, go up.
+    """
+
+    def tenths(q: Column) -> Column:
+        half_up = F.when(q * 4 == F.floor(q * 4), F.floor(q * 10 + 0.5) / 10).otherwise(q)
+        return F.replace(F.format_number(half_up, 1), F.lit(","), F.lit(""))
+
+    x = c.cast("double")
+    small = F.regexp_replace(c.cast("decimal(18,2)").cast("string"), r"\.?0+$", "")
+    return F.when(x >= 1e6, F.concat(tenths(x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(tenths(x / 1e3), F.lit("K"))).otherwise(small)
 
 
 def risk(fines: Column, last_seen_days: Column, actions: Column, agencies: Column) -> Column:

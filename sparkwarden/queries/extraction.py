@@ -164,7 +164,8 @@ def x40_offence_references(s, d):
     return x.select("case_id", "sequence", "legislation_id", "part_no", F.concat("title", F.lit(" - Section "), "sequence").alias("reference"), F.coalesce("_p", F.lit("unknown")).alias("parent_type"), F.col("sequence").isNotNull().alias("has_sequence"))
 
 
-@query(""" SELECT id, CASE WHEN fine >= 1000000 THEN printf('%.1f', CAST(fine AS DOUBLE) / 1e6) || 'M' WHEN fine >= 1000 THEN printf('%.1f', CAST(fine AS DOUBLE) / 1e3) || 'K' ELSE printf('%.0f', CAST(fine AS DOUBLE)) END AS shown FROM cases""")
+@query(""", n AS (SELECT id, CAST(fine AS DOUBLE) AS fine, CAST(fine AS DOUBLE) / CASE WHEN fine >= 1000000 THEN 1e6 ELSE 1e3 END AS q FROM cases)
+SELECT id, CASE WHEN fine < 1000 THEN CAST(fine AS VARCHAR).regexp_replace('\\.0$', '') ELSE printf('%.1f', CASE WHEN q * 4 = floor(q * 4) THEN floor(q * 10 + 0.5) / 10 ELSE q END) || CASE WHEN fine >= 1000000 THEN 'M' ELSE 'K' END END AS shown FROM n""")
 def y16_number_format(s, d):
     return T.cases(s, d).select("id", values.short_number(T.as_double("fine")).alias("shown"))
 

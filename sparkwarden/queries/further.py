@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkwarden.functions import penalties as P
+from sparkwarden.functions import grammar as P
 from sparkwarden.functions import text, values
 from sparkwarden.operators import entities as E
 from sparkwarden.operators import filtering as Q

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkwarden.functions import text, values
+from sparkwarden.functions import grammar, text, values
 from sparkwarden.operators import entities as E
 from sparkwarden.plans import tables as T
 from sparkwarden.queries import query
@@ -45,8 +45,8 @@ def x09_legislation_urls(s, d):
 @query(r""" SELECT case_id, sequence, legislation_id, part_no, title || ' Act ' || year || ', Section ' || sequence || '(1)' AS reference, 'Section ' || sequence || '(1)' AS part, title || ' Act ' || year AS act_name, year AS act_year, CAST(5000.50 AS DOUBLE) AS fine FROM offences o JOIN legislation l ON o.legislation_id = l.id""")
 def x11_breaches(s, d):
     x = T.offences(s, d).join(T.legislation(s, d).select(F.col("id").alias("legislation_id"), "title", "year"), "legislation_id")
-    b = text.breach(F.concat("title", F.lit(" Act "), "year", F.lit(", Section "), "sequence", F.lit("(1)")))
-    paid = text.breach(F.lit("Fine: £5,000.50"))
+    b = grammar.breach(F.concat("title", F.lit(" Act "), "year", F.lit(", Section "), "sequence", F.lit("(1)")))
+    paid = grammar.breach(F.lit("Fine: £5,000.50"))
     return x.select("case_id", "sequence", "legislation_id", "part_no", b.alias("b"), paid.alias("p")).select("case_id", "sequence", "legislation_id", "part_no", "b.reference", "b.part", "b.act_name", "b.act_year", F.col("p.fine").cast("double").alias("fine"))
 
 
