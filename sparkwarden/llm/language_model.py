@@ -35,7 +35,7 @@ from sparkwarden.llm.common import byte_table, mix, pack, runs, save, slices, sp
 
 CONTEXT_BITS = 20
 #: Tokens in a part, and bytes of text in a chunk: what a task holds at once.
-PART_TOKENS, CHUNK_BYTES = 4_000_000, 24 << 20
+PART_TOKENS, CHUNK_BYTES = 2_000_000, 10 << 20
 EXACT, BURN, SAMPLES = 64, 2, 3
 THETA, THETA_ROOT = 1.0, 1.0
 #: A word of so large a share of a chunk is counted for the deal; from half a part's tokens on it has parts of its own.
