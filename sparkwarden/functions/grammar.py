@@ -27,11 +27,16 @@ LAWS = ["act", "regulation", "regulations", "order"]
 _LINKS, _FILLERS, _LEADING, _STOPS = ["of", "was", "totalling", ":"], ["in", "of", "victim", "prosecution", "towards"], ["to", "of", "the", "and", ","], ["contrary", "under", "breach", "breached", ";", ":", "."]
 
 
+def _let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with value worked out once however often make uses it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 class _Text:
     """Tokens of a text, and these in lower case; places count from 0 and are null outside."""
 
-    def __init__(self, tokens: Column):
-        self.tokens, self.low = tokens, F.transform(tokens, lambda t: F.lower(t))
+    def __init__(self, tokens: Column, low: Column):
+        self.tokens, self.low = tokens, low
 
     def at(self, i: Column | int) -> Column:
         return F.get(self.tokens, i if isinstance(i, Column) else F.lit(i))
@@ -57,8 +62,8 @@ class _Text:
 
 def _with_tokens(c: Column, make: Callable[[_Text], Column]) -> Column:
     """make() on the tokens of c, which are cut once; null stays null."""
-    made = F.transform(F.array(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0))), lambda t: F.when(t.isNotNull(), make(_Text(t))))
-    return F.get(made, F.lit(0))
+    cut = lambda t: _let(F.transform(t, lambda x: F.lower(x)), lambda low: F.when(t.isNotNull(), make(_Text(t, low))))
+    return _let(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)), cut)
 
 
 def _first(x: Column) -> Column:
@@ -128,8 +133,10 @@ def _amounts(t: _Text) -> Column:
         one, two, three = (t.word(i + k) for k in (1, 2, 3))
         return F.coalesce(_label(one), F.when(one.isin(_FILLERS), F.coalesce(_label(two), F.when(two.isin(_FILLERS), _label(three)))))
 
+    words = [w for x in LABELS.values() for w in x]
+
     def since(i: Column) -> Column:
-        seen = F.filter(F.slice(t.low, F.lit(1), i), lambda w: _label(w).isNotNull() | w.startswith("£"))
+        seen = F.filter(F.slice(t.low, F.lit(1), i), lambda w: w.isin(words) | w.startswith("£"))
         return _label(F.try_element_at(seen, F.lit(-1)))
 
     def label(i: Column) -> Column:
@@ -143,30 +150,38 @@ def components(c: Column) -> Column:
     """(fine, costs, surcharge, custodial, community_hours, total) of a case text; total adds up what there is."""
 
     def make(t: _Text) -> Column:
-        found = _amounts(t)
-        of = {name: _first(_where(found, "label", name))["amount"] for name in LABELS}
         weeks = ["week", "weeks", "month", "months"]
         # A number, its unit, and in the words behind it custody or a suspension.
         end = lambda i: F.when(_near(t, i, CUSTODY + ["suspended"], [2]), i + 2).when((t.word(i + 2) == "in") & _near(t, i, CUSTODY, [3]), i + 3)
-        terms = _measures(t, weeks, lambda i: end(i).isNotNull())
-        served = F.coalesce(_first(F.filter(terms, lambda i: t.word(end(i)) != "suspended")), _first(terms))
+        terms = F.transform(_measures(t, weeks, lambda i: end(i).isNotNull()), lambda i: F.struct(i.alias("at"), end(i).alias("end")))
+        served = _let(terms, lambda x: F.coalesce(_first(F.filter(x, lambda y: t.word(y["end"]) != "suspended")), _first(x)))
         hours = _measures(t, ["hour", "hours"], lambda i: _near(t, i, UNPAID, [2, 3]))
-        return F.struct(*[x.alias(n) for n, x in of.items()], t.span(served, end(served)).alias("custodial"), t.at(_first(hours)).try_cast("int").alias("community_hours"))
 
-    parts = _with_tokens(c, make)
-    money = [F.coalesce(parts[n], F.lit(0).cast(MONEY)) for n in LABELS]
-    total = F.when(F.coalesce(*[parts[n] for n in LABELS]).isNotNull(), (money[0] + money[1] + money[2]).cast(MONEY))
-    return F.struct(*[parts[n].alias(n) for n in [*LABELS, "custodial", "community_hours"]], total.alias("total"))
+        def sums(found: Column) -> Column:
+            money = {name: _first(_where(found, "label", name))["amount"] for name in LABELS}
+            custodial = _let(served, lambda x: t.span(x["at"], x["end"]))
+            return F.struct(*[x.alias(n) for n, x in money.items()], custodial.alias("custodial"), t.at(_first(hours)).try_cast("int").alias("community_hours"))
+
+        return _let(_amounts(t), sums)
+
+    def total(parts: Column) -> Column:
+        money = [F.coalesce(parts[n], F.lit(0).cast(MONEY)) for n in LABELS]
+        every = F.when(F.coalesce(*[parts[n] for n in LABELS]).isNotNull(), (money[0] + money[1] + money[2]).cast(MONEY))
+        return F.struct(*[parts[n].alias(n) for n in [*LABELS, "custodial", "community_hours"]], every.alias("total"))
+
+    return _let(_with_tokens(c, make), total)
 
 
 def court(c: Column) -> Column:
     """The court's name: the capitalised words before `Crown Court` or `Magistrates Court`, with these; null without one."""
 
     def make(t: _Text) -> Column:
-        seat = _first(t.places(lambda i: (t.word(i + 1) == "court") & F.rtrim(F.translate(t.word(i), "'’", "")).isin("crown", "magistrates")))
-        plain = t.places(lambda i: (i < seat) & (~t.at(i).rlike(r"^\p{Lu}") | t.word(i).isin("at", "the", "in")))
-        start = F.coalesce(F.try_element_at(plain, F.lit(-1)) + 1, F.lit(0))
-        return F.when(start < seat, t.span(start, seat + 1))
+        def named(seat: Column) -> Column:
+            plain = t.places(lambda i: (i < seat) & (~t.at(i).rlike(r"^\p{Lu}") | t.word(i).isin("at", "the", "in")))
+            start = F.coalesce(F.try_element_at(plain, F.lit(-1)) + 1, F.lit(0))
+            return _let(start, lambda k: F.when(k < seat, t.span(k, seat + 1)))
+
+        return _let(_first(t.places(lambda i: (t.word(i + 1) == "court") & F.translate(t.word(i), "'’", "").isin("crown", "magistrates"))), named)
 
     return _with_tokens(c, make)
 
@@ -175,13 +190,22 @@ def defendant(c: Column) -> Column:
     """(name, age, place) from `Name, 45, of Place`; the age may be missing, and then all is null without ` of `."""
 
     def make(t: _Text) -> Column:
-        comma = _first(t.places(lambda i: t.at(i) == ","))
-        number = F.when(t.word(comma + 1) == "aged", comma + 2).otherwise(comma + 1)
-        age = F.when(t.at(number).rlike("^[0-9]{1,3}$") & (t.at(number + 1) == ","), t.at(number).try_cast("int"))
-        of = F.when(age.isNotNull(), number + 2).otherwise(comma + 1)
-        stop = F.coalesce(_first(t.places(lambda i: (i > of) & t.at(i).isin(",", "."))), F.size(t.tokens))
-        fits = (comma > 0) & (t.word(of) == "of") & (stop > of + 1)
-        return F.struct(F.when(fits, t.span(F.lit(0), comma - 1)).alias("name"), F.when(fits, age).alias("age"), F.when(fits, t.span(of + 1, stop - 1)).alias("place"))
+        def parts(comma: Column) -> Column:
+            number = F.when(t.word(comma + 1) == "aged", comma + 2).otherwise(comma + 1)
+            aged = t.at(number).rlike("^[0-9]{1,3}$") & (t.at(number + 1) == ",")
+
+            def rest(of: Column) -> Column:
+                stop = F.coalesce(_first(t.places(lambda i: (i > of) & t.at(i).isin(",", "."))), F.size(t.tokens))
+
+                def made(end: Column) -> Column:
+                    fits = (comma > 0) & (t.word(of) == "of") & (end > of + 1)
+                    return F.struct(F.when(fits, t.span(F.lit(0), comma - 1)).alias("name"), F.when(fits & aged, t.at(number).try_cast("int")).alias("age"), F.when(fits, t.span(of + 1, end - 1)).alias("place"))
+
+                return _let(stop, made)
+
+            return _let(F.when(aged, number + 2).otherwise(comma + 1), rest)
+
+        return _let(_first(t.places(lambda i: t.at(i) == ",")), parts)
 
     return _with_tokens(c, make)
 
@@ -209,40 +233,49 @@ def _provisions(t: _Text) -> Column:
             number, joins = w.rlike("^[0-9]") & s["joined"], (F.lower(w) == "and") & ~s["joined"]
             return F.struct((s["on"] & (number | joins)).alias("on"), (s["on"] & joins).alias("joined"), F.when(s["on"] & number, F.concat(s["numbers"], F.array(w))).otherwise(s["numbers"]).alias("numbers"))
 
-        more = F.aggregate(rest, zero, step)["numbers"]
-        numbers = F.concat(F.array(t.at(i + 1)), more)
-        return F.struct(i.alias("at"), (i + 1 + 2 * F.size(more)).alias("last"), kind.alias("kind"), F.concat(kind, F.lit(" "), F.array_join(numbers, " and ")).alias("text"))
+        def made(more: Column) -> Column:
+            numbers = F.concat(F.array(t.at(i + 1)), more)
+            return F.struct(i.alias("at"), (i + 1 + 2 * F.size(more)).alias("last"), kind.alias("kind"), F.concat(kind, F.lit(" "), F.array_join(numbers, " and ")).alias("text"))
+
+        return _let(F.aggregate(rest, zero, step, lambda s: s["numbers"]), made)
 
     return F.transform(start, one)
 
 
-def _laws(t: _Text) -> Column:
-    """(first, at, text, year) of each law: the words since the last citation, law or stop, without those that lead to a name."""
-    ends = _law_ends(t)
-    cited = F.transform(_provisions(t), lambda p: p["last"])
-    stops = t.places(lambda i: t.word(i).isin(_STOPS))
+def _laws(t: _Text, provisions: Column) -> Column:
+    """(at, text, year) of each law: the words since the last citation, law or stop, without those that lead to a name."""
+
+    def of(ends: Column) -> Column:
+        stops = F.concat(F.array(F.lit(-1)), ends, F.transform(provisions, lambda p: p["last"]), t.places(lambda i: t.word(i).isin(_STOPS)))
 
-    def one(end: Column) -> Column:
-        before = F.filter(F.concat(F.array(F.lit(-1)), ends, cited, stops), lambda k: k < end - 1)
-        named = F.sequence(F.array_max(before) + 1, end - 1)
-        first = F.coalesce(_first(F.filter(named, lambda k: ~t.word(k).isin(_LEADING))), end - 1)
-        return F.struct(first.alias("first"), end.alias("at"), t.span(first, end).alias("text"), t.at(end).try_cast("int").alias("year"))
+        def every(stops: Column) -> Column:
+            def one(end: Column) -> Column:
+                named = F.sequence(F.array_max(F.filter(stops, lambda k: k < end - 1)) + 1, end - 1)
+                first = F.coalesce(_first(F.filter(named, lambda k: ~t.word(k).isin(_LEADING))), end - 1)
+                return F.struct(end.alias("at"), t.span(first, end).alias("text"), t.at(end).try_cast("int").alias("year"))
 
-    return F.transform(ends, one)
+            return F.transform(ends, one)
+
+        return _let(stops, every)
+
+    return _let(_law_ends(t), of)
 
 
 def citations(c: Column) -> Column:
     """Array of (section, law): provisions with the law that follows them, or else the last one before; each once, in order."""
 
     def make(t: _Text) -> Column:
-        laws = _laws(t)
+        def paired(provisions: Column) -> Column:
+            def with_laws(laws: Column) -> Column:
+                def one(p: Column) -> Column:
+                    after, before = F.filter(laws, lambda x: x["at"] > p["at"]), F.filter(laws, lambda x: x["at"] < p["at"])
+                    return F.struct(p["text"].alias("section"), F.coalesce(_first(after), F.try_element_at(before, F.lit(-1)))["text"].alias("law"))
+
+                return F.array_distinct(F.filter(F.transform(provisions, one), lambda x: x["law"].isNotNull()))
 
-        def one(p: Column) -> Column:
-            after, before = F.filter(laws, lambda x: x["at"] > p["at"]), F.filter(laws, lambda x: x["at"] < p["at"])
-            law = F.coalesce(_first(after), F.try_element_at(before, F.lit(-1)))
-            return F.struct(p["text"].alias("section"), law["text"].alias("law"))
+            return _let(_laws(t, provisions), with_laws)
 
-        return F.array_distinct(F.filter(F.transform(_provisions(t), one), lambda x: x["law"].isNotNull()))
+        return _let(_provisions(t), paired)
 
     return F.coalesce(_with_tokens(c, make), F.array().cast("array<struct<section: string, law: string>>"))
 
@@ -252,21 +285,30 @@ def breach(c: Column) -> Column:
 
     The part is the first provision of the kind that comes first in PROVISIONS.
     """
-    t = F.trim(c)
 
     def make(x: _Text) -> Column:
-        law, parts = _first(_laws(x)), _provisions(x)
-        part = F.coalesce(*[_first(_where(parts, "kind", k))["text"] for k in PROVISIONS])
-        rest = F.when(x.at(law["at"] + 1) == ",", F.nullif(x.span(law["at"] + 2, F.size(x.tokens) - 1), F.lit("")))
-        paid = _first(_where(_amounts(x), "label", "fine"))["amount"]
-        return F.struct(F.concat_ws(", ", law["text"], rest).alias("reference"), part.alias("part"), law["text"].alias("act_name"), law["year"].alias("act_year"), paid.alias("fine"))
+        def found(parts: Column) -> Column:
+            part = F.coalesce(*[_first(_where(parts, "kind", k))["text"] for k in PROVISIONS])
+            paid = _first(_where(_amounts(x), "label", "fine"))["amount"]
 
-    p = _with_tokens(t, make)
-    return F.struct(t.alias("description"), F.nullif(p["reference"], F.lit("")).alias("reference"), *[p[n].alias(n) for n in ("part", "act_name", "act_year", "fine")])
+            def made(law: Column) -> Column:
+                rest = F.when(x.at(law["at"] + 1) == ",", F.nullif(x.span(law["at"] + 2, F.size(x.tokens) - 1), F.lit("")))
+                reference = F.when(law.isNotNull(), F.concat_ws(", ", law["text"], rest))
+                return F.struct(reference.alias("reference"), part.alias("part"), law["text"].alias("act_name"), law["year"].alias("act_year"), paid.alias("fine"))
+
+            return _let(_first(_laws(x, parts)), made)
+
+        return _let(_provisions(x), found)
+
+    names = ["reference", "part", "act_name", "act_year", "fine"]
+    return _let(_with_tokens(c, make), lambda p: F.struct(F.trim(c).alias("description"), *[p[n].alias(n) for n in names]))
 
 
 def describe(parts: Column) -> Column:
     """One line of what components() found; null where it found nothing."""
-    pounds = lambda name, label: F.concat(F.lit(f"{label}: £"), F.format_number(parts[name], 2))
-    line = F.concat_ws("; ", pounds("fine", "Fine"), pounds("costs", "Costs"), pounds("surcharge", "Victim surcharge"), F.concat(F.lit("Custodial: "), parts["custodial"]), F.concat(F.lit("Unpaid work: "), parts["community_hours"].cast("string"), F.lit(" hours")))
-    return F.nullif(line, F.lit(""))
+
+    def line(p: Column) -> Column:
+        pounds = lambda name, label: F.concat(F.lit(f"{label}: £"), F.format_number(p[name], 2))
+        return F.concat_ws("; ", pounds("fine", "Fine"), pounds("costs", "Costs"), pounds("surcharge", "Victim surcharge"), F.concat(F.lit("Custodial: "), p["custodial"]), F.concat(F.lit("Unpaid work: "), p["community_hours"].cast("string"), F.lit(" hours")))
+
+    return _let(parts, lambda p: F.nullif(line(p), F.lit("")))

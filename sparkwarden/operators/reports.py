@@ -50,13 +50,22 @@ def breakdown(fact: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
 def metric_cube(fact: DataFrame, age: Column, key: str, periods: dict[str, int]) -> DataFrame:
     """Period x (all, each key): one scan, one shuffle.  Each row falls into every period that holds it; grouping sets add
     the row over all keys, told apart by is_total and not by a null key."""
+    case = F.col("record_type") == "case"
+    return _cube(fact, age, key, periods, count_if(case).alias("cases"), count_if(~case).alias("notices"), total("fine").cast("double").alias("fines"), total("costs").cast("double").alias("costs"))
+
+
+def merged_cube(partials: DataFrame, age: Column, key: str, periods: dict[str, int]) -> DataFrame:
+    """The same cube from partial sums (cases, notices, fines, costs) of one offender each."""
+    money = [total(c).cast("double").alias(c) for c in ("fines", "costs")]
+    return _cube(partials, age, key, periods, *[F.sum(c).alias(c) for c in ("cases", "notices")], *money)
+
+
+def _cube(rows: DataFrame, age: Column, key: str, periods: dict[str, int], *sums: Column) -> DataFrame:
     names = F.array(*[F.struct(F.lit(n).alias("period"), F.lit(d).alias("days")) for n, d in periods.items()])
-    in_period = fact.withColumn("_age", age).where(F.col("_age") <= max(periods.values()))
+    in_period = rows.withColumn("_age", age).where(F.col("_age") <= max(periods.values()))
     spread = in_period.withColumn("_p", F.explode(F.filter(names, lambda p: F.col("_age") <= p["days"]))).withColumn("period", F.col("_p.period"))
-    case = F.col("record_type") == "case"
-    return spread.groupingSets([[F.col("period")], [F.col("period"), F.col(key)]], F.col("period"), F.col(key)).agg(
-        (F.grouping(key) == 1).alias("is_total"), count_if(case).alias("cases"), count_if(~case).alias("notices"), total("fine").cast("double").alias("fines"), total("costs").cast("double").alias("costs"), F.count_distinct("offender_id").alias("offenders")
-    )
+    groups = spread.groupingSets([[F.col("period")], [F.col("period"), F.col(key)]], F.col("period"), F.col(key))
+    return groups.agg((F.grouping(key) == 1).alias("is_total"), *sums, F.count_distinct("offender_id").alias("offenders"))
 
 
 def by_group(df: DataFrame, group: Column, value: Column, unknown: str = "Unknown") -> DataFrame:

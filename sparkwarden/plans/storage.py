@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sparkwarden"
+    """A new path below spark.checkpoint.dir; where that is unset, a local folder if Spark runs on one machine, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = "/tmp/checkpoints/sparkwarden"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

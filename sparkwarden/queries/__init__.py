@@ -33,5 +33,5 @@ def query(sql: str | None = None, roles: bool = True) -> Callable[[Query], Query
     return put
 
 
-for _part in ("reports", "filtering", "shaping", "matching", "documents", "extraction", "coverage", "further"):
+for _part in ("reports", "filtering", "shaping", "matching", "documents", "extraction", "coverage", "further", "stateful"):
     importlib.import_module(f"{__name__}.{_part}")
