@@ -1,11 +1,11 @@
-"""Text similarity: trigrams and token sets inside the JVM, Jaro in Arrow batches after blocking."""
+"""Text similarity: trigrams and token sets inside the JVM, Jaro over arrays of pairs (see spelling)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from sparkwarden.functions.spelling import jaro as jaro
 
 
 def trigrams(c: Column) -> Column:
@@ -29,32 +29,6 @@ def token_similarity(a: Column, b: Column) -> Column:
     return jaccard(F.array_distinct(F.split(F.lower(F.trim(a)), r"\s+")), F.array_distinct(F.split(F.lower(F.trim(b)), r"\s+")))
 
 
-def _jaro(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken, common = [False] * len(b), []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == x:
-                taken[j] = True
-                common.append(x)
-                break
-    m = len(common)
-    if not m:
-        return 0.0
-    half = sum(x != y for x, y in zip(common, (y for y, t in zip(b, taken, strict=True) if t), strict=True)) // 2
-    return (m / len(a) + m / len(b) + (m - half) / m) / 3
-
-
-@F.pandas_udf(T.DoubleType())
-def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro similarity; null where a side is null."""
-    return pd.Series([None if x is None or y is None else _jaro(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def name_similarity(a: Column, b: Column) -> Column:
     """Token overlap, or 0.9 where the spelling is close, whichever is more."""
     tokens = token_similarity(a, b)

@@ -1,7 +1,7 @@
 """Entity resolution: duplicates, upserts, tiered matching and merging.
 
-Every tier is an equi-join on a key whose right side has one row for each key; fuzzy tiers compare within blocks, after
-distinct texts, and after a length test that no pair within the threshold fails.
+Every tier is an equi-join on a key whose right side has one row for each key; fuzzy tiers compare distinct
+texts that meet under rare trigrams or characters, which no pair within the threshold lacks.
 """
 
 from __future__ import annotations
@@ -11,22 +11,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.functions import similarity, text, values
+from sparkwarden.functions import similarity, spelling, text, values
 
 
-def duplicate_groups(df: DataFrame, keys: dict[str, Column], member: Column, least: int = 2) -> DataFrame:
-    """Groups of members that share all keys; rows with a null or blank key are in none."""
-    named = df.select(*[c.alias(k) for k, c in keys.items()], member.alias("_m"))
+def duplicate_members(df: DataFrame, keys: dict[str, Column], member: Column, least: int = 2) -> DataFrame:
+    """(keys, n, member): the rows of groups that share all keys; rows with a null or blank key are in none.
+
+    Groups are counted map-side and joined back, so no group, however large, is gathered anywhere.
+    """
+    named = df.select(*[c.alias(k) for k, c in keys.items()], member.alias("member"))
     for k in keys:
         named = named.where(F.trim(F.col(k).cast("string")) != "")
-    return named.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("_m")).alias("members")).where(F.col("n") >= least)
+    counts = named.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return named.join(counts, list(keys)).select(*keys, "n", "member")
 
 
-def largest_groups(groups: DataFrame, group: str, members: str) -> DataFrame:
-    """Overlapping groups resolved: each member keeps its largest group (of equals the least id); groups nobody keeps go."""
-    each = groups.select(group, F.size(members).alias("_n"), F.explode(members).alias("_m"))
-    best = each.groupBy("_m").agg(F.min_by(group, F.struct(-F.col("_n"), F.col(group))).alias(group))
-    return groups.join(best.select(group).distinct(), group, "left_semi")
+def largest_groups(members: DataFrame, group: str) -> DataFrame:
+    """members: (group, n, member).  Overlapping groups resolved: each member keeps its largest group (of equals the least
+    id); the rows of groups that nobody keeps go."""
+    best = members.groupBy("member").agg(F.min_by(group, F.struct(-F.col("n"), F.col(group))).alias(group))
+    return members.join(best.select(group).distinct(), group, "left_semi")
 
 
 def reconcile(old: DataFrame, new: DataFrame, key: str, compare: list[str]) -> DataFrame:
@@ -47,18 +51,57 @@ def insert_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.join(old.select(key), key, "left_anti")
 
 
+def similar_spellings(a: DataFrame, b: DataFrame, block: str, name: str, least: float) -> DataFrame:
+    """(block, name, other): the pairs of distinct names of a and b in one block whose characters allow a Jaro similarity of
+    least (above 2/3) or more.
+
+    Of n characters, told apart by occurrence, such a name shares (3 least - 2) n at least with the other.  With all
+    characters in one order, the rarest first, both then have two of their first few in common, so names meet under pairs of
+    those and not all with all; names so short that one common character may do meet under single ones too.  What meets is
+    tested by lengths, by 64 bits of the characters, and by the characters themselves: no pair above the threshold is lost.
+    """
+    share = 3 * least - 2
+    if share <= 0.01:
+        raise ValueError("least must be above 2/3")
+    names = [x.select(block, F.col(name).alias("_t")).where(F.col(block).isNotNull() & (F.length(name) > 0)).distinct() for x in (a, b)]
+    sides = [x.select(block, "_t", F.length("_t").alias("_n"), F.explode(spelling.characters(F.col("_t"))).alias("_x")) for x in names]
+    counts = sides[0].unionByName(sides[1]).groupBy("_x").agg(F.count("*").alias("_c"))
+
+    def index(side: DataFrame, end: str) -> DataFrame:
+        ordered = side.join(counts, "_x").groupBy(block, "_t", "_n").agg(F.sort_array(F.collect_list(F.struct("_c", "_x"))).alias("_o"), F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(_x), 64) as int)))").alias("_bits"))
+        need = F.greatest(F.ceil(F.col("_n") * share - 1e-9), F.lit(1)).cast("int")
+        first = F.transform(F.slice("_o", F.lit(1), F.greatest(F.col("_n") - need + 2, F.lit(1))), lambda s: s["_x"])
+        made = ordered.withColumn("_f", first)
+        pairs = F.flatten(F.transform("_f", lambda p, i: F.transform(F.slice("_f", i + 2, F.size("_f")), lambda q: F.concat(F.least(p, q), F.lit("\u0000"), F.greatest(p, q)))))
+        keys = F.when(need < 2, F.concat(pairs, F.col("_f"))).otherwise(pairs)
+        return made.select(block, F.explode(keys).alias("_key"), F.col("_t").alias(f"_t{end}"), F.col("_n").alias(f"_n{end}"), F.col("_bits").alias(f"_bits{end}"))
+
+    met = index(sides[0], "1").join(index(sides[1], "2"), [block, "_key"])
+    need = spelling.common_needed(F.col("_n1"), F.col("_n2"), least)
+    apart = F.bit_count(F.col("_bits1").bitwiseXOR(F.col("_bits2")))  # each bit stands for one character at least that is not common
+    near = met.where((need <= F.least("_n1", "_n2")) & (apart <= F.col("_n1") + F.col("_n2") - 2 * need)).select(block, "_t1", "_t2", need.alias("_need")).distinct()
+    common = F.size(F.array_intersect(spelling.characters(F.col("_t1")), spelling.characters(F.col("_t2"))))
+    return near.where(common >= F.col("_need")).select(block, F.col("_t1").alias(name), F.col("_t2").alias("other"))
+
+
 def fuzzy_best(left: DataFrame, right: DataFrame, block: str, name: str, least: float, id_: str = "id") -> DataFrame:
     """For each (block, name) of left, the most similar name of right in its block: (block, name, best_id, score).
 
-    Distinct names only; of equal scores the least id.  Jaro is at most 2/3 + (short / long) / 3 with all of the shorter
-    in common, so the length test drops nothing that could reach the threshold.
+    Distinct names only; of equal scores the least id.  Only pairs with enough characters in common are compared.
     """
-    a = left.select(block, name).where(F.col(block).isNotNull() & F.col(name).isNotNull()).distinct()
-    b = right.where(F.col(name).isNotNull()).groupBy(block, F.col(name).alias("_other")).agg(F.min(id_).alias("_id"))
-    short, long = F.least(F.length(name), F.length("_other")), F.greatest(F.length(name), F.length("_other"))
-    pairs = a.join(b, block).where(2 / 3 + short / long / 3 >= least - 1e-9)
-    scored = pairs.withColumn("score", similarity.jaro(F.col(name), F.col("_other"))).where(F.col("score") >= least)
-    return scored.groupBy(block, name).agg(F.max_by(F.struct("_id", "score"), F.struct("score", -F.col("_id"))).alias("_b")).select(block, name, F.col("_b._id").alias("best_id"), F.col("_b.score").alias("score"))
+    ids = right.where(F.col(name).isNotNull()).groupBy(block, F.col(name).alias("other")).agg(F.min(id_).alias("_id"))
+    scored = similar_spellings(left, right, block, name, least).withColumn("score", similarity.jaro(F.col(name), F.col("other"))).where(F.col("score") >= least)
+    return scored.join(ids, [block, "other"]).groupBy(block, name).agg(F.max_by(F.struct("_id", "score"), F.struct("score", -F.col("_id"))).alias("_b")).select(block, name, F.col("_b._id").alias("best_id"), F.col("_b.score").alias("score"))
+
+
+def spelled_like(names: DataFrame, name: str, wanted: str, least: float) -> DataFrame:
+    """The distinct names whose Jaro similarity to wanted is least or more, with score; only those with enough characters in
+    common are compared."""
+    letters = F.lit(wanted)
+    need = spelling.common_needed(F.length(name), F.length(letters), least)
+    common = F.size(F.array_intersect(spelling.characters(F.col(name)), spelling.characters(letters)))
+    may = names.select(name).distinct().where((F.col(name) == letters) | (need <= F.least(F.length(name), F.length(letters))) & (common >= need))
+    return may.withColumn("score", similarity.jaro(F.col(name), letters)).where(F.col("score") >= least)
 
 
 def similar_texts(a: DataFrame, b: DataFrame, name: str, least: float) -> DataFrame:

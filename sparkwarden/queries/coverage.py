@@ -178,10 +178,10 @@ def y05_period_labels(s, d):
     return T.cases(s, d).groupBy(values.period_label(c, "day").alias("day"), values.period_label(c, "year").alias("year")).agg(F.count("*").alias("n"))
 
 
-@query(""" SELECT balance::DOUBLE AS balance, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM (SELECT *, CAST(balance AS BIGINT) AS b FROM offenders) GROUP BY balance HAVING count(*) > 1""")
+@query(""" SELECT balance::DOUBLE AS balance, count(*) OVER w AS n, id AS member FROM offenders WINDOW w AS (PARTITION BY balance) QUALIFY count(*) OVER w > 1""")
 def d04_same_number(s, d):
-    g = E.duplicate_groups(T.offenders(s, d), {"balance": F.col("balance")}, F.col("id"))
-    return g.select(T.as_double("balance").alias("balance"), "n", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    g = E.duplicate_members(T.offenders(s, d), {"balance": F.col("balance")}, F.col("id"))
+    return g.select(T.as_double("balance").alias("balance"), "n", "member")
 
 
 @query(""" SELECT (SELECT count(*) FROM offences WHERE fine >= 0 AND sequence >= 1 AND fine <= 90000) AS valid, (SELECT count(*) FROM offences WHERE NOT (fine >= 0 AND sequence >= 1 AND fine <= 90000)) AS quarantined""")

@@ -12,31 +12,26 @@ from sparkwarden.queries import query
 from sparkwarden.queries.filtering import TRGM
 
 
-@query(""" SELECT case_id, sequence, count(*) AS n, string_agg(CAST(legislation_id AS VARCHAR), ',' ORDER BY legislation_id) AS members FROM offences GROUP BY 1, 2 HAVING count(*) > 1""")
+@query(""" SELECT case_id, sequence, count(*) OVER w AS n, legislation_id AS member FROM offences WINDOW w AS (PARTITION BY case_id, sequence) QUALIFY count(*) OVER w > 1""")
 def d01_duplicate_cases(s, d):
     # a27, groups with more than one row, is this operator.
-    g = E.duplicate_groups(T.offences(s, d), {"case_id": F.col("case_id"), "sequence": F.col("sequence")}, F.col("legislation_id"))
-    return g.select("case_id", "sequence", "n", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
-
-
-D02 = """, g AS (SELECT 'a' || offender_id AS grp, list(id ORDER BY id) AS m FROM notices GROUP BY offender_id, action_date HAVING count(*) > 1 AND offender_id IS NOT NULL"""
+    return E.duplicate_members(T.offences(s, d), {"case_id": F.col("case_id"), "sequence": F.col("sequence")}, F.col("legislation_id"))
 
 
 @query(""", a AS (SELECT 'a-' || offender_id || '-' || strftime(action_date, '%Y-%m-%d') AS grp, id FROM notices), b AS (SELECT 'b-' || offender_id || '-' || action_type AS grp, id FROM notices),
 x AS (SELECT grp, id, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b)), y AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, grp) AS r FROM x WHERE n > 1)
-SELECT DISTINCT grp, n FROM y WHERE r = 1""")
+SELECT grp, n, id AS member FROM x WHERE grp IN (SELECT grp FROM y WHERE r = 1)""")
 def d02_overlapping_groups(s, d):
     # u09, the resolution of overlaps, is its second half.
     n = T.notices(s, d)
-    a = E.duplicate_groups(n, {"k": F.concat(F.lit("a-"), "offender_id", F.lit("-"), T.day("action_date"))}, F.col("id"))
-    b = E.duplicate_groups(n, {"k": F.concat(F.lit("b-"), "offender_id", F.lit("-"), "action_type")}, F.col("id"))
-    return E.largest_groups(a.unionByName(b), "k", "members").select(F.col("k").alias("grp"), "n")
+    a = E.duplicate_members(n, {"grp": F.concat(F.lit("a-"), "offender_id", F.lit("-"), T.day("action_date"))}, F.col("id"))
+    b = E.duplicate_members(n, {"grp": F.concat(F.lit("b-"), "offender_id", F.lit("-"), "action_type")}, F.col("id"))
+    return E.largest_groups(a.unionByName(b), "grp")
 
 
-@query(""" SELECT lower(trim(title)) AS name, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM legislation GROUP BY 1 HAVING count(*) > 1""")
+@query(""" SELECT lower(trim(title)) AS name, count(*) OVER w AS n, id AS member FROM legislation WINDOW w AS (PARTITION BY lower(trim(title))) QUALIFY count(*) OVER w > 1""")
 def d03_duplicate_names(s, d):
-    g = E.duplicate_groups(T.legislation(s, d), {"name": F.lower(F.trim("title"))}, F.col("id"))
-    return g.select("name", "n", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return E.duplicate_members(T.legislation(s, d), {"name": F.lower(F.trim("title"))}, F.col("id"))
 
 
 D05 = """, old AS (SELECT id, result, action_type FROM cases WHERE id % 3 <> 0), new AS (SELECT id, CASE WHEN id % 5 = 0 THEN result || '*' ELSE ' ' || result END AS result, action_type FROM cases),
@@ -132,13 +127,13 @@ def d08_offender_by_number(s, d):
     return E.match_by_number(*_offenders(s, d)).select("ref", F.coalesce("offender_id", F.lit(-1)).alias("offender_id"), "tier")
 
 
-@query(OFFENDERS + f""", {_similar('i', 'k')}, w AS (SELECT DISTINCT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y, jaro_similarity(a, b) AS j FROM g WHERE s >= 0.75),
+@query(OFFENDERS + f""", {_similar('i', 'k')}, w AS (SELECT DISTINCT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y, jaro_similarity(a, b) AS j FROM g WHERE s >= 0.5),
 v AS (SELECT a, b, CASE WHEN j > 0.85 THEN greatest(t, 0.9) ELSE t END AS s FROM (SELECT a, b, j, len(list_intersect(list_distinct(x), y)) / len(list_distinct(list_concat(x, y))) AS t FROM w)),
 c AS (SELECT i.ref, k.id, i.p IS NOT DISTINCT FROM k.p AS same, CASE WHEN same AND v.s > 0.6 THEN least(v.s + 0.15, 1.0) ELSE v.s END AS score FROM i JOIN v ON i.n = v.a JOIN k ON v.b = k.n WHERE i.p IS NULL OR k.p IS NULL OR i.p = k.p),
 best AS (SELECT ref, arg_max(id, (score, same, -id)) AS id, max(score) AS score FROM c WHERE score > 0.7 GROUP BY 1)
 SELECT i.ref, coalesce(best.id, -1) AS offender_id, round(coalesce(best.score, 0), 6) AS score FROM i LEFT JOIN best ON i.ref = best.ref""")
 def d06_best_candidate(s, d):
-    found = E.best_candidate(*_offenders(s, d), search=0.75)
+    found = E.best_candidate(*_offenders(s, d))
     return found.select("ref", F.coalesce("offender_id", F.lit(-1)).alias("offender_id"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
@@ -183,8 +178,7 @@ def d12_drop_incomplete(s, d):
 
 @query(""", t AS (SELECT DISTINCT title FROM legislation), x AS (SELECT title, jaro_similarity('small ring', title) AS s FROM t) SELECT title, round(s, 6) AS score FROM x WHERE s >= 0.7""")
 def d15_fuzzy_search(s, d):
-    t = T.legislation(s, d).select("title").distinct().withColumn("score", similarity.jaro(F.lit("small ring"), F.col("title")))
-    return t.where("score >= 0.7").select("title", F.round("score", 6).alias("score"))
+    return E.spelled_like(T.legislation(s, d), "title", "small ring", 0.7).select("title", F.round("score", 6).alias("score"))
 
 
 @query(f""", i AS (SELECT title AS n FROM legislation), {_similar('i', 'i')} SELECT a, b, round(s, 6) AS similarity FROM g WHERE a < b AND s >= 0.5""")
