@@ -139,8 +139,8 @@ def test_pairs_against_brute_force():
 
         a, b = (_hashed([word() for _ in range(rng.randint(0, 30))] + [x for _ in range(rng.randint(1, 2)) for x in [*copy(), *(word() for _ in range(rng.randint(0, 20)))]]) for _ in range(2))
         got = passages_of(a, b, passage)
-        for x, y, p, q, s in got:
-            assert y - x >= passage and q - p >= passage and s >= 0.8 - 1e-9 and y <= len(a) + 4 and q <= len(b) + 4
+        for x, y, p, q, s, n in got:
+            assert n >= 1 and y - x >= passage and q - p >= passage and s >= 0.8 - 1e-9 and y <= len(a) + 4 and q <= len(b) + 4
         assert all(g[0] < h[0] and g[1] < h[1] for g, h in zip(got, got[1:]))
         spare = passage - 4 - run_width(passage, 0.8)[1]  # a passage ends with words in common, a window need not
         want = _good_windows(a, b, passage - 4)
@@ -153,14 +153,30 @@ def test_one_row_for_a_passage_and_for_text_in_circles():
     rng = np.random.default_rng(2)
     one, two = rng.integers(0, 1 << 62, 400), rng.integers(0, 1 << 62, 300)
     a, b = np.concatenate([two[:100], one]), np.concatenate([one, two[200:]])
-    assert passages_of(_hashed(a), _hashed(b)) == [(100, 500, 0, 400, 1.0)]
-    assert passages_of(_hashed([1] * 500), _hashed([1] * 60 + list(range(9, 80)))) == [(0, 500, 0, 60, 1.0)]
+    assert passages_of(_hashed(a), _hashed(b)) == [(100, 500, 0, 400, 1.0, 1)]
+    (x, y, p, q, s, parts), = passages_of(_hashed([1] * 500), _hashed([1] * 60 + list(range(9, 80))))
+    assert (x, y, p, q, s) == (0, 500, 0, 60, 1.0) and parts > 5
     assert passages_of(_hashed([1] * 500), _hashed([1] * 40 + list(range(9, 80)))) == []
     b[200] = 5  # one word changed
-    (x, y, p, q, s), = passages_of(_hashed(a), _hashed(b))
+    (x, y, p, q, s, _), = passages_of(_hashed(a), _hashed(b))
     assert (x, y, p, q) == (100, 500, 0, 400) and s == 391 / 401
 
 
+def test_every_place_of_a_passage_is_aligned():
+    """A passage stands in the other text several times, in different wording: the middle ones are looked at too."""
+    rng = np.random.default_rng(6)
+    new = lambda n: rng.integers(0, 1 << 62, n).tolist()
+    run, head, tail = new(25), new(40), new(40)
+    a = new(30) + head + run + tail + new(30)
+    places = [new(40) + run + new(40), head + run + new(40), new(40) + run + new(40), new(40) + run + tail, new(60) + run + new(20)]
+    b = [w for p in places for w in [*new(17), *p]]
+    got = passages_of(_hashed(a), _hashed(b))
+    covered = {k for x, y, *_ in got for k in range(x, y)}
+    assert set(range(30, 30 + 105)) <= covered
+    starts = np.cumsum([0] + [17 + len(p) for p in places])
+    assert {int(np.searchsorted(starts, p, "right")) - 1 for *_, p, _, _, _ in got} == {1, 3}
+
+
 def test_rows_against_brute_force(spark):
     """Texts with lines that many share, copies in one text, near copies and circles: every window of 50 words that another
     text resembles lies in a reported passage."""
