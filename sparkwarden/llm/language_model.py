@@ -35,8 +35,10 @@ from sparkwarden.llm.common import byte_table, mix, pack, runs, save, slices, sp
 
 CONTEXT_BITS = 20
 #: Tokens in a part, and bytes of text in a chunk: what a task holds at once.
-PART_TOKENS, CHUNK_BYTES = 2_000_000, 10 << 20
+PART_TOKENS, CHUNK_BYTES = 2_000_000, 8 << 20
 EXACT, BURN, SAMPLES = 64, 2, 3
+#: Sums of logarithms travel as whole numbers of these steps, which take fewer bytes.
+STEP, STEP_BASE = 1e-7, 1e-9
 THETA, THETA_ROOT = 1.0, 1.0
 #: A word of so large a share of a chunk is counted for the deal; from half a part's tokens on it has parts of its own.
 OFTEN = 1 << 14
@@ -301,7 +303,7 @@ def sweeps(part: Part, world: World, burn: int, samples: int) -> Iterator[tuple[
     p = world.base(tokens_of if hot is None else np.full(1, float(hot[0])))
     tables, at_root, kinds = np.minimum(c, 1), np.minimum(tokens_of, 1).astype(np.int64), np.zeros(len(seen), np.int64)
     for k in range(burn + samples):
-        tables = seat(c, np.maximum(world.tables[0][rest] - tables, 0), p[of], world.d, THETA, rng, log_s)
+        tables = seat(c, np.maximum(world.tables[0][rest].astype(np.int64) - tables, 0), p[of], world.d, THETA, rng, log_s)
         customers = np.bincount(of, tables, len(part.words)).astype(np.int64)
         at_root = seat(customers, np.maximum(world.root[0][1] - at_root, 0), np.full(len(customers), 1 / (world.vocabulary + 1)), world.d_root, THETA_ROOT, rng, log_root)
         if hot is None and world.root[0][0]:
@@ -361,7 +363,12 @@ def _whole(told: dict, values: int) -> np.ndarray:
     for block, (keys, sums) in told.items():
         if block < _BLOCKS:
             out[:, keys.astype(np.int64)] = sums
-    return out
+    return _narrow(out)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """As 32-bit numbers where they fit; every worker holds a copy."""
+    return x.astype(np.int32) if x.size == 0 or x.max() < 1 << 31 else x
 
 
 def _scalars(told: dict, n: int, values: int) -> np.ndarray:
@@ -417,6 +424,7 @@ def _sampled(parts: DataFrame, shared: int, known: World, burn: int, samples: in
             yield _SCALARS, np.arange(4, dtype=np.uint64), np.array([[n.sum(), s.sum(), (n == 1).sum(), (n == 2).sum()] for _, n, s in drawn])
 
     told = _told(parts, samples, sweep)
+    told_all.destroy()
     world = copy.copy(known)
     world.tables, totals, found = _whole(told, samples), _scalars(told, 4, samples), _shared(told)
     if not known.root[0].any():
@@ -469,7 +477,8 @@ def score(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
                     doc, n_times = np.cumsum(unpack(docs_, np.uint32), dtype=np.uint32), unpack(times, np.uint32)
                     there = np.unique(doc)
                     columns = [np.bincount(doc, n_times * x[at])[there] for x in logs]
-                    raw = [pack(np.diff(there, prepend=np.uint32(0))), pack(columns[0]), pack(columns[1]), pack(columns[2].astype(np.uint32))]
+                    whole = [np.rint(columns[0] / STEP).astype(np.int64), np.rint(columns[1] / STEP_BASE).astype(np.int64), columns[2].astype(np.uint32)]
+                    raw = [pack(np.diff(there, prepend=np.uint32(0))), pack(-whole[0]), pack(-whole[1]), pack(whole[2])]
                     yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in raw)], names=names[:5])
 
     binary = ", ".join(f"{c} binary" for c in names[1:5])
@@ -487,15 +496,15 @@ def score(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
                     late.append([b.column(at(c))[i].as_py() for c in names[1:5]])
                 else:
                     fact = [b.column(at(c))[i].values for c in names[5:]]
-                    totals = np.zeros((3, len(fact[0])))
+                    totals = np.zeros((3, len(fact[0])), np.int64)
             if totals is not None:
                 for raw in late:
                     doc = np.cumsum(unpack(raw[0], np.uint32), dtype=np.uint32)
-                    for total, x in zip(totals, (unpack(raw[1], np.float64), unpack(raw[2], np.float64), unpack(raw[3], np.uint32)), strict=True):
+                    for total, x in zip(totals, (unpack(raw[1], np.int64), unpack(raw[2], np.int64), unpack(raw[3], np.uint32)), strict=True):
                         total[doc] += x
                 late = []
-        n_tokens = fact[2].to_numpy()
-        out = [fact[0], fact[1], fact[2], pa.array(totals[2].astype(np.int64)), pa.array(np.full(len(n_tokens), train, np.int64)), pa.array(totals[1]), pa.array(totals[0]), pa.array(10 ** np.minimum(-totals[0] / n_tokens, 300))]
+        n_tokens, found, plain = fact[2].to_numpy(), totals[0] * -STEP, totals[1] * -STEP_BASE
+        out = [fact[0], fact[1], fact[2], pa.array(totals[2]), pa.array(np.full(len(n_tokens), train, np.int64)), pa.array(plain), pa.array(found), pa.array(10 ** np.minimum(-found / n_tokens, 300))]
         yield pa.RecordBatch.from_arrays(out, names=["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     id_kind = docs.schema["_id"].dataType.simpleString()
