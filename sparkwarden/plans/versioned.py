@@ -54,9 +54,12 @@ class VersionedTable:
         paths = [f"{self.path}/data/{folder}/{self.partition}={k}" for k, folder in sorted(found.items())]
         return self.spark.read.schema(f"{self.schema}, {self.partition} int").option("basePath", f"{self.path}/data").parquet(*paths).select(*[c.split()[0] for c in self.schema.split(", ")], self.partition)
 
-    def replace(self, rows: DataFrame, partitions: list[int]) -> int:
-        """Publish a version in which these partitions hold rows, all others what they held.  Returns its number."""
-        base, folder = self.version(), f"w={uuid.uuid4().hex}"
+    def replace(self, rows: DataFrame, partitions: list[int], base: int | None = None) -> int:
+        """Publish a version in which these partitions hold rows, all others what they held.  Returns its number.
+
+        base: the version that rows were made from, if they depend on one; a newer one then is a conflict.
+        """
+        base, folder = self.version() if base is None else base, f"w={uuid.uuid4().hex}"
         held = self.folders(base)
         rows.repartition(self.partition).write.partitionBy(self.partition).parquet(f"{self.path}/data/{folder}")
         written = {r[0] for r in self.spark.read.schema(f"{self.schema}, {self.partition} int").parquet(f"{self.path}/data/{folder}").select(self.partition).distinct().collect()}

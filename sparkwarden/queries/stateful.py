@@ -1,4 +1,4 @@
-"""Operators that keep state between runs (metric store, two-phase sync, buffered feed), nested markup and page traversal."""
+"""Operators that keep state between runs (metric store, syncs, log, registry), nested markup, page traversal, data sources."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from sparkwarden.operators import traversal
 from sparkwarden.operators.metric_store import MetricStore
+from sparkwarden.operators.registry import Registry
 from sparkwarden.plans import tables as T
 from sparkwarden.plans.storage import shared_path
 from sparkwarden.queries import query
+from sparkwarden.queries.matching import OFFENDERS, _offenders
 from sparkwarden.queries.reports import PERIODS
-from sparkwarden.sources import markup
+from sparkwarden.sources import markup, paged, reports
 from sparkwarden.streaming import feed
+from sparkwarden.streaming.log import EventLog
 
 
 def _facts(s, d):
@@ -117,3 +120,56 @@ def sc08_related_cases(s, d):
     twins = c.select(F.col("id").alias("page"), F.col("id").bitwiseXOR(F.lit(1)).alias("to")).join(c.select(F.col("id").alias("to")), "to", "left_semi").select("page", "to")
     found = traversal.reachable(before.unionByName(twins), c.where("fine > 300000").select(F.col("id").alias("page")), 3)
     return found.join(c.select(F.col("id").alias("page"), "result"), "page").select(F.col("page").alias("id"), "steps", "result")
+
+
+@query(""", l AS (SELECT p.pct, e.user_id, e.event_id AS version, e.value, e.event_type, row_number() OVER (PARTITION BY p.pct, e.user_id ORDER BY e.event_id DESC) AS r FROM events e JOIN (VALUES (20), (55), (100)) p(pct) ON e.event_id <= (SELECT max(event_id) FROM events) * p.pct // 100)
+SELECT pct, user_id, version, value FROM l WHERE r = 1 AND event_type <> 'error'""")
+def st06_as_of(s, d):
+    m = _messages(T.load(s, d, "events")).withColumnRenamed("seq", "version")
+    last = m.agg(F.max("version")).first()[0]
+    log = EventLog(s, shared_path(s, "event-log"), "user_id bigint, value double", "user_id", max(1, last // 10))
+    for low, high in ((0, 4), (4, 7), (6, 10)):  # batches; one part of the log arrives twice
+        log.append(m.where((F.col("version") >= last * low // 10) & (F.col("version") <= last * high // 10)))
+        log.snapshot(last * high // 10 - 1)
+    states = [log.as_of(last * p // 100).select(F.lit(p).alias("pct"), "user_id", "version", "value") for p in (20, 55, 100)]
+    return states[0].unionByName(states[1]).unionByName(states[2])
+
+
+@query(OFFENDERS + """, t AS (SELECT DISTINCT n, p FROM i) SELECT ref, n AS key, p AS postcode, 1 AS n_rows, (SELECT count(*) FROM t) AS registered FROM i""")
+def d06_find_or_create(s, d):
+    # Two batches with many offenders in common: while the first is worked on, the second is published.
+    incoming, _ = _offenders(s, d)
+    registry = Registry(s, shared_path(s, "registry"))
+    second = []
+
+    def other():
+        if not second:
+            second.append(registry.find_or_create(incoming.where("ref % 2 = 1"), similar=False))
+
+    first = registry.find_or_create(incoming.where("ref % 2 = 0"), similar=False, before_publish=other)
+    rows = registry.rows()
+    each = rows.groupBy("key", F.coalesce("postcode", F.lit("")).alias("_p")).agg(F.count("*").alias("n_rows"), F.min("id").alias("offender_id"))
+    total = rows.agg(F.count("*").alias("registered"))
+    found = first.unionByName(second[0]).join(rows.select(F.col("id").alias("offender_id"), "postcode"), "offender_id").join(each.drop("_p"), "offender_id")
+    return found.join(F.broadcast(total)).select("ref", "key", "postcode", F.col("n_rows").cast("int").alias("n_rows"), "registered")
+
+
+@query(""", x AS (SELECT 'Industry Analysis' AS section, '"' || industry || '",' || count(*) || ',' || CAST(sum(balance) AS DECIMAL(18,2)) AS line FROM offenders GROUP BY industry
+UNION ALL SELECT 'Top Offenders', '"' || name || '",' || balance || ',"' || industry || '"' FROM offenders WHERE balance > 5000 UNION ALL SELECT 'Summary Statistics', 'Offenders,' || count(*) FROM offenders) SELECT section, line FROM x""")
+def sk03_sectioned_report(s, d):
+    o = T.offenders(s, d)
+    industry = o.groupBy("industry").agg(F.count("*").alias("n"), F.sum("balance").cast(T.MONEY).alias("total")).withColumn("line", F.concat_ws(",", reports.quoted(F.col("industry")), "n", "total"))
+    top = o.where("balance > 5000").withColumns({"_last": -F.col("balance"), "line": F.concat_ws(",", reports.quoted(F.col("name")), F.col("balance").cast("string"), reports.quoted(F.col("industry")))})
+    summary = o.agg(F.concat(F.lit("Offenders,"), F.count("*")).alias("line"))
+    sections = [("Industry Analysis", "Industry,Offenders,Balance", industry, ["industry"]), ("Top Offenders", "Name,Balance,Industry", top, ["_last", "id"]), ("Summary Statistics", "What,Value", summary, ["line"])]
+    path = shared_path(s, "report") + ".csv"
+    reports.write_report(s, sections, path, "Offender report")
+    return reports.read_sections(s, path)
+
+
+@query(""" SELECT CAST(id AS VARCHAR) AS uprn, name AS premises, industry AS status FROM offenders WHERE industry IN ('BUILDING', 'MACHINERY') AND name LIKE '%1'""")
+def sc14_paged_source(s, d):
+    path, names = shared_path(s, "endpoint"), ["uprn", "premises", "status"]
+    o = T.offenders(s, d).select(F.col("id").alias("uprn"), F.col("name").alias("premises"), F.col("industry").alias("status"))
+    paged.write_pages(o, path, F.pmod(F.xxhash64("status"), F.lit(1000)) * 100000 + F.floor(F.col("uprn") / 50), names, ["status"])
+    return paged.read_pages(s, path, names).where(F.col("status").isin("BUILDING", "MACHINERY") & F.col("premises").endswith("1"))

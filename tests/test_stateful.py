@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from sparkwarden.operators import traversal
 from sparkwarden.operators.metric_store import MetricStore
+from sparkwarden.operators.registry import Registry, numbered_densely
 from sparkwarden.plans.versioned import Conflict, VersionedTable, retried
-from sparkwarden.sources import markup
+from sparkwarden.sources import markup, paged, reports
 from sparkwarden.streaming import feed
+from sparkwarden.streaming.log import EventLog
 
 
 def test_versions(spark, tmp_path):
@@ -32,7 +34,7 @@ def test_versions(spark, tmp_path):
         tries.append(1)
         if len(tries) < 3:
             raise Conflict
-        return t.replace(rows().limit(0) if False else spark.createDataFrame([], "x int, part int"), [1])
+        return t.replace(spark.createDataFrame([], "x int, part int"), [1])
 
     assert retried(attempt) == 3 and sorted(map(tuple, t.read().collect())) == [(3, 2)]
 
@@ -157,3 +159,70 @@ def test_traversal(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(50)], "page long, to long")
     got = traversal.families(chain.unionByName(df.where("page > 4").selectExpr("page + 100 as page", "to + 100 as to")), spark.createDataFrame([(25,), (106,), (999,)], "page long")).collect()
     assert sorted(map(tuple, got)) == [(25, i) for i in range(51)] + [(106, 105), (106, 106), (999, 999)]
+
+
+def test_log_as_of(spark, tmp_path):
+    rows = [(r[0], r[2], r[1], r[3]) for r in messages(300)]
+    df = spark.createDataFrame(rows, "id long, value double, version long, operation string")
+    log = EventLog(spark, f"{tmp_path}/log", "id bigint, value double", "id", segment=50)
+    assert log.as_of(10).count() == 0
+    for low, high in ((0, 120), (100, 200), (200, 300)):  # one stretch is appended twice
+        log.append(df.where(f"version >= {low} and version < {high}"))
+    for v in (149, 249, 149):
+        log.snapshot(v)
+    assert log.snapshots() == [149, 249]
+    for v in (0, 60, 148, 149, 150, 260, 299, 1000):
+        want = newest([(i, version, value, op) for i, value, version, op in rows if version <= v])
+        assert sorted((r.id, r.version, r.value) for r in log.as_of(v).collect()) == want
+    # What is read is the snapshot and the segments behind it.
+    plan = log.as_of(260)._jdf.queryExecution().executedPlan().toString()
+    pruned = [x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:]]
+    assert len(pruned) == 2 and any("segment#" in x and ">= 5" in x and "<= 5" in x for x in pruned)
+    assert {r[0] for r in log.tail(249, 260).select(F.expr("version div 50")).distinct().collect()} == {5}
+
+
+def test_registry(spark, tmp_path):
+    schema = "ref string, name string, postcode string"
+    one = spark.createDataFrame([("a", "Acme Ltd", "AB1"), ("b", "ACME LIMITED", " ab1 "), ("c", "Acme Ltd", None), ("d", " ", "X"), ("e", None, None), ("f", "Beta", "B1")], schema)
+    two = spark.createDataFrame([("g", "acme ltd.", "AB1"), ("h", "Gamma", None), ("i", "Beta", "B1"), ("j", "Acme Ltdd", "AB1")], schema)
+    r = Registry(spark, f"{tmp_path}/r")
+    inner = []
+    first = r.find_or_create(one, similar=False, before_publish=lambda: inner or inner.append(r.find_or_create(two, similar=False)))
+    ids = {x.ref: (x.offender_id, x.created) for x in [*first.collect(), *inner[0].collect()]}
+    rows = r.rows().collect()
+    assert len({(x.key, x.postcode) for x in rows}) == len(rows) == 5 == len({x.id for x in rows})
+    assert ids["a"][0] == ids["b"][0] == ids["g"][0] != ids["c"][0] and ids["f"][0] == ids["i"][0]
+    assert ids["d"] == ids["e"] == (None, False) and not ids["a"][1] and ids["g"][1] and ids["c"][1]
+    again = r.find_or_create(one)
+    assert {x.ref: x.offender_id for x in again.collect()} == {k: v[0] for k, v in ids.items() if k in "abcdef"} and r.rows().count() == 5
+    near = r.find_or_create(spark.createDataFrame([("k", "Gamma Ltd", None), ("l", "Betaa", "B1")], schema))
+    assert {x.ref: (x.offender_id, x.created) for x in near.collect()}["l"] == (ids["f"][0], False)
+    dense = numbered_densely(spark.range(100).withColumn("k", F.col("id") * 7 % 100).drop("id"), ["k"], 5)
+    assert sorted((x.k, x.id) for x in dense.collect()) == [(k, k + 5) for k in range(100)]
+
+
+def test_sectioned_report(spark, tmp_path):
+    rows = spark.range(500).select("id", F.format_string("line %03d", 499 - F.col("id")).alias("line"))
+    path = f"{tmp_path}/report.csv"
+    reports.write_report(spark, [("One", "h1", rows, ["line"]), ("Two", "h2", rows.limit(0), ["line"]), ("Three", "h3", rows.where("id > 497").withColumn("line", reports.quoted(F.lit('a "b"'))), ["id"])], path, "T")
+    want = ["# T", "", "## One", "h1", *[f"line {k:03d}" for k in range(500)], "", "## Two", "h2", "", "## Three", "h3", '"a ""b"""', '"a ""b"""']
+    assert open(path).read().splitlines() == want
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["report.csv"]
+    assert spark.createDataFrame([], "x int").count() == 0 and {r.section: r.n for r in reports.read_sections(spark, path).groupBy("section").agg(F.count("*").alias("n")).collect()} == {"One": 500, "Three": 2}
+    bad = rows.withColumn("line", F.when(F.col("id") == 250, F.raise_error(F.lit("broken"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="broken"):
+        reports.write_report(spark, [("One", "h1", bad.repartition(4), ["id"])], f"{tmp_path}/bad.csv", "T")
+    assert not (tmp_path / "bad.csv").exists()
+
+
+def test_paged_source(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"n{i}", "ab"[i // 50] if i % 7 else None) for i in range(100)], "id int, name string, kind string")
+    columns, path = ["id", "name", "kind"], str(tmp_path / "pages")
+    paged.write_pages(rows, path, F.col("id") / 10, columns, ["kind"])
+    every = paged.read_pages(spark, path, columns)
+    assert every.count() == 100 and every.rdd.getNumPartitions() == 10
+    some = every.where("kind = 'a' and name like '%3'")
+    assert sorted(r.id for r in some.collect()) == sorted(str(i) for i in range(50) if i % 7 and i % 10 == 3)
+    assert some.rdd.getNumPartitions() == 5
+    assert every.where("kind in ('b', 'z')").where("kind = 'z'").count() == 0
+    assert sorted(r.id for r in every.where("kind is null").collect()) == sorted(str(i) for i in range(0, 100, 7))
