@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkwarden.operators import traversal
+from sparkwarden.operators import mentions, traversal
 from sparkwarden.operators.metric_store import MetricStore
 from sparkwarden.operators.registry import Registry
 from sparkwarden.plans import tables as T
@@ -173,3 +173,18 @@ def sc14_paged_source(s, d):
     o = T.offenders(s, d).select(F.col("id").alias("uprn"), F.col("name").alias("premises"), F.col("industry").alias("status"))
     paged.write_pages(o, path, F.pmod(F.xxhash64("status"), F.lit(1000)) * 100000 + F.floor(F.col("uprn") / 50), names, ["status"])
     return paged.read_pages(s, path, names).where(F.col("status").isin("BUILDING", "MACHINERY") & F.col("premises").endswith("1"))
+
+
+@query(r""", b AS (SELECT cases.id AS case_id, 'Breach of the ' || upper(l.title) || ' Act; and, as said, of ' || l.title || ' and ' || m.title || ' regulations by ' || result AS t FROM cases JOIN legislation l ON l.id = cases.id % 1000 % (SELECT max(id) FROM legislation) + 1 JOIN legislation m ON m.id = cases.id % 7 + 1),
+k AS (SELECT min(id) AS id, regexp_extract_all(lower(title), '[\p{L}\p{N}]+') AS w FROM legislation GROUP BY 2), w AS (SELECT case_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM b), n AS (SELECT DISTINCT len(w) AS m FROM k),
+p AS (SELECT case_id, i - 1 AS a, i - 1 + m AS e, list_slice(w, i, i + m - 1) AS s FROM w, n, unnest(range(1, len(w) - m + 2)) AS r(i)),
+f AS (SELECT p.case_id, p.a, p.e, k.id FROM p JOIN k ON p.s = k.w), x AS (SELECT *, max(e) OVER (PARTITION BY case_id ORDER BY a, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM f)
+SELECT case_id, a AS first_word, e AS end_word, id AS legislation_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY a) AS INT) AS place FROM x WHERE far IS NULL OR e > far""")
+def x47_breach_mentions(s, d):
+    # x46 gives each mention its offence row; what matches no title is dropped, and places are kept.
+    laws = T.legislation(s, d)
+    n = laws.agg(F.max("id")).scalar()
+    l, m = (laws.select(F.col("id").alias(f"_{x}"), F.col("title").alias(f"title_{x}")) for x in "lm")
+    c = T.cases(s, d).withColumns({"_l": F.col("id") % 1000 % n + 1, "_m": F.col("id") % 7 + 1}).join(l, "_l").join(m, "_m")
+    t = F.concat(F.lit("Breach of the "), F.upper("title_l"), F.lit(" Act; and, as said, of "), "title_l", F.lit(" and "), "title_m", F.lit(" regulations by "), "result")
+    return mentions.mentions(c.select(F.col("id").alias("case_id"), t.alias("t")), laws.select(F.col("id").alias("legislation_id"), "title"), "t", "title", "case_id", "legislation_id")
