@@ -207,22 +207,43 @@ def best_candidate(incoming: DataFrame, known: DataFrame, search: float = 0.5) -
     """The best known candidate of each incoming row (ref, name, postcode), or null: candidates are found by trigrams, scored
     by name_similarity; two different postcodes exclude, equal ones add 0.15 above 0.6 (1 at most); above 0.7 the highest
     score wins, then an equal postcode, then the least id.
+
+    Rows of one name and postcode are judged once, and of a known name only three rows can win: the least id of the same
+    postcode, of none, and (for those who have none) of any.  So the work does not grow with how often a name is there.
     """
     norm = lambda df: df.withColumn("_n", text.company_name(F.col("name"))).withColumn("_p", F.upper(F.trim("postcode")))
-    a, b = norm(incoming), norm(known)
-    scored = similar_texts(a, b, "_n", search).withColumn("_s", similarity.name_similarity(F.col("_n"), F.col("other"))).where("_s > 0.55").select("_n", "other", "_s")
-    met = a.select("ref", "_n", "_p").join(scored, "_n").join(b.select("id", F.col("_n").alias("other"), F.col("_p").alias("_q")), "other")
-    match = F.col("_p").eqNullSafe(F.col("_q"))
-    met = met.where("_p is null or _q is null or _p = _q").withColumn("_match", match)
-    met = met.withColumn("score", F.when(F.col("_match") & (F.col("_s") > 0.6), F.least(F.col("_s") + 0.15, F.lit(1.0))).otherwise(F.col("_s"))).where("score > 0.7")
-    best = met.groupBy("ref").agg(F.max_by(F.struct("id", "score", "_match"), F.struct("score", "_match", -F.col("id"))).alias("_b"))
+    # Names are normalised once for each spelling.
+    a = norm(incoming.select("name", "postcode").distinct())
+    b = norm(known.groupBy("name", "postcode").agg(F.min("id").alias("id")))
+    held = b.where("_n is not null").groupBy(F.col("_n").alias("other"), F.col("_p").alias("_q")).agg(F.min("id").alias("_id"))
+    named = held.groupBy("other").agg(F.min(F.when(F.col("_q").isNull(), F.col("_id"))).alias("_without"), F.min(F.when(F.col("_q").isNotNull(), F.col("_id"))).alias("_with"))
+    asked = a.where("_n is not null").select("_n", "_p").distinct()
+    scored = similar_texts(asked, named.withColumnRenamed("other", "_n"), "_n", search).withColumn("_s", similarity.name_similarity(F.col("_n"), F.col("other"))).where("_s > 0.55").select("_n", "other", "_s")
+    met = asked.join(scored, "_n").join(named, "other").alias("m").join(held.alias("h"), (F.col("m.other") == F.col("h.other")) & F.col("_p").eqNullSafe(F.col("_q")), "left")
+    same, else_ = F.struct(F.col("_id").alias("id"), F.lit(True).alias("_match")), F.struct(F.when(F.col("_p").isNull(), F.col("_with")).otherwise(F.col("_without")).alias("id"), F.lit(False).alias("_match"))
+    each = met.select("_n", "_p", "_s", F.explode(F.array(same, else_)).alias("_c")).select("_n", "_p", "_s", "_c.id", "_c._match").where("id is not null")
+    each = each.withColumn("score", F.when(F.col("_match") & (F.col("_s") > 0.6), F.least(F.col("_s") + 0.15, F.lit(1.0))).otherwise(F.col("_s"))).where("score > 0.7")
+    highest = lambda df, *key: df.groupBy(*key).agg(F.max_by(F.struct("id", "score", "_match"), F.struct("score", "_match", -F.col("id"))).alias("_b"))
+    found = highest(each, "_n", "_p").alias("f")
+    spelled = a.alias("a").join(found, (F.col("a._n") == F.col("f._n")) & F.col("a._p").eqNullSafe(F.col("f._p"))).select("a.name", "a.postcode", "_b").alias("s")
+    own = incoming.alias("i").join(spelled, (F.col("i.name") == F.col("s.name")) & F.col("i.postcode").eqNullSafe(F.col("s.postcode")))
+    best = highest(own.select("i.ref", "_b.*"), "ref")  # a ref that comes with several names has the best of them
     return incoming.join(best, "ref", "left").select("ref", F.col("_b.id").alias("offender_id"), F.col("_b.score").alias("score"))
 
 
-def register_decision(candidates: DataFrame, key: str, name: Column, candidate: Column, compatible: Column, sure: float = 0.90) -> DataFrame:
-    """By number of active candidates: none, auto (one, similar and compatible), review (up to three), skip (more)."""
-    scored = candidates.withColumn("_s", similarity.jaro(name, candidate)).withColumn("_ok", compatible)
-    g = scored.groupBy(key).agg(F.count("candidate_id").alias("n"), F.max("_s").alias("score"), F.max("_ok").alias("_ok"))
+def register_decision(incoming: DataFrame, register: DataFrame, on: list[str], key: str, name: str, candidate: str, compatible: Column, sure: float = 0.90) -> DataFrame:
+    """By number of active candidates, the register's rows that agree in `on`: none, auto (one, similar and compatible),
+    review (up to three), skip (more).  compatible may use name, candidate and the columns of `on`.
+
+    Names and candidates that stand under one `on` again and again meet once, with how many rows they are; a pair of
+    spellings is compared once in all.
+    """
+    held = register.groupBy(*on, candidate).agg(F.count("*").alias("_c"))
+    met = incoming.select(*on, name).distinct().join(held, on)
+    pairs = met.select(name, candidate).where(F.col(name).isNotNull() & F.col(candidate).isNotNull()).distinct().withColumn("_s", similarity.jaro(F.col(name), F.col(candidate)))
+    scored = met.join(pairs, [name, candidate], "left").groupBy(*on, name).agg(F.sum("_c").alias("_n"), F.max("_s").alias("_s"), F.max(compatible).alias("_ok")).alias("s")
+    own = incoming.alias("i").join(scored, [F.col(f"i.{c}") == F.col(f"s.{c}") for c in on] + [F.col(f"i.{name}").eqNullSafe(F.col(f"s.{name}"))], "left")
+    g = own.groupBy(F.col(f"i.{key}").alias(key)).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.max("_s").alias("score"), F.max("_ok").alias("_ok"))
     decision = F.when(F.col("n") == 0, "none").when((F.col("n") == 1) & (F.col("score") >= sure) & F.col("_ok"), "auto").when(F.col("n") <= 3, "review").otherwise("skip")
     return g.select(key, "n", F.round("score", 6).alias("score"), decision.alias("decision"))
 

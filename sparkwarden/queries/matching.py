@@ -144,7 +144,7 @@ def d10_register_decision(s, d):
     l = T.legislation(s, d)
     a = l.select(F.col("id").alias("ref"), F.concat("title", F.lit("s")).alias("name"), "year", "number", "type")
     b = l.select(F.col("id").alias("candidate_id"), F.col("title").alias("candidate"), "year", "number", "type")
-    return E.register_decision(a.join(b, ["year", "number", "type"], "left"), "ref", F.col("name"), F.col("candidate"), F.col("candidate_id").isNotNull())
+    return E.register_decision(a, b, ["year", "number", "type"], "ref", "name", "candidate", F.lit(True))
 
 
 D13 = """, sc AS (SELECT *, CASE WHEN number LIKE '%3' THEN 50 ELSE 100 END + length(title) AS score FROM legislation), c AS (SELECT id, first_value(id) OVER (PARTITION BY title ORDER BY score DESC, id) AS canonical_id FROM sc)"""
