@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -102,8 +102,23 @@ def write_report(spark: SparkSession, sections: list[tuple[str, str, DataFrame,
 
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
-    """(section, line): the lines of a report under their headings, without headings, headers and empty lines."""
-    parts = spark.read.text(path, lineSep="\n\n## ").where("not startswith(value, '# ')")
-    lines = parts.select(F.split("value", "\n").alias("_l"))
-    body = F.filter(F.slice("_l", F.lit(3), F.size("_l")), lambda x: x != "")
-    return lines.select(F.get("_l", F.lit(0)).alias("section"), F.explode(body).alias("line"))
+    """(section, line): the lines of a report under their headings, without headings, headers and empty lines.
+
+    The file is read in blocks, line by line; a block's lines have the last heading before them in the block, or else the
+    last one of the blocks before it.  So no task holds more of a section than its block.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    ends = lines.groupBy("_block").agg(F.max_by("value", "_at").alias("_last"))
+    every = Window.orderBy("_block")  # one row for each block
+    before = ends.select("_block", F.lag("_last").over(every).alias("_last"))
+    within = Window.partitionBy("_block").orderBy("_at")
+    # A heading follows an empty line, which may be the last one of the block before; its header follows it.
+    value, above = F.col("value"), F.coalesce(F.lag("value").over(within), "_last")
+    told = lines.join(F.broadcast(before), "_block").withColumn("_head", F.when(value.startswith("## ") & (above == ""), F.substr(value, F.lit(4))))
+    told = told.select("_block", "_at", "value", "_head", F.last("_head", ignorenulls=True).over(within).alias("_section"), F.lag("_head").over(within).alias("_header"), (F.row_number().over(within) == 1).alias("_first"))
+    last = told.groupBy("_block").agg(F.max_by("_section", "_at").alias("_carried"), F.max_by("_head", "_at").alias("_open"))
+    carried = last.select("_block", F.last("_carried", ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"), F.lag("_open").over(every).alias("_open"))
+    whole = told.join(F.broadcast(carried), "_block").withColumn("section", F.coalesce("_section", "_carried"))
+    header = F.col("_header").isNotNull() | (F.col("_first") & F.col("_open").isNotNull())
+    return whole.where(F.col("section").isNotNull() & F.col("_head").isNull() & ~header & (F.col("value") != "")).select("section", F.col("value").alias("line"))

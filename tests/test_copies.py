@@ -1,11 +1,13 @@
 """Tables in which few names stand again and again: results by brute force, and work that does not square."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import similarity
 from sparkwarden.operators import entities as E
+from sparkwarden.sources import reports
 from tests.joined import joined_rows
 
 
@@ -41,3 +43,24 @@ def test_register_decision_of_copies(spark):
     got = {r.ref: (r.n, r.score, r.decision) for r in found.collect()}
     assert got[1] == (2000, 1.0, "skip") and got[0] == (1, round(13 / 15, 6), "review") and got[1000] == (1, 1.0, "auto")
     assert got[5000] == (1, None, "review") and got[5001] == (0, None, "none") == got[5003] and got[5002] == (1, None, "review") and len(got) == 2004
+
+
+def test_sections_in_blocks(spark, tmp_path):
+    """Wherever blocks end, lines keep their section; what only looks like a heading is a line; a row is a line."""
+    path, sections, want = f"{tmp_path}/report.csv", [], Counter()
+    for k, n in enumerate((300, 0, 1, 40)):
+        sections += ["", f"## S{k}", "## header" if k == 3 else "header"]
+        body = ["", "x"] if k == 1 else [f"{'## ' if i % 5 == 3 else ''}line {i} \r" for i in range(n)]
+        want.update((f"S{k}", x) for x in body if x)
+        sections += body
+    open(path, "w", newline="").write("\n".join(["# T", *sections]) + "\n")
+    for size in (37, 64, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        try:
+            found = reports.read_sections(spark, path)
+            assert Counter(map(tuple, found.collect())) == want, size
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no section is one value
