@@ -9,8 +9,9 @@ word for a kind of law before a year.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
@@ -304,6 +305,15 @@ def breach(c: Column) -> Column:
     return _let(_with_tokens(c, make), lambda p: F.struct(F.trim(c).alias("description"), *[p[n].alias(n) for n in names]))
 
 
+def parsed_once(df: DataFrame, parses: dict[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """df with columns name -> parse(text) of (text column, parse), where each distinct wording is parsed once: for texts that
+    stand again and again.  The distinct ones are gathered map-side and joined back; a null text has what parse makes of it."""
+    texts = list(dict.fromkeys(c for c, _ in parses.values()))
+    known = df.select(*[F.col(c).alias(f"_known_{c}") for c in texts]).distinct().withColumns({name: parse(F.col(f"_known_{c}")) for name, (c, parse) in parses.items()})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_known_{c}")) for c in texts])
+    return df.join(known, same).select(*df.columns, *parses)
+
+
 def describe(parts: Column) -> Column:
     """One line of what components() found; null where it found nothing."""
 

@@ -45,9 +45,10 @@ def x09_legislation_urls(s, d):
 @query(r""" SELECT case_id, sequence, legislation_id, part_no, title || ' Act ' || year || ', Section ' || sequence || '(1)' AS reference, 'Section ' || sequence || '(1)' AS part, title || ' Act ' || year AS act_name, year AS act_year, CAST(5000.50 AS DOUBLE) AS fine FROM offences o JOIN legislation l ON o.legislation_id = l.id""")
 def x11_breaches(s, d):
     x = T.offences(s, d).join(T.legislation(s, d).select(F.col("id").alias("legislation_id"), "title", "year"), "legislation_id")
-    b = grammar.breach(F.concat("title", F.lit(" Act "), "year", F.lit(", Section "), "sequence", F.lit("(1)")))
-    paid = grammar.breach(F.lit("Fine: £5,000.50"))
-    return x.select("case_id", "sequence", "legislation_id", "part_no", b.alias("b"), paid.alias("p")).select("case_id", "sequence", "legislation_id", "part_no", "b.reference", "b.part", "b.act_name", "b.act_year", F.col("p.fine").cast("double").alias("fine"))
+    # Many offences breach the same provision, and each wording is parsed once.
+    said = x.withColumns({"_said": F.concat("title", F.lit(" Act "), "year", F.lit(", Section "), "sequence", F.lit("(1)")), "_paid": F.lit("Fine: £5,000.50")})
+    parsed = grammar.parsed_once(said, {"b": ("_said", grammar.breach), "p": ("_paid", grammar.breach)})
+    return parsed.select("case_id", "sequence", "legislation_id", "part_no", "b.reference", "b.part", "b.act_name", "b.act_year", F.col("p.fine").cast("double").alias("fine"))
 
 
 @query(r""", t AS (SELECT offender_id, string_agg(action_type, ' ; ' ORDER BY id) AS list FROM cases GROUP BY 1), p AS (SELECT offender_id, list_filter(list_transform(string_split(list || ';; ', ';'), lambda x: trim(x)), lambda x: x <> '') AS items FROM t)
