@@ -177,11 +177,15 @@ def industry(c: Column, rules: list[tuple[str, str, float]] = INDUSTRIES, least:
     n = F.length(c)
     weight = F.when(n > 40, 1.1).when(n > 25, 1.05).when(n > 15, 1.0).otherwise(0.95)
     fits = [F.when(c.rlike(f"(?i){p}"), F.struct(F.least(F.lit(1.0), F.lit(s) * weight).alias("confidence"), F.lit(-i).alias("place"), F.lit(name).alias("industry"))) for i, (p, name, s) in enumerate(rules)]
-    found = F.sort_array(F.filter(F.array(*fits), lambda x: x.isNotNull()), asc=False)
-    best = F.try_element_at(found, F.lit(1))
-    ok = F.coalesce(best["confidence"] >= least, F.lit(False))
-    other = F.slice(F.array_distinct(F.transform(F.filter(found, lambda x: x["industry"] != best["industry"]), lambda x: x["industry"])), 1, 2)
-    return F.struct(F.when(ok, best["industry"]).alias("industry"), F.when(ok, best["confidence"]).alias("confidence"), (~ok | (best["confidence"] < sure)).alias("needs_review"), F.when(ok, other).alias("alternatives"))
+
+    def judged(found: Column) -> Column:
+        best = F.try_element_at(found, F.lit(1))
+        ok = F.coalesce(best["confidence"] >= least, F.lit(False))
+        other = F.slice(F.array_distinct(F.transform(F.filter(found, lambda x: x["industry"] != best["industry"]), lambda x: x["industry"])), 1, 2)
+        return F.struct(F.when(ok, best["industry"]).alias("industry"), F.when(ok, best["confidence"]).alias("confidence"), (~ok | (best["confidence"] < sure)).alias("needs_review"), F.when(ok, other).alias("alternatives"))
+
+    # A text is held against the rules once, however often the result's parts are used.
+    return F.get(F.transform(F.array(F.sort_array(F.filter(F.array(*fits), lambda x: x.isNotNull()), asc=False)), judged), F.lit(0))
 
 
 def severity(water: Column, land: Column, air: Column) -> Column:
