@@ -1,12 +1,18 @@
 """A paginated source that filters by itself: a partition for each page, and only pages that may have what is asked for.
 
-An endpoint answers `fetch(page, filters)` with rows and how many match in all; here it is a folder of page files, each with
-a list of what its rows hold of the columns that the endpoint can filter by.  Filters on these columns are pushed to it.
+An endpoint answers `fetch(page, filters)` with rows and how many match in all; here it is a folder of blocks of pages, each
+page with a list of what its rows hold of the columns that the endpoint can filter by.  Filters on these columns are pushed
+to it.
+
+What the driver knows grows with the blocks, not with the pages: each block has a list of its own pages beside it, and the
+tasks read these.  Where there are few pages each is a partition, else each block.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,10 +23,29 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from sparkwarden.sources.reports import _open
 
 
+#: Pages of a block, pages that are partitions of their own, and values of a filter column that are listed for a block (one
+#: with more may hold any).
+BLOCK_PAGES, FEW_PAGES, LISTED = 2000, 1000, 1000
+
+
 @dataclass
 class Page(InputPartition):
+    """A block, or one page of it (number from 0)."""
+
     path: str
     wanted: dict[str, list]
+    page: int | None = None
+
+
+def _may(holds: dict[str, list | None], wanted: dict[str, list]) -> bool:
+    return all(holds[c] is None or set(holds[c]) & set(values) for c, values in wanted.items())
+
+
+def _pages(block: str) -> list[dict]:
+    """(at, size, holds) of each page of a block."""
+    fs, at = _open(block)
+    with fs.open_input_stream(f"{at}.pages") as f:
+        return json.loads(f.read())
 
 
 class PagedReader(DataSourceReader):
@@ -28,7 +53,7 @@ class PagedReader(DataSourceReader):
         self.path, self.columns = path, columns
         fs, at = _open(path)
         with fs.open_input_stream(f"{at}/index.json") as f:
-            self.index = json.loads(f.read())  # one entry for each page
+            self.index = json.loads(f.read())  # one entry for each block
         self.wanted: dict[str, list] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -42,19 +67,26 @@ class PagedReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Page]:
-        may = lambda page: all(set(page["holds"][c]) & set(values) for c, values in self.wanted.items())
-        pages = [Page(f"{self.path}/{p['name']}", self.wanted) for p in self.index["pages"] if may(p)]
-        return pages or [Page("", {})]
-
-    def read(self, page: Page) -> Iterator[tuple]:
-        if not page.path:
+        blocks = [(f"{self.path}/{b['name']}", b["pages"]) for b in self.index["blocks"] if _may(b["holds"], self.wanted)]
+        if sum(n for _, n in blocks) <= FEW_PAGES:
+            found = [Page(b, self.wanted, i) for b, _ in blocks for i, p in enumerate(_pages(b)) if _may(p["holds"], self.wanted)]
+        else:
+            found = [Page(b, self.wanted) for b, _ in blocks]
+        return found or [Page("", {})]
+
+    def read(self, part: Page) -> Iterator[tuple]:
+        if not part.path:
             return
-        fs, at = _open(page.path)
-        with fs.open_input_stream(at) as f:
-            for row in json.loads(f.read())["data"]:
-                named = dict(zip(self.columns, row, strict=False))
-                if all(named.get(c) in values for c, values in page.wanted.items()):
-                    yield tuple(named.get(c) for c in self.columns)
+        fs, at = _open(part.path)
+        pages = _pages(part.path)
+        with fs.open_input_file(at) as f:
+            for page in pages if part.page is None else [pages[part.page]]:
+                if not _may(page["holds"], part.wanted):
+                    continue
+                for row in json.loads(f.read_at(page["size"], page["at"]))["data"]:
+                    named = dict(zip(self.columns, row, strict=False))
+                    if all(named.get(c) in values for c, values in part.wanted.items()):
+                        yield tuple(named.get(c) for c in self.columns)
 
 
 class PagedSource(DataSource):
@@ -73,8 +105,8 @@ class PagedSource(DataSource):
 
 def write_pages(rows: DataFrame, path: str, page: F.Column, columns: list[str], filters: list[str]) -> None:
     """Rows as pages of an endpoint: page numbers them; a page's rows are few."""
-    fs, at = _open(path)
-    fs.create_dir(at, recursive=True)
+    fs, folder = _open(path)
+    fs.create_dir(folder, recursive=True)
     paged = rows.select(page.cast("int").alias("_page"), F.array(*[F.col(c).cast("string") for c in columns]).alias("_row"))
     pages = paged.groupBy("_page").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     places = {c: columns.index(c) for c in filters}
@@ -82,17 +114,25 @@ def write_pages(rows: DataFrame, path: str, page: F.Column, columns: list[str],
     def write(batches):
         import pyarrow as pa
 
-        for b in batches:
-            held = []
-            for n, rows in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                with _open(path)[0].open_output_stream(f"{at}/page-{n}.json") as f:
-                    f.write(json.dumps({"recordsTotal": len(rows), "data": rows}).encode())
-                held.append(json.dumps({"name": f"page-{n}.json", "holds": {c: sorted({r[i] for r in rows if r[i] is not None}) for c, i in places.items()}}))
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["entry"])
-
-    entries = [json.loads(r[0]) for r in pages.mapInArrow(write, "entry string").collect()]  # one for each page
-    with fs.open_output_stream(f"{at}/index.json") as f:
-        f.write(json.dumps({"filters": filters, "pages": sorted(entries, key=lambda e: e["name"])}).encode())
+        fs, entries = _open(path)[0], []
+        each = (rows for b in batches for rows in b.column(b.schema.get_field_index("_rows")).to_pylist())
+        while block := list(itertools.islice(each, BLOCK_PAGES)):
+            name, listed, at = f"block-{uuid.uuid4().hex}.json", [], 0  # a task that runs again has blocks of its own
+            with fs.open_output_stream(f"{folder}/{name}") as f:
+                for rows in block:
+                    body = json.dumps({"recordsTotal": len(rows), "data": rows}).encode()
+                    f.write(body)
+                    listed.append({"at": at, "size": len(body), "holds": {c: sorted({r[i] for r in rows if r[i] is not None}) for c, i in places.items()}})
+                    at += len(body)
+            with fs.open_output_stream(f"{folder}/{name}.pages") as f:
+                f.write(json.dumps(listed).encode())
+            every = {c: sorted({v for p in listed for v in p["holds"][c]}) for c in places}
+            entries.append(json.dumps({"name": name, "pages": len(block), "holds": {c: v if len(v) <= LISTED else None for c, v in every.items()}}))
+        yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string())], names=["entry"])
+
+    blocks = [json.loads(r[0]) for r in pages.mapInArrow(write, "entry string").collect()]  # one for each block
+    with fs.open_output_stream(f"{folder}/index.json") as f:
+        f.write(json.dumps({"filters": filters, "blocks": sorted(blocks, key=lambda e: e["name"])}).encode())
 
 
 def read_pages(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -5,9 +5,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from sparkwarden.functions import similarity
+from sparkwarden.functions import grammar, similarity, text
 from sparkwarden.operators import entities as E
-from sparkwarden.sources import reports
+from sparkwarden.sources import paged, reports
 from tests.joined import joined_rows
 
 
@@ -16,8 +16,6 @@ def test_best_candidate(spark):
     rows = lambda n: [(i, rng.choice(["Small Ring Ltd", "small ring limited", "small rings ltd", "big bolt ltd", "small ring and sons ltd", None]), rng.choice(["A", "b ", None])) for i in range(n)]
     incoming, known = spark.createDataFrame(rows(150), "ref int, name string, postcode string"), spark.createDataFrame(rows(150), "id int, name string, postcode string")
     got = {r.ref: (r.offender_id, r.score and round(r.score, 9)) for r in E.best_candidate(incoming, known).collect()}
-    from sparkwarden.functions import text
-
     norm = lambda df: df.select(df.columns[0], text.company_name(F.col("name")).alias("n"), F.upper(F.trim("postcode")).alias("p"))
     pairs = norm(incoming).crossJoin(norm(known).select("id", F.col("n").alias("m"), F.col("p").alias("q"))).where(similarity.trigram_similarity(F.col("n"), F.col("m")) >= 0.5).withColumn("s", similarity.name_similarity(F.col("n"), F.col("m")))
     best = {}
@@ -64,3 +62,28 @@ def test_sections_in_blocks(spark, tmp_path):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
             spark.conf.unset("spark.sql.files.openCostInBytes")
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no section is one value
+
+
+def test_pages_in_blocks(spark, tmp_path):
+    """Many pages are few files and partitions, filters skip blocks and pages, and the driver has one entry for each block."""
+    path, columns = str(tmp_path / "pages"), ["id", "kind"]
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("k"), F.floor(F.col("id") / 3000).cast("string"))).alias("kind"))
+    paged.write_pages(rows, path, F.floor(F.col("id") / 2), columns, ["kind"])
+    every = paged.read_pages(spark, path, columns)
+    assert every.count() == 6000 == every.distinct().count() and every.rdd.getNumPartitions() < 20 and len(list((tmp_path / "pages").iterdir())) < 40
+    assert every.where("kind = 'k1'").count() == sum(i % 7 > 0 for i in range(3000, 6000)) and every.where("kind = 'z'").count() == 0
+
+
+def test_industry_is_judged_once(spark):
+    df = spark.createDataFrame([("construction and building of food processing plants",), ("x",), (None,)], "t string").select(text.industry(F.col("t")).alias("i"))
+    plan = df.select("i.industry", "i.confidence", "i.needs_review", "i.alternatives")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("food.*processing") == 1
+    assert sorted(map(str, plan.collect())) == sorted(map(str, df.select("i.*").collect()))
+    assert [tuple(r) for r in plan.collect()] == [("Construction", 1.0, False, ["Manufacturing"]), (None, None, True, None), (None, None, True, None)]
+
+
+def test_parsed_once(spark):
+    df = spark.createDataFrame([(i, ["Safety Act 1974, Section 2(1)", "Fine: £5", None][i % 3]) for i in range(9)], "id int, t string")
+    once = grammar.parsed_once(df, {"b": ("t", grammar.breach), "c": ("t", grammar.components)})
+    assert sorted(map(str, once.collect())) == sorted(map(str, df.withColumns({"b": grammar.breach(F.col("t")), "c": grammar.components(F.col("t"))}).collect()))
+    assert "Aggregate" in once._jdf.queryExecution().optimizedPlan().toString()
