@@ -8,7 +8,7 @@ from sparkwarden.operators import mentions, traversal
 from sparkwarden.operators.metric_store import MetricStore
 from sparkwarden.operators.registry import Registry
 from sparkwarden.plans import tables as T
-from sparkwarden.plans.storage import shared_path
+from sparkwarden.plans.storage import keep, shared_path
 from sparkwarden.queries import query
 from sparkwarden.queries.matching import OFFENDERS, _offenders
 from sparkwarden.queries.reports import PERIODS
@@ -101,7 +101,9 @@ def _register(s, d):
 @query(""" SELECT industry AS section, CAST(id % 3 + 2020 AS INT) AS year, id, name, CAST(balance AS DOUBLE) AS balance FROM offenders""")
 def sc12_accordion_sections(s, d):
     # sc19 (undertakings by year) has the same shape.
-    found = markup.elements(_register(s, d), "html", ["page"])
+    # Pages are scanned once, not for each use, and by all cores: their bytes are few beside the work on them.
+    pages = _register(s, d).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "page")
+    found = keep(markup.elements(pages, "html", ["page"]), "elements")
     cells = markup.table_cells(found, ["page"])
     # Outer tables: the rows' cells; the nested table's second cell is the amount of the row that holds it.
     tables = markup.under_headings(found, ["page"], ["h2", "button"], F.col("tag") == "table").select("page_page", F.col("place").alias("table"), "h2", "button", "parent")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +29,20 @@ class _Scan(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.parts: list[str] = []  # all text; an element has what comes while it is open
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         closes = [t for t, by in CLOSED_BY.items() if tag in by]
         while closes and (k := next((k for k in range(len(self.open) - 1, -1, -1) if self.rows[self.open[k]]["tag"] in [*closes, *_BOUNDS]), None)) is not None and self.rows[self.open[k]]["tag"] in closes:
-            del self.open[k:]
+            self._close(k)
         self._part(tag)
         at, parent = dict(attrs), self.open[-1] if self.open else None
         path = f"{self.rows[parent]['path']}/{tag}" if parent is not None else tag
-        self.rows.append({"place": len(self.rows), "parent": parent, "depth": len(self.open), "path": path, "tag": tag, "id": at.get("id"), "class": at.get("class"), "href": at.get("href"), "own": [], "text": []})
+        self.rows.append({"place": len(self.rows), "parent": parent, "depth": len(self.open), "path": path, "tag": tag, "id": at.get("id"), "class": at.get("class"), "href": at.get("href"), "own": [], "text": (len(self.parts), None)})
         if tag not in EMPTY:
             self.open.append(len(self.rows) - 1)
+        else:
+            self.rows[-1]["text"] = (0, 0)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -48,29 +52,33 @@ class _Scan(HTMLParser):
     def _part(self, tag: str) -> None:
         if tag not in INLINE and self.open:
             self.rows[self.open[-1]]["own"].append(" ")
-            for k in self.open:
-                self.rows[k]["text"].append(" ")
+            self.parts.append(" ")
+
+    def _close(self, k: int) -> None:
+        for i in self.open[k:]:
+            self.rows[i]["text"] = (self.rows[i]["text"][0], len(self.parts))
+        del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
         self._part(tag)
         for k in range(len(self.open) - 1, -1, -1):
             if self.rows[self.open[k]]["tag"] == tag:
-                del self.open[k:]
+                self._close(k)
                 return
 
     def handle_data(self, data: str) -> None:
         if self.open and self.rows[self.open[-1]]["tag"] not in ("script", "style"):
             self.rows[self.open[-1]]["own"].append(data)
-            for k in self.open:
-                self.rows[k]["text"].append(data)
+            self.parts.append(data)
 
 
 def scan(html: str | None) -> list[dict]:
     x = _Scan()
     x.feed(html or "")
     x.close()
+    x._close(0)
     squeeze = lambda parts: " ".join("".join(parts).split())
-    return [r | {"own": squeeze(r["own"]), "text": squeeze(r["text"])} for r in x.rows]
+    return [r | {"own": squeeze(r["own"]), "text": squeeze(x.parts[slice(*r["text"])])} for r in x.rows]
 
 
 SCHEMA = "place int, parent int, depth int, path string, tag string, id string, class string, href string, own string, text string"
@@ -87,9 +95,25 @@ class Elements:
 
 def elements(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
     """The columns keep of each page with every element of it (a page is scanned once; null and empty pages have none)."""
-    page = df.select(*[F.col(c).alias(f"_{c}") for c in keep], F.col(html).alias("_html"))
-    found = page.lateralJoin(Elements(F.col("_html").outer()))
-    return found.select(*[F.col(f"_{c}").alias(f"page_{c}") for c in keep], *[c.split()[0] for c in SCHEMA.split(", ")])
+    page = df.select(*[F.col(c).alias(f"page_{c}") for c in keep], F.col(html).cast("string").alias("_html"))
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    heads = [*page.columns[:-1], *names]
+
+    def work(batches):
+        for b in batches:
+            of, found, pages = [], [], b.column(b.num_columns - 1)
+            for i in range(b.num_rows):
+                rows = scan(pages[i].as_py())
+                found += rows
+                of += [i] * len(rows)
+                if len(found) >= 10_000 or i == b.num_rows - 1:  # so many elements and those of one page at once
+                    columns = [b.column(k).take(pa.array(of, pa.int64())) for k in range(b.num_columns - 1)]
+                    columns += [pa.array([r[n] for r in found], pa.int32() if n in ("place", "parent", "depth") else pa.string()) for n in names]
+                    yield pa.RecordBatch.from_arrays(columns, names=heads)
+                    of, found = [], []
+
+    schema = [*(f"`page_{c}` {page.schema[f'page_{c}'].dataType.simpleString()}" for c in keep), SCHEMA]
+    return page.mapInArrow(work, ", ".join(schema))
 
 
 def table_cells(found: DataFrame, keep: list[str]) -> DataFrame:
