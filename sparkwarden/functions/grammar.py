@@ -33,6 +33,10 @@ def _let(value: Column, make: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
+def _starts_with_digit(c: Column) -> Column:
+    return (c >= "0") & (c < ":")  # `:` comes right after `9`
+
+
 class _Text:
     """Tokens of a text, and these in lower case; places count from 0 and are null outside."""
 
@@ -55,18 +59,26 @@ class _Text:
         return F.regexp_replace(F.array_join(F.slice(self.tokens, start + 1, F.greatest(end - start + 1, F.lit(0))), " "), r" (?=[,;:.])", "")
 
     def is_number(self, i: Column) -> Column:
-        return self.at(i).rlike("^[0-9]")
+        return _starts_with_digit(self.at(i))
 
     def is_money(self, i: Column) -> Column:
         return self.at(i).startswith("£")
 
 
-def _with_tokens(c: Column, make: Callable[[_Text], Column]) -> Column:
-    """make() on the tokens of c, which are cut once; null stays null."""
+def _with_tokens(c: Column | _Text, make: Callable[[_Text], Column]) -> Column:
+    """make() on the tokens of c, which are cut once; null stays null.  c may be tokens that are cut already (see together())."""
+    if isinstance(c, _Text):
+        return make(c)
     cut = lambda t: _let(F.transform(t, lambda x: F.lower(x)), lambda low: F.when(t.isNotNull(), make(_Text(t, low))))
     return _let(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)), cut)
 
 
+def together(c: Column, parses: dict[str, Callable[[Column], Column]]) -> Column:
+    """A struct of what several functions of this module (but breach(), which keeps the text) find in one text, cut once."""
+    each = lambda x: F.struct(*[f(x).alias(name) for name, f in parses.items()])
+    return F.coalesce(_with_tokens(c, each), each(F.lit(None).cast("string")))
+
+
 def _first(x: Column) -> Column:
     return F.get(x, F.lit(0))
 
@@ -77,7 +89,7 @@ def _where(found: Column, field: str, value: str) -> Column:
 
 def _measures(t: _Text, units: list[str], role: Callable[[Column], Column]) -> Column:
     """Places of numbers that stand before one of the units and have a role."""
-    return t.places(lambda i: t.at(i).rlike("^[0-9]+$") & t.word(i + 1).isin(units) & role(i))
+    return t.places(lambda i: t.word(i + 1).isin(units) & t.at(i).rlike("^[0-9]+$") & role(i))
 
 
 def _near(t: _Text, i: Column, words: list[str], steps: list[int]) -> Column:
@@ -216,7 +228,7 @@ def defendant(c: Column) -> Column:
 
 def _law_ends(t: _Text) -> Column:
     """Places of the years that end a law's name."""
-    return t.places(lambda i: t.at(i).rlike("^(?:1[5-9]|20)[0-9]{2}$") & t.word(i - 1).isin(LAWS))
+    return t.places(lambda i: t.word(i - 1).isin(LAWS) & t.at(i).rlike("^(?:1[5-9]|20)[0-9]{2}$"))
 
 
 def _provisions(t: _Text) -> Column:
@@ -231,14 +243,16 @@ def _provisions(t: _Text) -> Column:
         zero = F.struct(F.lit(True).alias("on"), F.lit(False).alias("joined"), F.array().cast("array<string>").alias("numbers"))
 
         def step(s: Column, w: Column) -> Column:
-            number, joins = w.rlike("^[0-9]") & s["joined"], (F.lower(w) == "and") & ~s["joined"]
-            return F.struct((s["on"] & (number | joins)).alias("on"), (s["on"] & joins).alias("joined"), F.when(s["on"] & number, F.concat(s["numbers"], F.array(w))).otherwise(s["numbers"]).alias("numbers"))
+            number, joins = s["joined"] & _starts_with_digit(w), ~s["joined"] & (F.lower(w) == "and")
+            on = F.struct((number | joins).alias("on"), joins.alias("joined"), F.when(number, F.concat(s["numbers"], F.array(w))).otherwise(s["numbers"]).alias("numbers"))
+            return F.when(s["on"], on).otherwise(s)  # what follows the end costs nothing
 
         def made(more: Column) -> Column:
             numbers = F.concat(F.array(t.at(i + 1)), more)
             return F.struct(i.alias("at"), (i + 1 + 2 * F.size(more)).alias("last"), kind.alias("kind"), F.concat(kind, F.lit(" "), F.array_join(numbers, " and ")).alias("text"))
 
-        return _let(F.aggregate(rest, zero, step, lambda s: s["numbers"]), made)
+        more = F.when(t.word(i + 2) == "and", F.aggregate(rest, zero, step, lambda s: s["numbers"]))
+        return _let(F.coalesce(more, F.array().cast("array<string>")), made)
 
     return F.transform(start, one)
 

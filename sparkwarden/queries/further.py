@@ -88,7 +88,7 @@ CASE WHEN id % 4 <> 3 THEN CAST(fine AS DOUBLE) END AS fine, CASE WHEN id % 4 =
 'Section ' || (id % 9 + 1) || '(1)/Merchant Shipping Act 1995|Regulation 4/Safety of Vessels Regulations 1998' AS offences FROM cases""")
 def x36_prosecutions(s, d):
     c = F.col("t")
-    x = _cases(s, d).select("id", P.defendant(c).alias("d"), P.court(c).alias("court"), P.components(c).alias("p"), P.citations(c).alias("o"))
+    x = _cases(s, d).select("id", P.together(c, {"d": P.defendant, "court": P.court, "p": P.components, "o": P.citations}).alias("x")).select("id", "x.*")
     offences = F.array_join(F.transform("o", lambda o: F.concat_ws("/", o["section"], o["law"])), "|")
     return x.select("id", "d.age", "d.place", "court", F.col("p.fine").cast("double").alias("fine"), F.col("p.total").cast("double").alias("total"), "p.custodial", F.col("p.community_hours").alias("hours"), offences.alias("offences"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import grammar, similarity, text
 from sparkwarden.operators import entities as E
-from sparkwarden.sources import paged, reports
+from sparkwarden.sources import markup, paged, reports
 from tests.joined import joined_rows
 
 
@@ -87,3 +87,23 @@ def test_parsed_once(spark):
     once = grammar.parsed_once(df, {"b": ("t", grammar.breach), "c": ("t", grammar.components)})
     assert sorted(map(str, once.collect())) == sorted(map(str, df.withColumns({"b": grammar.breach(F.col("t")), "c": grammar.components(F.col("t"))}).collect()))
     assert "Aggregate" in once._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_cut_once(spark):
+    texts = ["Pat Example, 45, of Hull. At Hull Crown Court, contrary to Sections 2(1) and 3 and 4 of the Safety Act 1974 and Regulation 5, fined £1,200", "Section 2 and", "9", "", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    parses = {"d": grammar.defendant, "court": grammar.court, "p": grammar.components, "o": grammar.citations, "s": grammar.sentence}
+    one = df.select("t", grammar.together(F.col("t"), parses).alias("x")).select("t", "x.*")
+    each = df.select("t", *[f(F.col("t")).alias(n) for n, f in parses.items()])
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2 and sorted(map(str, one.collect())) == sorted(map(str, each.collect()))
+    assert [x["section"] for x in one.collect()[0].o] == ["Section 2(1) and 3 and 4", "Regulation 5"]
+
+
+def test_elements_are_scanned_in_batches(spark):
+    page = "<body><h2>A <b>b</b></h2><br>x<table><tr><td>1<td>x<table><tr><td>in</td></tr></table>y</td></tr></table>z<p>open"
+    df = spark.createDataFrame([(i, page if i % 3 else None) for i in range(30)], "id int, html string")
+    found = markup.elements(df, "html", ["id"])
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.tag, r.text) for r in found.where("page_id = 1").collect()}
+    assert got == {("body", "A b x 1 x in y z open"), ("h2", "A b"), ("b", "b"), ("br", ""), ("table", "1 x in y"), ("tr", "1 x in y"), ("td", "1"), ("td", "x in y"), ("table", "in"), ("tr", "in"), ("td", "in"), ("p", "open")}
+    assert found.count() == 20 * found.where("page_id = 1").count()
