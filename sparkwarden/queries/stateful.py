@@ -68,10 +68,14 @@ def st02_two_phase_sync(s, d):
     return table.read()
 
 
+#: Messages of a file, hence of a micro-batch: what its tasks hold does not grow with the feed.
+BATCH_MESSAGES = 500_000
+
+
 @query(LATEST)
 def st03_buffered_feed(s, d):
     parts = shared_path(s, "messages")
-    _messages(T.load(s, d, "events")).select(*_MESSAGE).repartitionByRange(4, "seq").write.parquet(parts)
+    _messages(T.load(s, d, "events")).select(*_MESSAGE).repartitionByRange(4, "seq").write.option("maxRecordsPerFile", BATCH_MESSAGES).parquet(parts)
     stream = s.readStream.schema("user_id bigint, seq bigint, value double, operation string").option("maxFilesPerTrigger", 1).parquet(parts)
     table = _latest(s, "buffered")
     feed.run_buffered(stream, table, _MESSAGE, shared_path(s, "buffered-progress"), idle_ms=500)
