@@ -159,3 +159,10 @@ def top_peers(df: DataFrame, group: str, value: str, n: int = 5) -> DataFrame:
     pairs = df.select("id", group).join(best, group).where("id != peer_id")
     place = Window.partitionBy("id").orderBy("_r")
     return pairs.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n).select("id", "place", "peer_id", "peer_value")
+
+
+def parts_by_size(df: DataFrame, each: int = 16 << 20) -> int:
+    """How many parts of about `each` bytes (as the optimizer estimates them) df makes, so that a task's share does not grow
+    with df; Spark's own number of shuffle partitions at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 20_000))

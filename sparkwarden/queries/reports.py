@@ -263,8 +263,12 @@ def a40_error_trend(s, d):
 
 @query(""" SELECT legislation_id, count(*) AS offences, count(DISTINCT case_id) AS cases, strftime(min(c.action_date), '%Y-%m-%d') AS first_used, strftime(max(c.action_date), '%Y-%m-%d') AS last_used FROM offences o JOIN cases c ON o.case_id = c.id GROUP BY 1""")
 def a43_legislation_usage(s, d):
-    x = T.offences(s, d).join(T.cases(s, d).select(F.col("id").alias("case_id"), "action_date"), "case_id")
-    return x.groupBy("legislation_id").agg(F.count("*").alias("offences"), F.count_distinct("case_id").alias("cases"), T.day(F.min("action_date")).alias("first_used"), T.day(F.max("action_date")).alias("last_used"))
+    offences, cases = T.offences(s, d).select("case_id", "legislation_id"), T.cases(s, d).select(F.col("id").alias("case_id"), "action_date")
+    # Both are dealt by case, in as many parts as their size asks for; a case's laws then are counted where it lies.
+    parts = R.parts_by_size(offences)
+    each = offences.repartition(parts, "case_id").groupBy("case_id", "legislation_id").agg(F.count("*").alias("_n"))
+    dates = cases.repartition(parts, "case_id").groupBy("case_id").agg(F.count("*").alias("_m"), F.min("action_date").alias("_first"), F.max("action_date").alias("_last"))
+    return each.join(dates.hint("merge"), "case_id").groupBy("legislation_id").agg(F.sum(F.col("_n") * F.col("_m")).alias("offences"), F.count("*").alias("cases"), T.day(F.min("_first")).alias("first_used"), T.day(F.max("_last")).alias("last_used"))
 
 
 @query(""" SELECT record_type, action_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY record_type), 1) AS pct FROM facts GROUP BY 1, 2""")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import grammar, similarity, text
 from sparkwarden.operators import entities as E
+from sparkwarden.operators import reports as R
+from sparkwarden.queries import QUERIES, stateful
 from sparkwarden.sources import markup, paged, reports
 from tests.joined import joined_rows
 
@@ -107,3 +109,21 @@ def test_elements_are_scanned_in_batches(spark):
     got = {(r.tag, r.text) for r in found.where("page_id = 1").collect()}
     assert got == {("body", "A b x 1 x in y z open"), ("h2", "A b"), ("b", "b"), ("br", ""), ("table", "1 x in y"), ("tr", "1 x in y"), ("td", "1"), ("td", "x in y"), ("table", "in"), ("tr", "in"), ("td", "in"), ("p", "open")}
     assert found.count() == 20 * found.where("page_id = 1").count()
+
+
+def test_feed_files_are_bounded(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(stateful, "BATCH_MESSAGES", 10)
+    monkeypatch.setattr(stateful, "shared_path", lambda s, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(stateful.feed, "run_buffered", lambda *a, **k: None)
+    stateful.st03_buffered_feed(spark, "/root/testdata/sf0.001")
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in (tmp_path / "messages").glob("*.parquet")]
+    assert max(sizes) <= 10 and sum(sizes) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_usage_in_parts_by_size(spark):
+    df = spark.range(1000)
+    assert R.parts_by_size(df, each=100) == 80 and R.parts_by_size(df) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = QUERIES["a43_legislation_usage"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "distinct" not in plan and plan.count("Exchange hashpartitioning(case_id") == 2  # no second deal of all rows
