@@ -26,6 +26,7 @@ largest) or repeat; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,8 +39,8 @@ from sparkwarden.llm.common import bucket_counts, join_unique, mix, save, save_b
 K, PASSAGE, SIMILARITY = 5, 50, 0.8
 #: Hash functions in a signature.
 FUNCTIONS = 2
-#: Places of repeated stretches that are looked up, for each token of two texts.
-PLACES = 1
+#: Common runs (and passages found) of two texts that are held at once.
+PAIRS = 1 << 18
 #: How far places may shift between a run and what is aligned beside it.
 SHIFT = 3
 #: Bits of a shingle by which its occurrences are counted (the counts only order the shingles).
@@ -157,60 +158,78 @@ def signed_cells(df: DataFrame, functions: int, passage: int, run: int) -> DataF
 # ---------------------------------------------------------------- comparing two texts
 
 
-def _agree(x: np.ndarray, y: np.ndarray) -> int:
-    """How many places x and y have in common from their start."""
-    n, at, step = min(len(x), len(y)), 0, 64
-    while at < n:
-        differ = x[at : min(n, at + step)] != y[at : min(n, at + step)]
-        if differ.any():
-            return at + int(differ.argmax())
-        at, step = at + step, step * 4
-    return n
-
+def _begun(mine: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j) with mine[i] == other[j] that no equal pair precedes, ordered by both, in chunks of about PAIRS.
+
+    The places of a value are ordered by what stands before them, so those that go on with an earlier pair are one stretch
+    and are stepped over unseen: the work grows with the pairs that begin, however often a text goes round in circles."""
+    value, before = np.unique(other), np.unique(other[:-1])
+    wide = len(before) + 1  # nothing stands before the first place; it differs from all
+    prior = np.append(len(before), np.searchsorted(before, other[:-1]))
+    rank = np.searchsorted(value, other)
+    order = np.lexsort((prior, rank))
+    key = (rank * wide + prior)[order]
+    spot = np.minimum(np.searchsorted(value, mine), len(value) - 1)
+    at = np.flatnonzero(value[spot] == mine)
+    spot = spot[at]
+    first, last = np.searchsorted(key, spot * wide), np.searchsorted(key, (spot + 1) * wide)
+    skip, upto = first.copy(), first.copy()
+    if len(before):
+        ahead = mine[np.maximum(at - 1, 0)]
+        p = np.minimum(np.searchsorted(before, ahead), len(before) - 1)
+        same = (at > 0) & (before[p] == ahead)
+        skip[same], upto[same] = (np.searchsorted(key, (spot * wide + p)[same], side) for side in ("left", "right"))
+    head, size = skip - first, last - first - (upto - skip)
+    total, s = np.append(0, np.cumsum(size)), 0
+    while s < len(at):
+        e = max(s + 1, int(np.searchsorted(total, total[s] + PAIRS, "right")) - 1)
+        n = size[s:e]
+        k = np.arange(int(n.sum())) - np.repeat(total[s:e] - total[s], n)
+        place = np.repeat(first[s:e], n) + k + np.where(k < np.repeat(head[s:e], n), 0, np.repeat((upto - skip)[s:e], n))
+        i, j = np.repeat(at[s:e], n), order[place]
+        by = np.lexsort((j, i))
+        yield i[by], j[by]
+        s = e
+
+
+def _lengths(levels: list[tuple[np.ndarray, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How far each pair of places goes on alike.  levels[k] hashes 2 ** k places of both texts; grown as far as pairs need."""
+    k = 0
+    while True:
+        x, y = levels[k]
+        there = (i < len(x)) & (j < len(y))
+        if not (x[i[there]] == y[j[there]]).any():
+            break
+        k += 1
+        if k == len(levels):
+            half = 1 << k - 1
+            levels.append(tuple(mix(z[: max(0, len(z) - half)] * _P + z[half:]) for z in (x, y)))
+    out = np.zeros(len(i), np.int64)
+    for k in range(k - 1, -1, -1):
+        x, y = levels[k]
+        there = np.flatnonzero((i + out < len(x)) & (j + out < len(y)))
+        out[there[x[(i + out)[there]] == y[(j + out)[there]]]] += 1 << k
+    return out
 
-def common_runs(a: np.ndarray, b: np.ndarray, width: int) -> tuple[dict[tuple[int, int], int], bool]:
-    """Maximal runs that a and b have in common, of width tokens or more: lengths by (start in a, start in b), and whether a
-    run stands in b more than once.
 
-    Each stretch of a is looked up at all its places in b.  Only where a text goes round in circles these are too many (over
-    PLACES times the texts' tokens in all): then the first ones and the last are taken, which other stretches' runs pass
-    through, and stretches shorter than K that another run covers are left out."""
+def common_runs(a: np.ndarray, b: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
+    """All maximal runs that a and b have in common, of width tokens or more: (start in a, start in b, length), in order."""
     mine, other = window_hashes(a, width), window_hashes(b, width)
-    out: dict[tuple[int, int], int] = {}
     if not len(mine) or not len(other):
-        return out, False
+        return
     order = np.argsort(other, kind="stable")
     ranked = other[order]
-    spot = np.minimum(np.searchsorted(ranked, mine), len(other) - 1)
-    at = np.flatnonzero(ranked[spot] == mine)
-    if not len(at):
-        return out, False
-    first, every = spot[at], at
-    again = bool((ranked[1:] == ranked[:-1]).any())
-    places = [(at, order[first])]
-    if again:
-        more = np.searchsorted(ranked, mine[at], "right") - 1 - first
-        left = PLACES * (len(a) + len(b))
-        for k in range(1, int(more.max()) + 1):
-            some = more >= k
-            left -= int(some.sum())
-            if left < 0:
-                places.append((every[some], order[(first + more)[some]]))
-                break
-            places.append((every[some], order[first[some] + k]))
-    reach = -1
-    for at, place in places:
+    if not (ranked[1:] == ranked[:-1]).any():  # each stretch of a has one place at most
+        spot = np.minimum(np.searchsorted(ranked, mine), len(other) - 1)
+        at = np.flatnonzero(ranked[spot] == mine)
+        place = order[spot[at]]
         cut = np.flatnonzero((at[1:] - at[:-1] != 1) | (place[1:] - place[:-1] != 1)) + 1
-        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
-            i, j, last = int(at[s]), int(place[s]), int(at[e - 1])
-            if last <= reach and e - s < K:
-                continue
-            left = _agree(mine[:i][::-1], other[:j][::-1])
-            if (i - left, j - left) not in out:
-                right = _agree(mine[last:], other[j + last - i :])
-                out[i - left, j - left] = left + last - i + right + width - 1
-                reach = max(reach, last + right - 1)
-    return out, again
+        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True) if len(at) else ():
+            yield int(at[s]), int(place[s]), e - s + width - 1
+        return
+    levels = [(mine, other)]
+    for i, j in _begun(mine, other):
+        yield from zip(i.tolist(), j.tolist(), (_lengths(levels, i, j) + width - 1).tolist(), strict=True)
 
 
 _NONE = np.zeros(0, np.int64)
@@ -229,21 +248,42 @@ def _beside(a: np.ndarray, b: np.ndarray, x: int, y: int, p: int, q: int, lags:
     return at[hit], there[hit, fits[hit].argmax(1)]
 
 
-def _chains(runs: list[tuple[int, int, int]], reach: int) -> list[list[tuple[int, int, int]]]:
-    """Runs that follow each other in both texts within reach, as lists."""
-    done, live = [], []
-    for i, j, n in sorted(runs):
-        done += [c for c in live if i - c[-1][0] - c[-1][2] > reach]
-        live = [c for c in live if i - c[-1][0] - c[-1][2] <= reach]
-        for c in reversed(live):
+def _chains(runs: Iterable[tuple[int, int, int]], reach: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs (in order) that follow each other in both texts within reach, as lists.  Open chains are found by where they end;
+    a run goes on with the one that it is least shifted against, and where it might go on with others too (or loses places
+    to it that make a window), it is a chain of its own besides."""
+    cell, first = reach + 2 * K, 0
+    live: dict[int, dict[int, list[list[tuple[int, int, int]]]]] = {}  # by cells of the ends in both texts
+
+    def end(c):
+        return (c[-1][0] + c[-1][2]) // cell, (c[-1][1] + c[-1][2]) // cell
+
+    for i, j, n in runs:
+        while first < (i - reach) // cell:
+            for column in live.pop(first, {}).values():
+                yield from column
+            first += 1
+        near = (c for u in (i // cell - 1, i // cell, i // cell + 1) if u in live for v in (j // cell - 1, j // cell, j // cell + 1) for c in live[u].get(v, ()))
+        fit = []
+        for c in near:
             x, y, m = c[-1]
             over = max(0, x + m - i, y + m - j)  # repeated words at an edit belong to both runs
-            if over < min(n, m, 2 * K) and j + over - y - m <= reach:
-                c.append((i + over, j + over, n - over))
-                break
+            if over < min(n, m, 2 * K) and j + over - y - m <= reach and i - x - m <= reach:
+                fit.append((abs(j - i - y + x), -c[0][0], -c[0][1], over, c))
+        if not fit:
+            c = [(i, j, n)]
         else:
-            live.append([(i, j, n)])
-    return done + live
+            *_, over, c = min(fit, key=lambda f: f[:4])
+            if len(fit) > 1 or over and n >= reach:
+                yield [(i, j, n)]
+            u, v = end(c)
+            live[u][v] = [x for x in live[u][v] if x is not c]
+            c.append((i + over, j + over, n - over))
+        u, v = end(c)
+        live.setdefault(u, {}).setdefault(v, []).append(c)
+    for u in sorted(live):
+        for column in live[u].values():
+            yield from column
 
 
 def _wide(x: int, y: int, width: int, n: int) -> tuple[int, int]:
@@ -310,6 +350,16 @@ def _passages(chain: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray, w
     return out
 
 
+def _widest(found: list[tuple[int, int, int, int, float, int]]) -> list[tuple[int, int, int, int, float, int]]:
+    """Of passages (x, y, p, q, similarity, chain) those whose x..y lies in no other's, by x; of equal ones the most similar,
+    then the one that stands first in the other text."""
+    out = []
+    for f in sorted(found, key=lambda f: (f[0], -f[1], -f[4], f[2], f[3])):
+        if not out or f[1] > out[-1][1]:
+            out.append(f)
+    return out
+
+
 def passages_of(a: np.ndarray, b: np.ndarray, passage: int = PASSAGE, least: float = SIMILARITY) -> list[tuple[int, int, int, int, float, int]]:
     """Maximal passages of shingle sequence a that b repeats: word ranges in a and in b (end excluded), similarity and parts.
     Both ranges have passage words or more, and none of a lies within another.  Where a repeats one part of b again and
@@ -317,14 +367,15 @@ def passages_of(a: np.ndarray, b: np.ndarray, passage: int = PASSAGE, least: flo
     width, _, run = run_width(passage, least)
     if len(a) < width or len(b) < width:
         return []
-    runs, again = common_runs(a, b, run)
-    if again:  # else whole windows are found with their runs
-        runs |= common_runs(a, b, width)[0]
-    found = [(*x, c) for c, chain in enumerate(_chains([(i, j, n) for (i, j), n in runs.items()], width)) for x in _passages(chain, a, b, width, least)]
+    found: list[tuple[int, int, int, int, float, int]] = []
+    most = PAIRS
+    for c, chain in enumerate(_chains(common_runs(a, b, run), width)):
+        found += [(*x, c) for x in _passages(chain, a, b, width, least)]
+        if len(found) > most:
+            found = _widest(found)
+            most = 2 * len(found) + PAIRS
     out = []
-    for x, y, p, q, similarity, c in sorted(found, key=lambda f: (f[0], -f[1], -f[4])):
-        if out and y <= out[-1][1]:
-            continue
+    for x, y, p, q, similarity, c in _widest(found):
         parts = 1
         if out and c != out[-1][5] and x < out[-1][1] and p < out[-1][3] and q > out[-1][2]:
             u, _, v, w, s, c, parts = out.pop()  # a goes round in circles over the same part of b

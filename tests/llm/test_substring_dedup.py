@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from sparkwarden.llm.common import mix, shingles
 from sparkwarden.llm.near_dedup import banded_lcs
-from sparkwarden.llm.substring_dedup import cells, compact_windows, passages_of, repeated_passages, run_width
+from sparkwarden.llm.substring_dedup import cells, common_runs, compact_windows, passages_of, repeated_passages, run_width
 
 
 @settings(max_examples=300, deadline=None)
@@ -177,6 +177,35 @@ def test_every_place_of_a_passage_is_aligned():
     assert {int(np.searchsorted(starts, p, "right")) - 1 for *_, p, _, _, _ in got} == {1, 3}
 
 
+def test_a_passage_at_any_of_very_many_places():
+    """A stretch of 25 words stands in both texts again and again; at one place in the middle a passage goes on behind it."""
+    rng = np.random.default_rng(16)
+    new = lambda n: rng.integers(0, 1 << 62, n).tolist()
+    run, tail = new(25), new(24)
+    a = [w for _ in range(99) for w in run + new(6)] + run + new(1) + tail + new(30)
+    b = [w for k in range(200) for w in [*run, *(new(1) + tail if k == 150 else []), *new(6)]]
+    (x, y, p, q, s, parts), = passages_of(_hashed(a), _hashed(b))
+    assert (x, y, p, q, parts) == (99 * 31, 99 * 31 + 50, 150 * 31, 150 * 31 + 50, 1) and s >= 0.8 - 1e-9
+
+
+def test_common_runs_are_all_there():
+    rng = random.Random(17)
+    for _ in range(60):
+        alphabet = rng.choice([1, 2, 3, 50])
+        part = [rng.randrange(alphabet) for _ in range(rng.randint(20, 60))]
+        a, b = (_hashed([x for _ in range(rng.randint(1, 4)) for x in [*part, *(rng.randrange(alphabet) for _ in range(rng.randint(0, 9)))]]) for _ in range(2))
+        want = {}
+        for i in range(len(a)):
+            for j in range(len(b)):
+                if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                    n = 1
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                        n += 1
+                    if n >= 21:
+                        want[i, j] = n
+        assert list(common_runs(a, b, 21)) == [(*k, n) for k, n in sorted(want.items())]
+
+
 def test_rows_against_brute_force(spark):
     """Texts with lines that many share, copies in one text, near copies and circles: every window of 50 words that another
     text resembles lies in a reported passage."""
