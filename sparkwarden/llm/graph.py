@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     out = None
     while out is None or not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("_to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("_to")))
-        least = save(both.groupBy("node").agg(F.least(F.min("_to"), F.first("node")).alias("_to")), "least")
+        least = both.groupBy("node").agg(F.least(F.min("_to"), F.first("node")).alias("_to"))
         jump = least.select(F.col("node").alias("_to"), F.col("_to").alias("label"))
         step = save(least.join(jump, "_to").select("node", "label"), "step")
         if out is None:

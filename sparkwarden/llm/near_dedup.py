@@ -39,6 +39,8 @@ LEVELS = ((2, 16), (4, 48))
 _CHUNK = 4096
 #: Bits of a labelled k-mer by which its occurrences are counted (the counts only order the k-mers).
 _COUNT_BITS = 20
+#: By how much the leaders of a k-mer grow from round to round of the exact comparison.
+MORE = 4
 _MOST = max(r * b for r, b in LEVELS)
 _RNG = np.random.default_rng(20240505)  # its own: draws must not depend on what else a worker has imported
 _XOR = _RNG.integers(0, 1 << 63, _MOST, dtype=np.uint64)
@@ -152,11 +154,12 @@ def banded_lcs(a: list[int], b: list[int], spare: int) -> int:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """pairs: (a, b) of _words; texts: (_words, _text), in buckets of _words.  Adds similarity (0 below least)."""
+    """pairs: (a, b, ...), a and b of _words; texts: (_words, _text), in buckets of _words.  Adds similarity (0 below least)."""
     mine = texts.select(F.col("_words").alias("a"), F.col("_text").alias("_ta"))
     other = texts.select(F.col("_words").alias("b"), F.col("_text").alias("_tb"))
     other = pairs.groupBy("b").agg(F.count("*").alias("_n")).join(other, "b")  # the lesser text is often a leader
-    both = join_unique(pairs.join(mine, "a"), other, "b", "_n", wide=True).select("a", "b", "_ta", "_tb")
+    names = pairs.columns
+    both = join_unique(pairs.join(mine, "a"), other, "b", "_n", wide=True).select(*names, "_ta", "_tb")
 
     def run(batches):
         for rows, data, offsets in slices(batches, "_ta"):
@@ -166,9 +169,9 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 two, _, _, first2 = word_hashes(data2, offsets2)
                 out = [aligned(shingles(one[first[at + i] : first[at + i + 1]], K), shingles(two[first2[i] : first2[i + 1]], K), least) for i in range(part.num_rows)]
                 at += part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(out, pa.float64())], names=[*names, "similarity"])
 
-    return both.mapInArrow(run, "a binary, b binary, similarity double")
+    return both.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", similarity double")
 
 
 def candidates(keyed: DataFrame, own_leaders: bool) -> DataFrame:
@@ -225,34 +228,36 @@ def _apart(heads: DataFrame) -> DataFrame:
 
 
 def exact_links(texts: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """texts: (_words, _text, _label); found: (a, b, similarity) of pairs that were compared.  Links between texts of different
-    labels such that, with the labels, every pair of similarity least or more stands in one component.
+    """texts: (_words, _text, _label); found: (a, b, similarity) of pairs that were compared.  Links (a, b, _a, _b) between texts
+    of different labels, with those, such that with the labels every pair of similarity least or more stands in one component.
 
-    Texts meet under their rarest k-mers.  A k-mer elects leaders, twice as many each round, which all its texts of other
-    labels are compared with; links join labels, leaders leave, and it ends when no k-mer has two labels left.
+    Texts meet under their rarest k-mers.  A k-mer elects leaders, `MORE` times as many each round, which all its texts of
+    other labels are compared with; links join labels, leaders leave, and it ends when no k-mer has two labels left.  The
+    rows of k-mers carry the labels; where links change some, a text is one row for that.
     """
     heads = save(_apart(save(_rare_heads(texts, least), "rare-kmers")), "rare-kmers")
-    found, links, most = found.select("a", "b"), None, 1
+    found, links, most = found.select("a", "b"), [], 1
     while not heads.isEmpty():
         place = F.row_number().over(Window.partitionBy("_kmer").orderBy("_words"))
         names = {c: f"{c}2" for c in ("_words", "_label", "_n", "_left")}
         leaders = save(heads.withColumn("_place", place).where(F.col("_place") <= most).drop("_place").withColumnsRenamed(names), "leaders")
         enough = F.least("_left", "_left2") * (1 + least) >= least * (F.col("_n") + F.col("_n2")) - 1e-6
         met = heads.join(leaders, "_kmer").where((F.col("_words") != F.col("_words2")) & (F.col("_label") != F.col("_label2")) & enough)
-        pairs = met.select(F.greatest("_words", "_words2").alias("a"), F.least("_words", "_words2").alias("b")).distinct()
-        pairs = save(pairs.join(found, ["a", "b"], "left_anti"), "candidates")
+        first = F.col("_words") > F.col("_words2")
+        ends = [F.when(first, F.col(x)).otherwise(F.col(y)) for x, y in (("_words", "_words2"), ("_words2", "_words"), ("_label", "_label2"), ("_label2", "_label"))]
+        pairs = save(met.select(*(e.alias(x) for e, x in zip(ends, ("a", "b", "_a", "_b"), strict=True))).distinct().join(found, ["a", "b"], "left_anti"), "candidates")
         checked = save(verify(pairs, texts, least), "verified")
-        new = save(checked.where("similarity > 0").select("a", "b"), "late-links")
-        found, links = found.unionByName(checked.select("a", "b")), new if links is None else links.unionByName(new)
+        found = found.unionByName(checked.select("a", "b"))
+        new = checked.where("similarity > 0").select("a", "b", "_a", "_b")
         heads = heads.join(leaders.select("_kmer", F.col("_words2").alias("_words")), ["_kmer", "_words"], "left_anti")
         if not new.isEmpty():
-            own = texts.select(F.col("_words").alias("_node"), "_label")
-            ends = [links.join(own.withColumnsRenamed({"_node": x, "_label": f"_{x}"}), x) for x in ("a", "b")]
-            moved = components(ends[0].join(ends[1], ["a", "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-            first = texts.select("_words", F.col("_label").alias("node")).join(moved, "node", "left").select("_words", F.coalesce("label", "node").alias("_label"))
-            heads = heads.drop("_label").join(first, "_words")
-        heads, most = save(_apart(heads), "rare-kmers"), 2 * most
-    return texts.select(F.col("_words").alias("a"), F.col("_words").alias("b")).limit(0) if links is None else links
+            links.append(new)
+            moved = components(new.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).withColumnsRenamed({"node": "_label", "label": "_next"})
+            own = heads.groupBy("_words", "_label").agg(F.collect_list(F.struct("_kmer", "_n", "_left")).alias("_rows"))  # k-mers of one text
+            heads = own.join(moved, "_label", "left").select("_words", F.coalesce("_next", "_label").alias("_label"), F.inline("_rows"))
+        heads, most = save(_apart(heads), "rare-kmers"), MORE * most
+    own = [F.col(c).alias(x) for c, x in (("_words", "a"), ("_words", "b"), ("_label", "_a"), ("_label", "_b"))]
+    return reduce(DataFrame.unionByName, links) if links else texts.select(*own).limit(0)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
@@ -292,11 +297,9 @@ def _classes(df: DataFrame, id_col: str, text_col: str, least: float, levels: tu
     rest = texts.join(_loose(met), "_words", "left_semi").join(label.withColumnRenamed("node", "_words"), "_words", "left")
     rest = save_by_key(rest.select("_words", "_text", F.coalesce("label", "_words").alias("_label")), "loose-texts", "_words")
     late = exact_links(rest, reduce(DataFrame.unionByName, found), least)
-    links = linked.unionByName(late)
-    # The classes so far are the nodes that the late links connect.
-    own = rest.select(F.col("_words").alias("_node"), "_label")
-    ends = [late.join(own.withColumnsRenamed({"_node": x, "_label": f"_{x}"}), x) for x in ("a", "b")]
-    joined = ends[0].join(ends[1], ["a", "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    links = linked.unionByName(late.select("a", "b"))
+    # The classes so far are the nodes that the late links connect (by the labels that they had when they were linked).
+    joined = late.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     merged = components(joined)
     label = label.unionByName(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("label")))
     label = label.join(merged.select(F.col("node").alias("label"), F.col("label").alias("_next")), "label", "left").select("node", F.coalesce("_next", "label").alias("label"))

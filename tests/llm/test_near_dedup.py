@@ -4,7 +4,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sparkwarden.llm import near_dedup
 from sparkwarden.llm.common import shingles, word_hashes
+from sparkwarden.llm.graph import components
 from sparkwarden.llm.near_dedup import aligned, labelled, near_duplicates
 
 
@@ -101,3 +103,29 @@ def test_close_texts_inside_a_large_looser_family(spark):
     assert all(aligned(a, b, 0.8) for i, a in enumerate(sequences) for b in sequences[:i])
     got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
     assert len({got[i] for i in range(1500, 1512)}) == 1
+
+
+def test_rounds_of_the_exact_comparison(spark, monkeypatch):
+    """Texts that no link has joined yet: the exact comparison finds every class, in few rounds, and changes labels a text a
+    row (twice as many leaders a round and a join of all k-mers made the driver's memory and the rows grow)."""
+    rng = random.Random(14)
+    template = [f"t{i}" for i in range(200)]
+
+    def changed(words, n):
+        words = list(words)
+        for i in rng.sample(range(5, 195, 5), n):
+            words[i] = f"x{rng.getrandbits(60)}"
+        return words
+
+    seeds = [changed(template, 8) for _ in range(40)]
+    texts = [" ".join(changed(seeds[i % 40], 1)) for i in range(120)]
+    rows = [(bytes([i]), t, bytes([i])) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "_words binary, _text string, _label binary")
+    tables = []
+    monkeypatch.setattr(near_dedup, "save", lambda x, name, real=near_dedup.save: tables.append(name) or real(x, name))
+    links = near_dedup.exact_links(df, spark.createDataFrame([], "a binary, b binary, similarity double"), 0.8)
+    joined = components(links.select("a", "b")).collect()
+    label = {r.node[0]: r.label[0] for r in joined}
+    assert label == {i: i % 40 for i in range(120)}
+    assert {r.node: r.label for r in components(links.selectExpr("_a as a", "_b as b")).collect()} == {r.node: r.label for r in joined}
+    assert tables.count("leaders") <= 5
