@@ -35,7 +35,7 @@ from sparkwarden.llm.common import byte_table, mix, pack, runs, save, slices, sp
 
 CONTEXT_BITS = 20
 #: Tokens in a part, and bytes of text in a chunk: what a task holds at once.
-PART_TOKENS, CHUNK_BYTES = 2_000_000, 8 << 20
+PART_TOKENS, CHUNK_BYTES = 1_000_000, 4 << 20
 EXACT, BURN, SAMPLES = 64, 2, 3
 #: Sums of logarithms travel as whole numbers of these steps, which take fewer bytes.
 STEP, STEP_BASE = 1e-7, 1e-9
@@ -90,7 +90,7 @@ def _deal(docs: DataFrame) -> tuple[int, dict[int, int]]:
     def count(batches):
         for _, _, words, _, _ in _chunks(batches, 2):
             h, n = np.unique(words, return_counts=True)
-            often = n >= max(64, len(words) // OFTEN)
+            often = n >= max(32, len(words) // OFTEN)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(h[often].view(np.int64), 0), pa.int64(), mask=np.arange(int(often.sum()) + 1) == often.sum()), pa.array(np.append(n[often], len(words)), pa.int64())], names=["_word", "_n"])
 
     counts = save(docs.mapInArrow(count, "_word bigint, _n bigint").groupBy("_word").agg(F.sum("_n").alias("_n")), "frequent-words")

@@ -4,10 +4,12 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,17 @@ def test_seating_is_the_exact_conditional():
     assert np.abs(share - want).max() < 0.005
     many = m.seat(np.full(500, 5000), np.full(500, others), np.full(500, p), d, theta, np.random.default_rng(1), m.stirling(d))
     assert 1 <= many.min() and many.max() < 500 and m.seat(np.array([0, 1]), np.zeros(2), np.ones(2), d, theta, np.random.default_rng(1), m.stirling(d)).tolist() == [0, 1]
+
+
+def test_memory_of_a_chunk():
+    """What a task holds of its texts at once (without the texts themselves), however many they are."""
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(map(str, rng.integers(0, 50_000, 400).tolist())) for _ in range(8000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000)), texts, pa.array(np.ones(8000, bool))], names=["_id", "_text", "_usable"])
+    tracemalloc.start()
+    try:
+        tokens = sum(len(c[2]) for c in m._chunks(iter([batch]), 2))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert tokens == 8000 * 401 and most < 65e6
