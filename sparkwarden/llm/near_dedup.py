@@ -222,9 +222,19 @@ def _rare_heads(texts: DataFrame, least: float) -> DataFrame:
     return texts.select("_words", "_text", "_label").mapInArrow(run, f"_words binary, _label {label}, _kmer bigint, _n int, _left int")
 
 
-def _apart(heads: DataFrame) -> DataFrame:
-    """The rows whose k-mer texts of several labels have."""
-    return heads.join(heads.groupBy("_kmer").agg(F.min("_label").alias("_x"), F.max("_label").alias("_y")).where("_x != _y").select("_kmer"), "_kmer", "left_semi")
+def _apart(heads: DataFrame, least: float) -> DataFrame:
+    """The rows whose k-mer texts of several labels have, as far as their places leave enough for such a text.
+
+    Two texts may be near by a k-mer if each one's n is within the other's reach, (1 + least) / least * left - n; the shorter of
+    them is within its own.  So a row stays if the shortest of those is within its reach and the widest reach covers it.
+    """
+    reach = F.col("_left") * ((1 + least) / least) - F.col("_n") + 1e-6
+    own = F.when(reach >= F.col("_n"), F.col("_n"))
+    ends = [F.min(own).alias("_short"), F.max(reach).alias("_wide"), F.min("_label").alias("_x"), F.max("_label").alias("_y")]
+    able = heads.join(heads.groupBy("_kmer").agg(*ends).where("_x != _y and _short is not null").drop("_x", "_y"), "_kmer")
+    able = save(able.where((reach >= F.col("_short")) & (F.col("_wide") >= F.col("_n"))).select(*heads.columns), "rare-kmers")
+    several = able.groupBy("_kmer").agg(F.min("_label").alias("_x"), F.max("_label").alias("_y")).where("_x != _y")
+    return able.join(several.select("_kmer"), "_kmer", "left_semi")
 
 
 def exact_links(texts: DataFrame, found: DataFrame, least: float) -> DataFrame:
@@ -235,7 +245,7 @@ def exact_links(texts: DataFrame, found: DataFrame, least: float) -> DataFrame:
     other labels are compared with; links join labels, leaders leave, and it ends when no k-mer has two labels left.  The
     rows of k-mers carry the labels; where links change some, a text is one row for that.
     """
-    heads = save(_apart(save(_rare_heads(texts, least), "rare-kmers")), "rare-kmers")
+    heads = save(_apart(save(_rare_heads(texts, least), "rare-kmers"), least), "rare-kmers")
     found, links, most = found.select("a", "b"), [], 1
     while not heads.isEmpty():
         place = F.row_number().over(Window.partitionBy("_kmer").orderBy("_words"))
@@ -255,7 +265,7 @@ def exact_links(texts: DataFrame, found: DataFrame, least: float) -> DataFrame:
             moved = components(new.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).withColumnsRenamed({"node": "_label", "label": "_next"})
             own = heads.groupBy("_words", "_label").agg(F.collect_list(F.struct("_kmer", "_n", "_left")).alias("_rows"))  # k-mers of one text
             heads = own.join(moved, "_label", "left").select("_words", F.coalesce("_next", "_label").alias("_label"), F.inline("_rows"))
-        heads, most = save(_apart(heads), "rare-kmers"), MORE * most
+        heads, most = save(_apart(heads, least), "rare-kmers"), MORE * most
     own = [F.col(c).alias(x) for c, x in (("_words", "a"), ("_words", "b"), ("_label", "_a"), ("_label", "_b"))]
     return reduce(DataFrame.unionByName, links) if links else texts.select(*own).limit(0)
 

@@ -129,3 +129,43 @@ def test_rounds_of_the_exact_comparison(spark, monkeypatch):
     assert label == {i: i % 40 for i in range(120)}
     assert {r.node: r.label for r in components(links.selectExpr("_a as a", "_b as b")).collect()} == {r.node: r.label for r in joined}
     assert tables.count("leaders") <= 5
+
+
+def test_rows_of_kmers_without_a_near_enough_text_leave(spark, monkeypatch):
+    """k-mers that texts share only where too few are left of either: their rows were carried from round to round."""
+    rng = random.Random(15)
+    template = [f"t{i}" for i in range(200)]
+
+    def changed(words, n):
+        words = list(words)
+        for i in rng.sample(range(5, 195, 5), n):
+            words[i] = f"x{rng.getrandbits(60)}"
+        return words
+
+    seeds = [changed(template, 8) for _ in range(60)]
+    rows = [(bytes([i]), " ".join(changed(seeds[i % 60], 1)), bytes([i])) for i in range(120)]
+    df = spark.createDataFrame(rows, "_words binary, _text string, _label binary")
+    tables = []
+
+    def kept(x, name, real=near_dedup.save):
+        tables.append((name, real(x, name)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(near_dedup, "save", kept)
+    links = near_dedup.exact_links(df, spark.createDataFrame([], "a binary, b binary, similarity double"), 0.8)
+    assert {r.node[0]: r.label[0] for r in components(links.select("a", "b")).collect()} == {i: i % 60 for i in range(120)}
+    held = [x.count() for name, x in tables if name == "rare-kmers"]
+    assert held[1] < held[0] / 2
+
+
+def test_apart_keeps_each_row_that_may_meet(spark):
+    rng = random.Random(16)
+    rows = []
+    for i in range(3000):
+        n = rng.randint(5, 30)
+        rows.append((rng.randrange(400), i, rng.randrange(4), n, rng.randint(int(0.8 * n), n)))
+    df = spark.createDataFrame(rows, "_kmer bigint, _words bigint, _label bigint, _n int, _left int")
+    may = lambda x, y: x[0] == y[0] and x[2] != y[2] and min(x[4], y[4]) * 1.8 >= 0.8 * (x[3] + y[3]) - 1e-6
+    wanted = {x[1] for x in rows for y in rows if may(x, y)}
+    got = {r._words for r in near_dedup._apart(df, 0.8).collect()}
+    assert wanted <= got and len(got) < 0.9 * len(rows)
