@@ -263,13 +263,20 @@ def _chains(runs: Iterable[tuple[int, int, int]], reach: int) -> Iterator[list[t
             for column in live.pop(first, {}).values():
                 yield from column
             first += 1
-        near = (c for u in (i // cell - 1, i // cell, i // cell + 1) if u in live for v in (j // cell - 1, j // cell, j // cell + 1) for c in live[u].get(v, ()))
-        fit = []
-        for c in near:
-            x, y, m = c[-1]
-            over = max(0, x + m - i, y + m - j)  # repeated words at an edit belong to both runs
-            if over < min(n, m, 2 * K) and j + over - y - m <= reach and i - x - m <= reach:
-                fit.append((abs(j - i - y + x), -c[0][0], -c[0][1], over, c))
+        fit, most = [], min(n, 2 * K)
+        columns = range((j - reach) // cell, (j + 2 * K) // cell + 1)
+        for u in range((i - reach) // cell, (i + 2 * K) // cell + 1):
+            if not (row := live.get(u)):
+                continue
+            for v in columns:
+                for c in row.get(v, ()):
+                    x, y, m = c[-1]
+                    p, q = x + m - i, y + m - j
+                    if p >= most or q >= most or p < -reach or q < -reach:
+                        continue
+                    over = max(0, p, q)  # repeated words at an edit belong to both runs
+                    if over < m and over - q <= reach:
+                        fit.append((abs(j - i - y + x), -c[0][0], -c[0][1], over, c))
         if not fit:
             c = [(i, j, n)]
         else:
@@ -292,15 +299,31 @@ def _wide(x: int, y: int, width: int, n: int) -> tuple[int, int]:
     return max(0, min(x, y - width)), y
 
 
-def _passages(chain: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray, width: int, least: float) -> list[tuple[int, int, int, int, float]]:
+def _shared(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """How many of the first k places of each text have a token of the other, for all k."""
+    return tuple(np.append(0, np.cumsum(np.isin(x, y))).tolist() for x, y in ((a, b), (b, a)))
+
+
+def _passages(chain: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray, width: int, least: float, shared: tuple[list[int], list[int]] | None = None) -> list[tuple[int, int, int, int, float]]:
     flank = width // 2 + SHIFT
     (i, j, _), (x, y, n) = chain[0], chain[-1]
+    if len(chain) == 1 and shared:
+        s, t = shared
+        x, y = i + n, j + n
+        left = s[i] == s[max(0, i - flank)] or t[j] == t[max(0, j - flank - SHIFT)]
+        if left and (s[min(len(a), x + flank)] == s[x] or t[min(len(b), y + flank + SHIFT)] == t[y]):  # nothing is aligned beside it
+            similarity = n / (2 * max(n, width) - n)
+            return [(*_wide(i, x, width, len(a)), *_wide(j, y, width, len(b)), similarity)] if similarity >= least - 1e-9 else []
+        x, y = i, j
     before = _beside(a, b, max(0, i - flank), i, max(0, j - flank - SHIFT), j, j - i + _SHIFTS)
     after = _beside(a, b, x + n, min(len(a), x + n + flank), y + n, min(len(b), y + n + flank + SHIFT), y - x + _SHIFTS)
     x, y = x + n, y + n
+    gaps = [(u - i - n, v - j - n) for (i, j, n), (u, v, _) in zip(chain, chain[1:])]
+    common = sum(n for *_, n in chain)
+    most = common + len(before[0]) + len(after[0]) + sum(g for g, h in gaps if min(g, h) > K)
+    if (1 + least) * most < 2 * least * width - 1e-9:
+        return []  # too few places for a window
     if not len(before[0]) and not len(after[0]):
-        gaps = [(u - i - n, v - j - n) for (i, j, n), (u, v, _) in zip(chain, chain[1:])]
-        common = sum(n for *_, n in chain)
         similarity = common / (max(x - i, width) + max(y - j, width) - common)
         # With one edit in each window at most, all windows along the chain are good if the whole is.
         if similarity >= least - 1e-9 and all(n >= width for *_, n in chain[1:-1]) and all(max(g) <= K for g in gaps):
@@ -368,9 +391,11 @@ def passages_of(a: np.ndarray, b: np.ndarray, passage: int = PASSAGE, least: flo
     if len(a) < width or len(b) < width:
         return []
     found: list[tuple[int, int, int, int, float, int]] = []
-    most = PAIRS
+    most, shared = PAIRS, None
     for c, chain in enumerate(_chains(common_runs(a, b, run), width)):
-        found += [(*x, c) for x in _passages(chain, a, b, width, least)]
+        if c == 4:  # many chains: what is beside them is looked up once
+            shared = _shared(a, b)
+        found += [(*x, c) for x in _passages(chain, a, b, width, least, shared)]
         if len(found) > most:
             found = _widest(found)
             most = 2 * len(found) + PAIRS

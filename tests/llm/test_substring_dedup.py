@@ -5,6 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sparkwarden.llm import substring_dedup
 from sparkwarden.llm.common import mix, shingles
 from sparkwarden.llm.near_dedup import banded_lcs
 from sparkwarden.llm.substring_dedup import cells, common_runs, compact_windows, passages_of, repeated_passages, run_width
@@ -242,3 +243,25 @@ def test_rows_against_brute_force(spark):
         missed += sum(not any(x <= k + 5 and k + 45 <= y for x, y in spans.get(i, ())) for k in want)
     assert total > 300 and missed <= 0.005 * total
     assert {i for i in range(20, 32)} <= set(spans)
+
+
+def test_repeats_with_nothing_beside_them_are_not_looked_around(monkeypatch):
+    """m x n places of a repeated line were each aligned on both sides, though no other token is shared."""
+    rng = np.random.default_rng(7)
+    line = rng.integers(1, 1 << 62, 50).astype(np.uint64)
+    a, b = (np.concatenate([np.concatenate([line, rng.integers(1, 1 << 62, 9).astype(np.uint64)]) for _ in range(n)]) for n in (20, 30))
+    calls = []
+    monkeypatch.setattr(substring_dedup, "_beside", lambda *x, real=substring_dedup._beside: calls.append(1) or real(*x))
+    found = substring_dedup.passages_of(a, b)
+    assert [(x[0], x[1], x[2], x[3], x[4]) for x in found] == [(59 * i, 59 * i + 54, 0, 54, 1.0) for i in range(20)]
+    assert len(calls) < 100
+
+
+def test_quick_test_of_what_stands_beside_changes_nothing():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        lines = [rng.integers(1, 1 << 62, int(rng.integers(20, 60))).astype(np.uint64) for _ in range(4)]
+        a, b = (np.concatenate([np.concatenate([lines[rng.integers(4)], rng.integers(1, 60, int(rng.integers(0, 12))).astype(np.uint64)]) for _ in range(int(rng.integers(2, 9)))]) for _ in range(2))
+        shared = substring_dedup._shared(a, b)
+        for chain in substring_dedup._chains(substring_dedup.common_runs(a, b, 21), 46):
+            assert substring_dedup._passages(chain, a, b, 46, 0.8, shared) == substring_dedup._passages(chain, a, b, 46, 0.8)
