@@ -249,11 +249,11 @@ def test_repeats_with_nothing_beside_them_are_not_looked_around(monkeypatch):
     """m x n places of a repeated line were each aligned on both sides, though no other token is shared."""
     rng = np.random.default_rng(7)
     line = rng.integers(1, 1 << 62, 50).astype(np.uint64)
-    a, b = (np.concatenate([np.concatenate([line, rng.integers(1, 1 << 62, 9).astype(np.uint64)]) for _ in range(n)]) for n in (20, 30))
+    a, b = (np.concatenate([np.concatenate([line, rng.integers(1, 1 << 62, 80).astype(np.uint64)]) for _ in range(n)]) for n in (20, 30))
     calls = []
     monkeypatch.setattr(substring_dedup, "_beside", lambda *x, real=substring_dedup._beside: calls.append(1) or real(*x))
     found = substring_dedup.passages_of(a, b)
-    assert [(x[0], x[1], x[2], x[3], x[4]) for x in found] == [(59 * i, 59 * i + 54, 0, 54, 1.0) for i in range(20)]
+    assert [(x[0], x[1], x[2], x[3], x[4]) for x in found] == [(130 * i, 130 * i + 54, 0, 54, 1.0) for i in range(20)]
     assert len(calls) < 100
 
 
