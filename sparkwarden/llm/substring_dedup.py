@@ -26,8 +26,9 @@ largest) or repeat; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ K, PASSAGE, SIMILARITY = 5, 50, 0.8
 FUNCTIONS = 2
 #: Common runs (and passages found) of two texts that are held at once.
 PAIRS = 1 << 18
+#: Runs of two texts that are looked at together, not one by one.
+MANY = 5
 #: How far places may shift between a run and what is aligned beside it.
 SHIFT = 3
 #: Bits of a shingle by which its occurrences are counted (the counts only order the shingles).
@@ -158,17 +161,51 @@ def signed_cells(df: DataFrame, functions: int, passage: int, run: int) -> DataF
 # ---------------------------------------------------------------- comparing two texts
 
 
-def _begun(mine: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All (i, j) with mine[i] == other[j] that no equal pair precedes, ordered by both, in chunks of about PAIRS.
+class _Text:
+    """A text's shingles with what is looked up in them, made when first needed: leaders are compared with many texts."""
+
+    def __init__(self, tokens: np.ndarray, width: int):
+        self.tokens, self.width = tokens, width
+
+    @functools.cached_property
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the tokens, and which each place has."""
+        return np.unique(self.tokens, return_inverse=True)
+
+    @functools.cached_property
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Hashes of width tokens, their order, in order, and whether any repeats."""
+        hashes = window_hashes(self.tokens, self.width)
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+        return hashes, order, ranked, bool((ranked[1:] == ranked[:-1]).any())
+
+    @functools.cached_property
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The values of windows; those with another behind them; all places by window and what stands before; these as numbers."""
+        other, _, ranked, _ = self.windows
+        value = ranked[np.append(True, ranked[1:] != ranked[:-1])]
+        rank = np.searchsorted(value, other)
+        behind = np.zeros(len(value), bool)
+        behind[rank[:-1]] = True
+        before = value[behind]
+        prior = np.append(len(before), (np.cumsum(behind) - 1)[rank[:-1]])  # nothing stands before the first place; it differs from all
+        order = np.lexsort((prior, rank))
+        return value, before, order, (rank * (len(before) + 1) + prior)[order]
+
+    @functools.cached_property
+    def levels(self) -> list[np.ndarray]:
+        """levels[k] hashes 2 ** k windows; grown by _lengths()."""
+        return [self.windows[0]]
+
+
+def _begun(mine: np.ndarray, other: _Text) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j) with mine[i] == other's window j that no equal pair precedes, ordered by both, in chunks of about PAIRS.
 
     The places of a value are ordered by what stands before them, so those that go on with an earlier pair are one stretch
     and are stepped over unseen: the work grows with the pairs that begin, however often a text goes round in circles."""
-    value, before = np.unique(other), np.unique(other[:-1])
-    wide = len(before) + 1  # nothing stands before the first place; it differs from all
-    prior = np.append(len(before), np.searchsorted(before, other[:-1]))
-    rank = np.searchsorted(value, other)
-    order = np.lexsort((prior, rank))
-    key = (rank * wide + prior)[order]
+    value, before, order, key = other.places
+    wide = len(before) + 1
     spot = np.minimum(np.searchsorted(value, mine), len(value) - 1)
     at = np.flatnonzero(value[spot] == mine)
     spot = spot[at]
@@ -192,44 +229,54 @@ def _begun(mine: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np
         s = e
 
 
-def _lengths(levels: list[tuple[np.ndarray, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """How far each pair of places goes on alike.  levels[k] hashes 2 ** k places of both texts; grown as far as pairs need."""
-    k = 0
+def _lengths(one: list[np.ndarray], two: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How far each pair of places goes on alike.  Level k of a text hashes 2 ** k places; grown as far as pairs need."""
+    k, left = 0, np.arange(len(i))
     while True:
-        x, y = levels[k]
-        there = (i < len(x)) & (j < len(y))
-        if not (x[i[there]] == y[j[there]]).any():
+        x, y = one[k], two[k]
+        left = left[(i[left] < len(x)) & (j[left] < len(y))]
+        left = left[x[i[left]] == y[j[left]]]
+        if not len(left):
             break
         k += 1
-        if k == len(levels):
-            half = 1 << k - 1
-            levels.append(tuple(mix(z[: max(0, len(z) - half)] * _P + z[half:]) for z in (x, y)))
+        for z in (one, two):
+            if k == len(z):
+                half = 1 << k - 1
+                z.append(mix(z[-1][: max(0, len(z[-1]) - half)] * _P + z[-1][half:]))
     out = np.zeros(len(i), np.int64)
     for k in range(k - 1, -1, -1):
-        x, y = levels[k]
+        x, y = one[k], two[k]
         there = np.flatnonzero((i + out < len(x)) & (j + out < len(y)))
         out[there[x[(i + out)[there]] == y[(j + out)[there]]]] += 1 << k
     return out
 
 
-def common_runs(a: np.ndarray, b: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
-    """All maximal runs that a and b have in common, of width tokens or more: (start in a, start in b, length), in order."""
-    mine, other = window_hashes(a, width), window_hashes(b, width)
-    if not len(mine) or not len(other):
+def _run_blocks(a: np.ndarray, b: _Text) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All maximal runs that a and b have in common, of b's width or more, in order: (starts in a, starts in b, lengths), in
+    chunks of about PAIRS.  All runs with one start in a are in one chunk."""
+    width = b.width
+    mine = window_hashes(a, width)
+    if not len(mine) or len(b.tokens) < width:
         return
-    order = np.argsort(other, kind="stable")
-    ranked = other[order]
-    if not (ranked[1:] == ranked[:-1]).any():  # each stretch of a has one place at most
-        spot = np.minimum(np.searchsorted(ranked, mine), len(other) - 1)
+    _, order, ranked, several = b.windows
+    if not several:  # each stretch of a has one place at most
+        spot = np.minimum(np.searchsorted(ranked, mine), len(ranked) - 1)
         at = np.flatnonzero(ranked[spot] == mine)
         place = order[spot[at]]
-        cut = np.flatnonzero((at[1:] - at[:-1] != 1) | (place[1:] - place[:-1] != 1)) + 1
-        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True) if len(at) else ():
-            yield int(at[s]), int(place[s]), e - s + width - 1
+        if len(at):
+            cut = np.flatnonzero(np.concatenate([[True], (at[1:] - at[:-1] != 1) | (place[1:] - place[:-1] != 1), [True]]))
+            yield at[cut[:-1]], place[cut[:-1]], np.diff(cut) + width - 1
         return
-    levels = [(mine, other)]
-    for i, j in _begun(mine, other):
-        yield from zip(i.tolist(), j.tolist(), (_lengths(levels, i, j) + width - 1).tolist(), strict=True)
+    levels = [mine]
+    for i, j in _begun(mine, b):
+        if len(i):
+            yield i, j, _lengths(levels, b.levels, i, j) + width - 1
+
+
+def common_runs(a: np.ndarray, b: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
+    """The runs of _run_blocks one by one."""
+    for block in _run_blocks(a, _Text(b, width)):
+        yield from zip(*(x.tolist() for x in block), strict=True)
 
 
 _NONE = np.zeros(0, np.int64)
@@ -299,12 +346,40 @@ def _wide(x: int, y: int, width: int, n: int) -> tuple[int, int]:
     return max(0, min(x, y - width)), y
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+def _matched(a: np.ndarray, b: _Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of b's values each place of a has (-1: none), and whether each place of a and of b has a token of the other."""
+    value, code = b.codes
+    spot = np.minimum(np.searchsorted(value, a), len(value) - 1)
+    fits, there = value[spot] == a, np.zeros(len(value), bool)
+    there[spot[fits]] = True
+    return np.where(fits, spot, -1), fits, there[code]
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many of the first k places of each text have a token of the other, for all k."""
-    return tuple(np.append(0, np.cumsum(np.isin(x, y))).tolist() for x, y in ((a, b), (b, a)))
+    return tuple(np.append(0, np.cumsum(x)) for x in _matched(a, _Text(b, 1))[1:])
+
+
+class _Cover:
+    """Ranges that lie in no other, by their beginnings (and thereby by their ends)."""
+
+    def __init__(self):
+        self.x, self.y = [], []
+
+    def add(self, x: int, y: int) -> None:
+        k = bisect_right(self.x, x)
+        if k and self.y[k - 1] >= y:
+            return
+        k, e = bisect_left(self.x, x), bisect_right(self.y, y)
+        self.x[k:e], self.y[k:e] = [x], [y]
+
+    def holds(self, x: int, y: int) -> bool:
+        """Whether a range that is longer holds x..y."""
+        k = bisect_right(self.x, x) - 1
+        return k >= 0 and self.y[k] >= y and (self.x[k] < x or self.y[k] > y)
 
 
-def _passages(chain: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray, width: int, least: float, shared: tuple[list[int], list[int]] | None = None) -> list[tuple[int, int, int, int, float]]:
+def _passages(chain: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray, width: int, least: float, shared: tuple[np.ndarray, np.ndarray] | None = None, cover: _Cover | None = None) -> list[tuple[int, int, int, int, float]]:
     flank = width // 2 + SHIFT
     (i, j, _), (x, y, n) = chain[0], chain[-1]
     if len(chain) == 1 and shared:
@@ -323,6 +398,11 @@ def _passages(chain: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray, w
     most = common + len(before[0]) + len(after[0]) + sum(g for g, h in gaps if min(g, h) > K)
     if (1 + least) * most < 2 * least * width - 1e-9:
         return []  # too few places for a window
+    if cover:
+        lo, hi = int(before[0][0]) if len(before[0]) else i, int(after[0][-1]) + 1 if len(after[0]) else x
+        wide = min(len(a), hi + width - int(2 * least * width / (1 + least)))  # as far as a window may be widened
+        if cover.holds(lo if wide < len(a) else max(0, min(lo, len(a) - width)), wide):
+            return []  # whatever is found here lies within another passage
     if not len(before[0]) and not len(after[0]):
         similarity = common / (max(x - i, width) + max(y - j, width) - common)
         # With one edit in each window at most, all windows along the chain are good if the whole is.
@@ -383,21 +463,150 @@ def _widest(found: list[tuple[int, int, int, int, float, int]]) -> list[tuple[in
     return out
 
 
-def passages_of(a: np.ndarray, b: np.ndarray, passage: int = PASSAGE, least: float = SIMILARITY) -> list[tuple[int, int, int, int, float, int]]:
+def _linked(i: np.ndarray, j: np.ndarray, n: np.ndarray, reach: int) -> np.ndarray:
+    """Which of these runs may follow or be followed by another in a chain: a run ends near where the other begins."""
+    cell = reach + 2 * K
+    x, y = i + n, j + n
+    wide = int(y.max()) // cell + 3
+    key = x // cell * wide + y // cell
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    out = np.zeros(len(i), bool)
+    row, column = (i - reach) // cell, np.maximum((j - reach) // cell, 0)
+    for u in (row, row + 1):  # ends that are near lie in two rows of cells, in two neighbouring cells of each
+        first, last = (np.searchsorted(key, u * wide + v) for v in (column, column + 2))
+        total, s = np.append(0, np.cumsum(last - first)), 0
+        if total[-1] > 256 * len(i):
+            return np.ones(len(i), bool)  # so dense that most are linked
+        while s < len(i):
+            e = max(s + 1, int(np.searchsorted(total, total[s] + PAIRS, "right")) - 1)
+            size = last[s:e] - first[s:e]
+            to = np.repeat(np.arange(s, e), size)
+            of = order[np.arange(total[s], total[e]) + np.repeat(first[s:e] - total[s:e], size)]
+            p, q, most = x[of] - i[to], y[of] - j[to], np.minimum(n[to], 2 * K)
+            near = (p < most) & (q < most) & (p >= -reach) & (q >= -reach)
+            out[of[near]] = out[to[near]] = True
+            s = e
+    return out
+
+
+class _Beside:
+    """What two texts have in common beside runs that are in no chain, looked up for many runs at once."""
+
+    def __init__(self, a: np.ndarray, b: _Text, width: int):
+        self.flank = flank = width // 2 + SHIFT
+        mine, *both = _matched(a, b)
+        self.shared = tuple(np.append(0, np.cumsum(x)) for x in both)
+        gap = np.full(flank + SHIFT, -2)
+        mine, other = np.concatenate([gap, mine, gap]), np.concatenate([gap - 1, b.codes[1], gap - 1])  # gaps fit nowhere
+        self.mine = np.lib.stride_tricks.sliding_window_view(mine.astype(np.int32), flank)
+        self.other = np.lib.stride_tricks.sliding_window_view(other.astype(np.int32), flank + SHIFT)
+
+    def most(self, k: int, x: np.ndarray, side: int) -> np.ndarray:
+        """How many of the places before (side -1) or from (1) these in text k the other text has anywhere."""
+        s = self.shared[k]
+        y = np.clip(x + side * (self.flank + SHIFT * k), 0, len(s) - 1)
+        return np.abs(s[y] - s[x])
+
+    def count(self, i: np.ndarray, j: np.ndarray, side: int) -> np.ndarray:
+        """How many places _beside() has before (side -1) or from (1) these."""
+        flank, pad, out = self.flank, self.flank + SHIFT, np.zeros(len(i), np.int64)
+        for s in range(0, len(i), 4096):
+            e = s + 4096
+            if side < 0:  # the windows end at i and j; the last SHIFT places of mine would reach beyond j
+                x, y = self.mine[i[s:e] + pad - flank], self.other[j[s:e]]
+                hit = np.zeros(x.shape, bool)
+                for lag in range(-SHIFT, SHIFT + 1):
+                    hit[:, : flank - max(0, lag)] |= x[:, : flank - max(0, lag)] == y[:, SHIFT + lag : pad - max(0, -lag) if lag < 0 else pad]
+            else:
+                x, y = self.mine[i[s:e] + pad], self.other[j[s:e] + pad]
+                hit = np.zeros(x.shape, bool)
+                for lag in range(-SHIFT, SHIFT + 1):
+                    hit[:, max(0, -lag) :] |= x[:, max(0, -lag) :] == y[:, max(0, lag) : flank + lag]
+            out[s:e] = hit.sum(1)
+        return out
+
+
+def _alone(i: np.ndarray, j: np.ndarray, n: np.ndarray, beside: _Beside, a: np.ndarray, b: np.ndarray, width: int, least: float) -> Iterator[tuple[int, int, int, int, float, int]]:
+    """The passages of runs that are chains of their own, as _passages() has them, with the number of the run; of those with
+    nothing beside the run, the widest only."""
+    x, y, need = i + n, j + n, 2 * least * width - 1e-9
+    before, after = (np.minimum(beside.most(0, p, side), beside.most(1, q, side)) for p, q, side in ((i, j, -1), (x, y, 1)))
+    of = np.flatnonzero((1 + least) * (n + before + after) >= need)
+    i, j, n, x, y, before, after = (z[of] for z in (i, j, n, x, y, before, after))
+    for p, q, most, side in ((i, j, before, -1), (x, y, after, 1)):
+        some = np.flatnonzero(most)
+        most[some] = beside.count(p[some], q[some], side)
+    enough, bare = (1 + least) * (n + before + after) >= need, before + after == 0
+    for k in np.flatnonzero(enough & ~bare).tolist():
+        yield from ((*f, int(of[k])) for f in _passages([(int(i[k]), int(j[k]), int(n[k]))], a, b, width, least, beside.shared))
+    i, j, n, x, y, of = (z[enough & bare] for z in (i, j, n, x, y, of))
+    if not len(i):
+        return
+    ends = []
+    for u, v, size in ((i, x, len(a)), (j, y, len(b))):  # as _wide()
+        v = np.minimum(size, np.maximum(v, u + width))
+        ends += [np.maximum(0, np.minimum(u, v - width)), v]
+    x, y, p, q = ends
+    similarity = n / (2 * np.maximum(n, width) - n)
+    by = np.lexsort((q, p, -similarity, -y, x))
+    far = y[by]
+    by = by[np.append(True, far[1:] > np.maximum.accumulate(far)[:-1])]
+    yield from zip(*(z[by].tolist() for z in (x, y, p, q, similarity, of)), strict=True)
+
+
+def _batches(chains: Iterable[list[tuple[int, int, int]]]) -> Iterator[list[tuple[int, list[tuple[int, int, int]]]]]:
+    """Chains with their numbers, about PAIRS runs at a time, the longest stretches first."""
+    rows, runs = [], 0
+    length = lambda f: f[1][0][0] - f[1][-1][0] - f[1][-1][2]
+    for f in enumerate(chains):
+        rows.append(f)
+        runs += len(f[1])
+        if runs > PAIRS:
+            yield sorted(rows, key=length)
+            rows, runs = [], 0
+    yield sorted(rows, key=length)
+
+
+def passages_of(a: np.ndarray, b: np.ndarray | _Text, passage: int = PASSAGE, least: float = SIMILARITY) -> list[tuple[int, int, int, int, float, int]]:
     """Maximal passages of shingle sequence a that b repeats: word ranges in a and in b (end excluded), similarity and parts.
     Both ranges have passage words or more, and none of a lies within another.  Where a repeats one part of b again and
     again without a gap, the range holds all of them, parts says how many, and similarity is the least of any."""
     width, _, run = run_width(passage, least)
+    text = b if isinstance(b, _Text) else _Text(b, run)
+    b = text.tokens
     if len(a) < width or len(b) < width:
         return []
     found: list[tuple[int, int, int, int, float, int]] = []
-    most, shared = PAIRS, None
-    for c, chain in enumerate(_chains(common_runs(a, b, run), width)):
-        if c == 4:  # many chains: what is beside them is looked up once
-            shared = _shared(a, b)
-        found += [(*x, c) for x in _passages(chain, a, b, width, least, shared)]
+    most, beside, far, lone = PAIRS, None, -1, 0
+
+    def runs():
+        """Runs that may be in chains; the others' passages are found on the way, with numbers below zero."""
+        nonlocal beside, far, lone
+        for block in _run_blocks(a, text):
+            i, j, n = block
+            if len(i) >= MANY:
+                beside = beside or _Beside(a, text, width)
+                linked = _linked(i, j, n, width)
+                if far >= 0 or len(i) > PAIRS // 2:  # near runs may be in the block before or after
+                    linked |= (i - width <= far) | (i + n + width >= int(i[-1]))
+                far = max(far, int((i + n).max()))
+                free = np.flatnonzero(~linked)
+                found.extend((*x, ~(lone + c)) for *x, c in _alone(*(z[free] for z in block), beside, a, b, width, least))
+                lone += len(free)
+                i, j, n = (z[linked] for z in block)
+            else:
+                far = max(far, int((i + n).max()))
+            yield from zip(i.tolist(), j.tolist(), n.tolist(), strict=True)
+
+    cover = _Cover()
+    for rows in _batches(_chains(runs(), width)):
+        for c, chain in rows:
+            for f in _passages(chain, a, b, width, least, beside and beside.shared, cover):
+                found.append((*f, c))
+                cover.add(f[0], f[1])
         if len(found) > most:
-            found = _widest(found)
+            found[:] = _widest(found)
             most = 2 * len(found) + PAIRS
     out = []
     for x, y, p, q, similarity, c in _widest(found):
@@ -421,16 +630,29 @@ def _verify(pairs: DataFrame, texts: DataFrame, passage: int, least: float) -> D
         hashes, _, _, first = word_hashes(data, offsets)
         return joined_shingles(hashes, first)[0], first.tolist()  # candidates have more words than K
 
+    *_, width = run_width(passage, least)
+
     def run(batches):
+        leader = text = None
         for rows, data, offsets in slices(batches, "_ta"):
             one, first = parted(data, offsets)
-            at, out = 0, []
-            for part, data2, offsets2 in slices([rows], "_tb"):
+            us, leads = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+            heads = [k for k, v in enumerate(leads) if v != (leads[k - 1] if k else leader)]  # rows come by leader
+            leader, out, done = leads[-1], [], 0
+
+            def compare(end):
+                nonlocal done
+                for k in range(done, end):
+                    found = passages_of(one[first[k] : first[k + 1] - K + 1], text, passage, least)
+                    out.extend((us[k], leads[k], *x) for x in found or [(None,) * 6])
+                done = end
+
+            for part, data2, offsets2 in slices([pa.RecordBatch.from_arrays([rows.column(3).take(pa.array(heads, pa.int64()))], names=["_tb"])], "_tb"):
                 two, first2 = parted(data2, offsets2)
-                for i, (u, v) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-                    found = passages_of(one[first[at + i] : first[at + i + 1] - K + 1], two[first2[i] : first2[i + 1] - K + 1], passage, least)
-                    out += [(u, v, *x) for x in found or [(None,) * 6]]
-                at += part.num_rows
+                for i in range(part.num_rows):
+                    compare(heads.pop(0))
+                    text = _Text(two[first2[i] : first2[i + 1] - K + 1], width)
+            compare(len(us))
             kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
 

@@ -265,3 +265,32 @@ def test_quick_test_of_what_stands_beside_changes_nothing():
         shared = substring_dedup._shared(a, b)
         for chain in substring_dedup._chains(substring_dedup.common_runs(a, b, 21), 46):
             assert substring_dedup._passages(chain, a, b, 46, 0.8, shared) == substring_dedup._passages(chain, a, b, 46, 0.8)
+
+
+def test_lines_that_stand_again_and_again_are_looked_at_together(monkeypatch):
+    """Runs in no chain went through _chains() and _passages() one by one, and so did chains in circles that lie in a passage
+    found before: m x n of them."""
+    rng = np.random.default_rng(9)
+    new = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    line, ring, beside = new(30), new(30), new(4)
+    a = np.concatenate([x for _ in range(20) for x in (line, new(80))] + [new(80), *[ring] * 12])
+    b = np.concatenate([x for _ in range(30) for x in (line, beside, new(80))] + [new(80), *[ring] * 12])
+    calls = []
+    monkeypatch.setattr(substring_dedup, "_passages", lambda *x, real=substring_dedup._passages: calls.append(1) or real(*x))
+    assert [(x, y, p, q, s) for x, y, p, q, s, _ in passages_of(a, b)] == [(2280, 2644, 3500, 3864, 1.0)]
+    assert len(calls) < 100
+
+
+def test_runs_in_no_chain_are_found_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(10)
+    for _ in range(80):
+        lines = [rng.integers(1, 1 << 62, int(rng.integers(20, 60))).astype(np.uint64) for _ in range(4)]
+        a, b = (np.concatenate([np.concatenate([lines[rng.integers(4)], rng.integers(1, 60, int(rng.integers(0, 120))).astype(np.uint64)]) for _ in range(int(rng.integers(2, 14)))]) for _ in range(2))
+        monkeypatch.setattr(substring_dedup, "MANY", 5)
+        got = passages_of(a, b)
+        monkeypatch.setattr(substring_dedup, "PAIRS", 8)  # runs near another block are not taken for alone
+        assert [x[:5] for x in passages_of(a, b)] == [x[:5] for x in got]
+        monkeypatch.setattr(substring_dedup, "MANY", 1 << 30)
+        monkeypatch.setattr(substring_dedup._Cover, "holds", lambda *x: False)
+        assert passages_of(a, b) == got
+        monkeypatch.undo()
